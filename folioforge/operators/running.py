@@ -1,0 +1,41 @@
+"""Running totals that do not put a whole key into one task."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+CHUNK_POSITIONS = 10_000
+
+
+def running_total(
+    table: DataFrame,
+    *,
+    key: str,
+    position: str,
+    value: str,
+    name: str,
+    chunk_positions: int = CHUNK_POSITIONS,
+) -> DataFrame:
+    """Add ``name``: the total of ``value`` up to and including the row, per key in order of position.
+
+    Positions are distinct non-negative integers within a key. A key is cut into stretches of positions, each
+    summed by its own window, and gets the total of its earlier stretches from a table that holds one row per
+    stretch: no window ever sees more than ``chunk_positions`` rows of the input.
+    """
+    chunked = table.withColumn("_chunk", F.floor(F.col(position) / F.lit(chunk_positions)).cast("bigint"))
+    inside = Window.partitionBy(key, "_chunk").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        chunked.groupBy(key, "_chunk")
+        .agg(F.sum(value).alias("_chunk_total"))
+        .withColumn("_carried", F.sum("_chunk_total").over(earlier))
+        .filter(F.col("_carried").isNotNull())
+        .drop("_chunk_total")
+    )
+    return (
+        chunked.withColumn("_inside", F.sum(value).over(inside))
+        .join(carried, [key, "_chunk"], "left")
+        .withColumn(name, F.col("_inside") + F.coalesce("_carried", F.lit(0)))
+        .drop("_chunk", "_inside", "_carried")
+    )
