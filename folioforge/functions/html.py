@@ -2,40 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.functions import metadata, urls
 from folioforge.functions.text import bind, none_if_empty, strip
 
+# The alternatives share their first character, so that most positions are passed over after one comparison.
 UNSEEN = (
-    r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>"
-    r"|<template\b.*?</template\s*>"
+    r"(?is)<(?:!--.*?-->|script\b.*?</script\s*>|style\b.*?</style\s*>|noscript\b.*?</noscript\s*>"
+    r"|template\b.*?</template\s*>)"
 )
 BOILERPLATE = (
-    r"(?is)<nav\b.*?</nav\s*>|<footer\b.*?</footer\s*>|<aside\b.*?</aside\s*>|<form\b.*?</form\s*>"
-    r"""|<div[^>]*\sclass=["'](?:ad|ads|advert|advertisement)["'][^>]*>.*?</div\s*>"""
+    r"(?is)<(?:nav\b.*?</nav\s*>|footer\b.*?</footer\s*>|aside\b.*?</aside\s*>|form\b.*?</form\s*>"
+    r"""|div[^>]*\sclass=["'](?:ad|ads|advert|advertisement)["'][^>]*>.*?</div\s*>)"""
 )
 QUOTED = r"""["']([^"']*)["']"""
 # Marks the start of a link target until it is resolved against the page's own url.
 MARK = "\x01"
 
-INLINE = (
+IMAGES = (
     (rf"(?i)<img\b[^>]*\salt={QUOTED}[^>]*\ssrc={QUOTED}[^>]*>", f"![$1]({MARK}$2)"),
     (rf"(?i)<img\b[^>]*\ssrc={QUOTED}[^>]*\salt={QUOTED}[^>]*>", f"![$2]({MARK}$1)"),
     (rf"(?i)<img\b[^>]*\ssrc={QUOTED}[^>]*>", f"![]({MARK}$1)"),
-    (rf"(?i)<a\b[^>]*\shref={QUOTED}[^>]*>([^<]*)</a\s*>", f"[$2]({MARK}$1)"),
-    (r"(?i)<(?:b|strong)(?:\s[^>]*)?>([^<]+)</(?:b|strong)\s*>", "**$1**"),
-    (r"(?i)<(?:i|em)(?:\s[^>]*)?>([^<]+)</(?:i|em)\s*>", "*$1*"),
-    (r"(?i)<code(?:\s[^>]*)?>([^<]+)</code\s*>", "`$1`"),
 )
+LINKS = ((rf"(?i)<a\b[^>]*\shref={QUOTED}[^>]*>([^<]*+)</a\s*>", f"[$2]({MARK}$1)"),)
+EMPHASIS = (
+    (r"(?i)<(?:b|strong)(?:\s[^>]*)?>([^<]++)</(?:b|strong)\s*>", "**$1**"),
+    (r"(?i)<(?:i|em)(?:\s[^>]*)?>([^<]++)</(?:i|em)\s*>", "*$1*"),
+    (r"(?i)<code(?:\s[^>]*)?>([^<]++)</code\s*>", "`$1`"),
+)
+SUBHEADINGS = tuple((rf"(?i)<h{level}(?:\s[^>]*)?>", f"\n\n{'#' * level} ") for level in range(2, 7))
 BLOCKS = (
-    *((rf"(?i)<h{level}(?:\s[^>]*)?>", f"\n\n{'#' * level} ") for level in range(1, 7)),
-    (r"(?i)<li(?:\s[^>]*)?>", "\n- "),
+    (r"(?i)<h1(?:\s[^>]*)?>", "\n\n# "),
     (r"(?i)<br\s*/?>", "\n"),
-    (r"(?i)</?(?:p|div|section|article|main|ul|ol|blockquote|pre|table|tr|figure|header)(?:\s[^>]*)?>|</h[1-6]\s*>", "\n\n"),
+    (
+        r"(?i)<(?:/?(?:p|div|section|article|main|ul|ol|blockquote|pre|table|tr|figure|header)(?:\s[^>]*)?"
+        r"|/h[1-6]\s*)>",
+        "\n\n",
+    ),
     (r"<[A-Za-z/!?][^>]*>", ""),
 )
+BLANKS = ((" *\n *", "\n"), (" {2,}", " "), ("\n{3,}", "\n\n"))
 # Named character references; the ampersand comes last.
 ENTITIES = (
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&middot;", "·"),
@@ -70,7 +78,7 @@ def unescape(text: Column) -> Column:
 
 def visible(html: Column) -> Column:
     """The page without comments, scripts and styles, all white space as single blanks."""
-    return F.regexp_replace(F.regexp_replace(html, UNSEEN, " "), r"[ \t\r\n\f]+", " ")
+    return F.regexp_replace(F.regexp_replace(html, UNSEEN, " "), r"[ \t\r\n\f]{2,}|[\t\r\n\f]", " ")
 
 
 def main_part(page: Column) -> Column:
@@ -86,15 +94,44 @@ def page_title(page: Column) -> Column:
     return none_if_empty(strip(unescape(F.regexp_extract(page, r"(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>", 1))))
 
 
-def to_markdown(part: Column, page_url: Column) -> Column:
-    text = F.regexp_replace(part, BOILERPLATE, " ")
-    for pattern, replacement in (*INLINE, *BLOCKS):
-        text = F.regexp_replace(text, pattern, replacement)
-    for pattern, replacement in ((" *\n *", "\n"), (" {2,}", " "), ("\n{3,}", "\n\n")):
+def _replace_all(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
+    for pattern, replacement in rules:
         text = F.regexp_replace(text, pattern, replacement)
-    text = unescape(text)
-    linked = F.when(text.contains(MARK), bind(text, lambda text: _resolve_targets(text, page_url))).otherwise(text)
-    return strip(linked)
+    return text
+
+
+# (condition under which the rules are worth a pass over the text, rules), in order of application.
+STEPS = (
+    ("(?i)<(?:nav|footer|aside|form|div)[ >]", ((BOILERPLATE, " "),)),
+    ("(?i)<img", IMAGES),
+    ("(?i)<a ", LINKS),
+    ("(?i)<(?:b|strong|i|em|code)[ >]", EMPHASIS),
+    ("(?i)<h[2-6]", SUBHEADINGS),
+    ("(?i)<li", ((r"(?i)<li(?:\s[^>]*)?>", "\n- "),)),
+    ("<", BLOCKS),
+    (None, BLANKS),
+)
+
+
+def with_markdown(pages: DataFrame, part: str, page_url: str, name: str) -> DataFrame:
+    """Add ``name``, the markdown of the html in ``part``.
+
+    Each step is a column of its own: a step mentions its input more than once, and a nested expression
+    would compute everything below it as many times.
+    """
+    for number, (condition, rules) in enumerate(STEPS):
+        text = F.col(f"_step{number - 1}" if number else part)
+        changed = _replace_all(text, rules)
+        pages = pages.withColumn(
+            f"_step{number}", F.when(text.rlike(condition), changed).otherwise(text) if condition else changed
+        )
+    text = F.col(f"_step{len(STEPS) - 1}")
+    pages = pages.withColumn("_plain", unescape(text))
+    linked = F.when(
+        F.instr("_plain", MARK) > 0, bind(F.col("_plain"), lambda text: _resolve_targets(text, F.col(page_url)))
+    ).otherwise(F.col("_plain"))
+    pages = pages.withColumn(name, strip(linked))
+    return pages.drop("_plain", *[f"_step{number}" for number in range(len(STEPS))])
 
 
 def _resolve_targets(text: Column, page_url: Column) -> Column:

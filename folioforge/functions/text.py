@@ -57,9 +57,9 @@ def _ascii_expansions() -> tuple[dict[str, str], dict[str, str]]:
     single: dict[str, str] = {}
     several: dict[str, str] = {}
     for code in range(0x80, 0x110000):
-        if 0xD800 <= code <= 0xDFFF:
-            continue
         char = chr(code)
+        if not unicodedata.decomposition(char):
+            continue
         ascii_part = "".join(c for c in unicodedata.normalize("NFKD", char) if c < "\x80")
         if len(ascii_part) == 1:
             single[char] = ascii_part

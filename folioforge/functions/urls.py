@@ -7,6 +7,7 @@ data is full of such urls; the expressions below split any text.
 from __future__ import annotations
 
 import ipaddress
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,21 +18,23 @@ SCHEME = r"[A-Za-z][A-Za-z0-9+.\-]*"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 DOTTED_QUAD = rf"{OCTET}(?:\.{OCTET}){{3}}"
 
-# Special-purpose address registry (private, or exempt from being private).
-PRIVATE_V4 = (
-    "0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24",
-    "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4",
+# Special-purpose address registry, the first network that holds an address decides.
+NETWORKS = (
+    ("loopback", ("127.0.0.0/8", "::1/128")),
+    (
+        "public",
+        ("192.0.0.9/32", "192.0.0.10/32", "2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48",
+         "2001:20::/28", "2001:30::/28"),
+    ),
+    (
+        "private",
+        ("0.0.0.0/8", "10.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24",
+         "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4", "::/128",
+         "64:ff9b:1::/48", "100::/64", "2001::/23", "2001:db8::/32", "2002::/16", "fc00::/7", "fe80::/10"),
+    ),
 )
-PUBLIC_V4 = ("192.0.0.9/32", "192.0.0.10/32")
-PRIVATE_V6 = (
-    "::/128", "::1/128", "64:ff9b:1::/48", "100::/64", "2001::/23", "2001:db8::/32", "2002::/16",
-    "fc00::/7", "fe80::/10",
-)
-PUBLIC_V6 = (
-    "2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28",
-)
-LOOPBACK_V4 = ("127.0.0.0/8",)
-LOOPBACK_V6 = ("::1/128",)
+# An IPv4 address is written as the IPv6 address it is mapped to, so both spellings of it meet the same rules.
+MAPPED = "0" * 20 + "ffff"
 
 
 def clean(url: Column) -> Column:
@@ -67,9 +70,9 @@ def host(url: Column) -> Column:
     return _host_of_authority(authority(url))
 
 
-def _v4_number(address: Column) -> Column:
-    octet = [F.split_part(address, F.lit("."), F.lit(i)).cast("bigint") for i in (1, 2, 3, 4)]
-    return ((octet[0] * 256 + octet[1]) * 256 + octet[2]) * 256 + octet[3]
+def _v4_digits(address: Column) -> Column:
+    octets = [F.split_part(address, F.lit("."), F.lit(i)).cast("int") for i in (1, 2, 3, 4)]
+    return F.format_string("%02x%02x%02x%02x", *octets)
 
 
 def _v6_digits(address: Column) -> Column:
@@ -77,8 +80,7 @@ def _v6_digits(address: Column) -> Column:
 
     def without_dotted_quad(text: Column) -> Column:
         quad = F.regexp_extract(text, rf":({DOTTED_QUAD})\z", 1)
-        low = F.lpad(F.lower(F.hex(_v4_number(quad))), 8, "0")
-        groups = F.concat(F.substring(low, 1, 4), F.lit(":"), F.substring(low, 5, 4))
+        groups = F.regexp_replace(_v4_digits(quad), "^(.{4})", "$1:")
         return F.when(quad == "", text).otherwise(F.concat(F.regexp_replace(text, r"[0-9.]+\z", ""), groups))
 
     def spell_out(text: Column) -> Column:
@@ -100,35 +102,21 @@ def _v6_digits(address: Column) -> Column:
     return bind(bind(F.regexp_replace(address, r"%[^%]+\z", ""), without_dotted_quad), spell_out)
 
 
-def _within(value: Column, networks: tuple[str, ...]) -> Column:
-    """Is the address, a number (v4) or 32 hexadecimal digits (v6), inside one of the networks?"""
-    inside = F.lit(False)
-    for network in map(ipaddress.ip_network, networks):
-        first, last = int(network[0]), int(network[-1])
-        if network.version == 4:
-            inside = inside | value.between(F.lit(first).cast("bigint"), F.lit(last).cast("bigint"))
-        else:
-            inside = inside | value.between(F.lit(f"{first:032x}"), F.lit(f"{last:032x}"))
-    return inside
-
+@lru_cache(maxsize=1)
+def _network_ranges() -> str:
+    """SQL literal of the networks: array of (kind, first, last) in hexadecimal digits."""
+    rows = []
+    for kind, networks in NETWORKS:
+        for network in map(ipaddress.ip_network, networks):
+            prefix, width = (MAPPED, 8) if network.version == 4 else ("", 32)
+            first, last = (f"{prefix}{int(end):0{width}x}" for end in (network[0], network[-1]))
+            rows.append(f"struct('{kind}' as kind, '{first}' as first, '{last}' as last)")
+    return f"array({', '.join(rows)})"
 
-def _kind(value: Column, loopback: tuple, private: tuple, public: tuple) -> Column:
-    return (
-        F.when(_within(value, loopback), "loopback")
-        .when(_within(value, private) & ~_within(value, public), "private")
-        .otherwise("public")
-    )
 
-
-def _v4_kind(number: Column) -> Column:
-    return _kind(number, LOOPBACK_V4, PRIVATE_V4, PUBLIC_V4)
-
-
-def _v6_kind(digits: Column) -> Column:
-    mapped = F.conv(F.substring(digits, 25, 8), 16, 10).cast("bigint")
-    return F.when(digits.startswith("0" * 20 + "ffff"), bind(mapped, _v4_kind)).otherwise(
-        _kind(digits, LOOPBACK_V6, PRIVATE_V6, PUBLIC_V6)
-    )
+def _address_kind(digits: Column) -> Column:
+    inside = F.filter(F.expr(_network_ranges()), lambda network: digits.between(network["first"], network["last"]))
+    return F.coalesce(F.try_element_at(inside, F.lit(1))["kind"], F.lit("public"))
 
 
 def host_kind(url: Column) -> Column:
@@ -141,13 +129,14 @@ def host_kind(url: Column) -> Column:
     def judge(netloc: Column) -> Column:
         name = _host_of_authority(netloc)
         opened, closed = netloc.contains("["), netloc.contains("]")
-        v6 = bind(_v6_digits(name), lambda digits: F.when(digits.isNull(), "malformed").otherwise(_v6_kind(digits)))
+        v4 = F.concat(F.lit(MAPPED), _v4_digits(name))
+        v6 = F.coalesce(bind(_v6_digits(name), lambda digits: F.when(digits.isNotNull(), _address_kind(digits))), F.lit("malformed"))
         return (
             F.when(opened != closed, "malformed")
             .when(opened, F.when(name.rlike(r"^v[0-9a-f]+\..+"), "public").otherwise(v6))
             .when(name == "", "missing")
             .when(name == "localhost", "localhost")
-            .when(name.rlike(rf"^{DOTTED_QUAD}\z"), bind(_v4_number(name), _v4_kind))
+            .when(name.rlike(rf"^{DOTTED_QUAD}\z"), bind(v4, _address_kind))
             .otherwise("public")
         )
 

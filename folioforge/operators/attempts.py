@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.functions import urls
-from folioforge.operators.lookup import lookup
+from folioforge.operators.lookup import heavy_keys, lookup
+from folioforge.operators.staging import stage
 from folioforge.settings import Settings
 
 REDIRECT_LIMIT = "too_many_redirects"
@@ -41,77 +42,62 @@ def resolve_attempts(attempts: DataFrame, settings: Settings = Settings()) -> Da
     )
 
 
-def _chains(redirects: DataFrame, steps: int) -> DataFrame:
-    """(node, chain): what following up to ``steps`` redirects from ``node`` leads to.
-
-    ``chain`` is a struct of the hops taken, the url reached, and a state: ``open`` (all steps used),
-    ``ok`` (the url reached redirects no further) or the reason of the failure. Chains of length n are joined
-    to chains of length n, so six steps take three joins. Targets are joined with ``lookup``, as one url (a
-    log-in page, say) may be the target of a large share of all redirects.
-    """
+def _steps(redirects: DataFrame) -> DataFrame:
+    """(node, hops, end, state): one redirect per redirecting url, its target made absolute and judged."""
     location = F.col("location")
     target = urls.resolve(F.col("src"), location)
-    single = (
+    return (
         redirects.filter(location.isNotNull())
         .groupBy("src")
         .agg(F.min("location").alias("location"))
+        .select(F.col("src").alias("node"), "location", target.alias("end"))
         .select(
-            F.col("src").alias("node"),
-            F.struct(
-                F.lit(1).alias("hops"),
-                target.alias("end"),
-                F.when(location == "", REDIRECT_LIMIT)
-                .when(urls.is_private_host(target), PRIVATE_TARGET)
-                .otherwise("open")
-                .alias("state"),
-            ).alias("chain"),
+            "node",
+            F.lit(1).alias("hops"),
+            "end",
+            F.when(location == "", REDIRECT_LIMIT)
+            .when(urls.is_private_host(F.col("end")), PRIVATE_TARGET)
+            .otherwise("open")
+            .alias("state"),
         )
     )
 
-    def followed_by(first: DataFrame, second: DataFrame) -> DataFrame:
-        is_open = F.col("chain.state") == "open"
-        at_end = first.select(
-            F.col("node").alias("_start"), "chain", F.when(is_open, F.col("chain.end")).alias("node")
-        )
-        joined = lookup(
-            at_end, second.withColumnRenamed("chain", "_next"), key="node", row_id="_start", name="_next"
-        )
-        return joined.select(
-            F.col("_start").alias("node"),
-            F.when(~is_open, F.col("chain"))
-            .when(
-                F.col("_next").isNull(),
-                F.struct(F.col("chain.hops").alias("hops"), F.col("chain.end").alias("end"), F.lit("ok").alias("state")),
-            )
-            .otherwise(
-                F.struct(
-                    (F.col("chain.hops") + F.col("_next.hops")).alias("hops"),
-                    F.col("_next.end").alias("end"),
-                    F.col("_next.state").alias("state"),
-                )
-            )
-            .alias("chain"),
-        )
 
-    result, power = None, single
-    while True:
-        if steps & 1:
-            result = power if result is None else followed_by(power, result)
-        steps >>= 1
-        if not steps:
-            return result
-        power = followed_by(power, power)
+def _chains(redirects: DataFrame, limit: int) -> DataFrame:
+    """(node, hops, end, state): what following up to ``limit`` redirects from each redirecting url leads to.
+
+    ``state`` is ``open`` (limit used up), ``ok`` (``end`` redirects no further) or a failure. A chain is
+    built from its far end: one step, then the chain that starts at its target. So every join has the same
+    left side, the staged table of single steps, which Spark shuffles once. One url (a log-in page, say) may
+    be the target of a large share of all redirects, hence ``lookup``.
+    """
+    steps = stage(_steps(redirects), "redirect-steps")
+    is_open = F.col("state") == "open"
+    targets = steps.withColumn("_target", F.when(is_open, F.col("end")))
+    heavy = heavy_keys(targets, "_target")
+    chains = steps
+    for _ in range(limit - 1):
+        onward = chains.select(F.col("node").alias("_target"), F.struct("hops", "end", "state").alias("_onward"))
+        found = lookup(targets, onward, key="_target", row_id="node", name="_onward", heavy=heavy)
+        goes_on = F.col("_onward").isNotNull()
+        chains = found.select(
+            "node",
+            F.when(goes_on, F.col("hops") + F.col("_onward.hops")).otherwise(F.col("hops")).alias("hops"),
+            F.when(goes_on, F.col("_onward.end")).otherwise(F.col("end")).alias("end"),
+            F.when(goes_on, F.col("_onward.state")).when(is_open, "ok").otherwise(F.col("state")).alias("state"),
+        )
+    return chains
 
 
 def resolve_redirects(requested: DataFrame, redirects: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Follow the redirects of each distinct url.
 
     ``requested`` has a column url, ``redirects`` is (src, location). One redirect more than the limit, a
-    redirect to a private host, or an empty Location fails. Columns: url, final_url (null on failure), hops,
+    redirect to a private host, or an empty Location fails. Stages the table of redirects. Columns: url, final_url (null on failure), hops,
     redirect_status (``direct``, ``ok``, ``private_target``, ``too_many_redirects``).
     """
     chains = _chains(redirects, settings.max_redirects + 1)
-    state = F.when(F.col("chain.state") == "open", REDIRECT_LIMIT).otherwise(F.col("chain.state"))
+    state = F.when(F.col("state") == "open", REDIRECT_LIMIT).otherwise(F.col("state"))
     status = F.coalesce(state, F.lit("direct"))
     return (
         requested.select("url")
@@ -119,8 +105,8 @@ def resolve_redirects(requested: DataFrame, redirects: DataFrame, settings: Sett
         .join(chains.withColumnRenamed("node", "url"), "url", "left")
         .select(
             "url",
-            F.when(status == "direct", F.col("url")).when(status == "ok", F.col("chain.end")).alias("final_url"),
-            F.coalesce("chain.hops", F.lit(0)).alias("hops"),
+            F.when(status == "direct", F.col("url")).when(status == "ok", F.col("end")).alias("final_url"),
+            F.coalesce("hops", F.lit(0)).alias("hops"),
             status.alias("redirect_status"),
         )
     )
@@ -130,11 +116,6 @@ def apply_redirects(attempts: DataFrame, redirects: DataFrame, settings: Setting
     """Mark attempts whose url leads nowhere allowed: ``error_kind`` is set where it was null."""
     chains = resolve_redirects(attempts, redirects, settings)
     failed = chains.filter(F.col("final_url").isNull()).select("url", F.col("redirect_status").alias("_failure"))
-    marked = lookup(
-        attempts.withColumn("_row", F.concat_ws("/", "article_id", "attempt", "url")),
-        failed,
-        key="url",
-        row_id="_row",
-        name="_failure",
-    )
-    return marked.withColumn("error_kind", F.coalesce("error_kind", "_failure")).drop("_failure", "_row")
+    heavy = heavy_keys(attempts, "url")
+    marked = lookup(attempts, failed, key="url", row_id="article_id", name="_failure", heavy=heavy)
+    return marked.withColumn("error_kind", F.coalesce("error_kind", "_failure")).drop("_failure")

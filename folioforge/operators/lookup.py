@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# At most this many keys are broadcast; a key outside the list holds less than 1/HOT_KEYS of the rows.
-HOT_KEYS = 1000
-# Keys with fewer rows than this are never treated as hot.
-HOT_KEY_ROWS = 100_000
+# At most this many keys count as heavy; any other key holds less than 1/HEAVY_KEYS of the rows.
+HEAVY_KEYS = 1000
+# A key with fewer rows than this is never heavy.
+HEAVY_KEY_ROWS = 100_000
+# A heavy key is spread over this many shuffle keys, so the copies on the other side are bounded too.
+SALTS = 256
+
+
+def heavy_keys(
+    table: DataFrame, key: str, *, limit: int = HEAVY_KEYS, at_least: int = HEAVY_KEY_ROWS
+) -> list[str]:
+    """The keys with the most rows. Runs a job that reads the key column; the list has a fixed upper bound."""
+    counts = table.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
+    heaviest = counts.filter(F.col("rows") >= at_least).orderBy(F.desc("rows"), key).limit(limit)
+    return [row[key] for row in heaviest.collect()]
 
 
 def lookup(
@@ -16,40 +29,20 @@ def lookup(
     right: DataFrame,
     *,
     key: str,
-    row_id: str,
+    row_id: str | Column,
     name: str,
-    hot_keys: int = HOT_KEYS,
-    hot_key_rows: int = HOT_KEY_ROWS,
+    heavy: Sequence[str],
 ) -> DataFrame:
     """Left join that adds ``name``, the value ``right`` holds for ``left[key]``, or null.
 
-    ``right`` has exactly the columns (key, name), one row per key and no null values; ``key`` is a string.
-    The heaviest keys of ``left`` (a bounded list) get their value from a broadcast; their rows then take
-    part in the shuffle join under a key made from ``row_id`` that matches nothing, so they spread evenly.
+    ``right`` has the columns (key, name), one row per key. The rows of a heavy key are spread by a hash of
+    ``row_id`` over ``SALTS`` shuffle keys, each of which gets a copy of the key's row of ``right``. Rows with
+    a null key, which match nothing, are spread the same way. All other keys are joined as they are.
     """
-    heavy = (
-        left.filter(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") >= hot_key_rows)
-        .orderBy(F.desc("_rows"), key)
-        .limit(hot_keys)
-        .select(key)
-    )
-    # Both broadcasts hold at most hot_keys rows, whatever the size of the tables.
-    known = right.join(F.broadcast(heavy), key)
-    hot = heavy.join(F.broadcast(known), key, "left").select(
-        key, F.col(name).alias("_hot_value"), F.lit(True).alias("_is_hot")
-    )
-    flagged = left.join(F.broadcast(hot), key, "left").withColumn(
-        "_cold_key",
-        F.when(F.col("_is_hot").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(
-            F.concat(F.lit("\0"), F.col(row_id).cast("string"))
-        ),
-    )
-    values = right.select(F.col(key).alias("_cold_key"), F.col(name).alias("_cold_value"))
-    return (
-        flagged.join(values, "_cold_key", "left")
-        .withColumn(name, F.coalesce("_hot_value", "_cold_value"))
-        .drop("_cold_key", "_cold_value", "_hot_value", "_is_hot")
-    )
+    zero = F.lit(0).cast("bigint")
+    hot = F.col(key).isin(list(heavy)) if heavy else F.lit(False)
+    salt = F.pmod(F.xxhash64(row_id), F.lit(SALTS))
+    salted = left.withColumn("_salt", F.when(hot | F.col(key).isNull(), salt).otherwise(zero))
+    last_copy = F.when(hot, F.lit(SALTS - 1).cast("bigint")).otherwise(zero)
+    copies = right.withColumn("_salt", F.explode(F.sequence(zero, last_copy)) if heavy else zero)
+    return salted.join(copies, [key, "_salt"], "left").drop("_salt")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.operators.lookup import lookup
+from folioforge.operators.lookup import heavy_keys, lookup
 from folioforge.settings import Settings
 
 POLICIES = ("fail", "overwrite", "suffix")
@@ -14,12 +14,15 @@ POLICIES = ("fail", "overwrite", "suffix")
 def publish_conflicts(articles: DataFrame, published: DataFrame, force: bool = False) -> DataFrame:
     """Articles (article_id, slug, ...) whose slug is published already; none when ``force`` is set.
 
-    Very frequent slugs (say, of untitled pages) do not pile up in one task, see ``lookup``.
+    Very frequent slugs (say, of untitled pages) do not pile up in one task, see ``lookup``; finding them
+    reads the slugs once, so pass a staged table.
     """
     if force:
         return articles.limit(0)
     taken = published.select("slug").distinct().withColumn("_taken", F.lit(True))
-    return lookup(articles, taken, key="slug", row_id="article_id", name="_taken").filter("_taken").drop("_taken")
+    heavy = heavy_keys(articles, "slug")
+    found = lookup(articles, taken, key="slug", row_id="article_id", name="_taken", heavy=heavy)
+    return found.filter("_taken").drop("_taken")
 
 
 def slug_conflict_policy(

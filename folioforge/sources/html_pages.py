@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import html, metadata
 from folioforge.functions.text import has_text
+from folioforge.sources.layout import evaluate_once, spread
 
 
 def read_html_pages(pages: DataFrame) -> DataFrame:
@@ -14,12 +15,10 @@ def read_html_pages(pages: DataFrame) -> DataFrame:
 
     Row-local, so it works on a batch or a stream and never shuffles the page text.
     """
-    read = (
-        pages.withColumn("_page", html.visible(F.col("html")))
-        .withColumn("_part", html.main_part(F.col("_page")))
-        .withColumn("_meta", html.meta_tags(F.col("_page")))
-        .withColumn("markdown", html.to_markdown(F.col("_part"), F.col("url")))
-    )
+    seen = spread(pages.select("page_id", "url", "html"), "page_id").withColumn("_page", html.visible(F.col("html")))
+    parts = seen.withColumn("_part", html.main_part(F.col("_page")))
+    read = evaluate_once(html.with_markdown(parts, "_part", "url", "markdown"), "markdown", "_page")
+    read = read.withColumn("_meta", html.meta_tags(F.col("_page")))
     return read.select(
         F.col("page_id").alias("article_id"),
         F.col("url").alias("source_url"),

@@ -9,13 +9,14 @@ from folioforge.functions import metadata
 from folioforge.functions.text import none_if_empty
 from folioforge.operators.fetch import fetch_class
 from folioforge.schemas import READER_BODY
+from folioforge.sources.layout import evaluate_once
 
 
 def parse_body(responses: DataFrame) -> DataFrame:
     """Add ``_data`` (the struct under ``data``, null when absent) and ``_decoded``."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "malformed"}
     parsed = responses.withColumn("_body", F.from_json("body", READER_BODY, options))
-    return parsed.withColumn(
+    return evaluate_once(parsed, "_body").withColumn(
         "_decoded", F.col("body").isNotNull() & F.col("_body").isNotNull() & F.col("_body.malformed").isNull()
     ).withColumn("_data", F.col("_body.data"))
 
