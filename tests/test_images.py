@@ -1,0 +1,198 @@
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from folioforge.functions import images as img
+from folioforge.operators import manifest as mf
+from folioforge.operators import refs
+from folioforge.schemas import ARTICLE, IMAGE_ATTEMPT
+
+
+def articles(spark, *markdowns):
+    data = [(i, "https://example.com/a", None, None, None, None, md) for i, md in enumerate(markdowns)]
+    return spark.createDataFrame(data, ARTICLE)
+
+
+def found(apply, *markdowns):
+    return [[(r.alt, r.url, r.original_match) for r in row] for row in apply(img.image_refs, list(markdowns))]
+
+
+def test_references(apply):
+    wiki = "![Wiki](https://en.example.org/wiki/File:Example_(test).jpg)"
+    nested = "[![thumb](https://example.com/thumb.png)](https://example.com/full.png)"
+    assert found(
+        apply,
+        "![inline](data:image/png;base64,AAAA)\n![remote](https://example.com/p.png)",
+        "![](https://example.com/img.png)",
+        wiki,
+        nested,
+        "![two\nlines]( https://example.com/x.png )",
+        "![t](https://example.com/x.png \"title\")",
+        "![rel](images/x.png) ![ftp](ftp://x/y.png) ![up](HTTPS://X/y.png)",
+        "![unclosed](https://example.com/x.png",
+        "![empty]()",
+        "![ref][1] and ![x](https://a/b.png)",
+        "no images",
+    ) == [
+        [("remote", "https://example.com/p.png", "![remote](https://example.com/p.png)")],
+        [("", "https://example.com/img.png", "![](https://example.com/img.png)")],
+        [("Wiki", "https://en.example.org/wiki/File:Example_(test", "![Wiki](https://en.example.org/wiki/File:Example_(test)")],
+        [("thumb", "https://example.com/thumb.png", "![thumb](https://example.com/thumb.png)")],
+        [("two\nlines", "https://example.com/x.png", "![two\nlines]( https://example.com/x.png )")],
+        [("t", 'https://example.com/x.png "title"', '![t](https://example.com/x.png "title")')],
+        [("up", "HTTPS://X/y.png", "![up](HTTPS://X/y.png)")],
+        [],
+        [],
+        [("ref][1] and ![x", "https://a/b.png", "![ref][1] and ![x](https://a/b.png)")],
+        [],
+    ]
+
+
+def test_cutting_the_text_changes_no_match(apply):
+    rng = random.Random(3)
+    pieces = ["![", "](", ")", "[", "]", "(", "a", "\n", "http://x", "!", "é"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    expected = [[m.group(0) for m in re.finditer(r"!\[.*?\]\([^)]+\)", t, re.DOTALL)] for t in texts]
+    assert [list(m) for m in apply(img.image_matches, texts)] == expected
+
+
+def test_openers_without_closers_do_not_take_quadratic_time(apply):
+    text = "![x " * 200_000
+    assert apply(img.image_matches, [text + "](", text + ")", text + "]()"]) == [[], [], []]
+
+
+def test_numbers_follow_first_sight(spark):
+    md = "![a](https://x/1) ![b](https://x/2) ![a2](https://x/1) ![c](https://x/3)"
+    table = articles(spark, md, "none")
+    exploded = refs.explode_image_refs(table)
+    rows = refs.image_sequence(exploded).orderBy("seq").collect()
+    assert [(r.url, r.pos, r.seq) for r in rows] == [("https://x/1", 0, 1), ("https://x/2", 1, 2), ("https://x/3", 3, 3)]
+    assert {r.url: r.mentions for r in refs.dedup_image_urls(exploded).collect()} == {
+        "https://x/1": 2, "https://x/2": 1, "https://x/3": 1,
+    }
+    assert [r.images_found for r in refs.count_unique_images(table).orderBy("article_id").collect()] == [3, 0]
+
+
+def test_rejections(spark):
+    cases = {
+        ("image/png", "https://x/a"): None,
+        ("IMAGE/PNG; charset=x", "https://x/a"): None,
+        ("text/html", "https://x/a.jpg"): "not_an_image",
+        ("application/octet-stream", "https://x/a.webp"): None,
+        ("application/octet-stream", "https://x/a.WEBP?w=1"): None,
+        ("application/octet-stream", "https://x/blob/abc"): "unknown_octet_stream",
+        ("application/octet-stream", "https://x/a%2ejpg"): "unknown_octet_stream",
+        (None, "https://x/a.jpg"): None,
+        ("", "https://x/a.jpeg"): None,
+        (None, "https://x/abc123"): "no_content_type",
+        ("; charset=x", "https://x/a.jpg"): "not_an_image",
+    }
+    table = spark.createDataFrame([(*k, i) for i, k in enumerate(cases)], "content_type string, url string, i int")
+    rows = mf.accept_image_responses(table).orderBy("i").collect()
+    assert [r.rejection for r in rows] == list(cases.values())
+
+
+def name_images(spark, *images):
+    """images of one article: (url, content type), all stored; returns the file names in order"""
+    data = [(1, i + 1, url, 1, kind, 10, None) for i, (url, kind) in enumerate(images)]
+    judged = spark.createDataFrame(
+        data, "article_id bigint, seq int, url string, attempts int, content_type string, size_bytes bigint, failure string"
+    )
+    return [r.filename for r in mf.image_local_filename(judged).orderBy("seq").collect()]
+
+
+def test_names(spark):
+    png, jpg = "image/png", "image/jpeg"
+    assert name_images(
+        spark,
+        ("https://x/photo.jpg?w=800&q=85", jpg),
+        ("https://x/abc123", png),
+        ("https://x/My%20Chart+v2.svg#f", None),
+        ("https://x/.png", None),
+        ("https://x/a/", png),
+        ("https://x/pic.jpeg", "application/octet-stream"),
+        ("https://x/pic2.jpeg", jpg),
+        ("https://x/odd.TIF", "image/x-odd"),
+        ("https://x/odd", "image/x-odd"),
+        ("https://x/--a--b--.png", png),
+        ("https://x/日本.gif", "image/gif"),
+        ("https://x/page.php", png),
+        ("https://x/v1.2;p=1", jpg),
+    ) == [
+        "001-photo.jpg", "002-abc123.png", "003-My-Chart-v2.svg", "004-image.png", "005-image-a.png", "006-pic.jpeg",
+        "007-pic2.jpg", "008-odd.TIF", "009-odd.bin", "010-a-b.png", "011-image.gif", "012-page.png", "013-v1.jpg",
+    ]
+
+
+def test_name_collisions_count_given_names_as_taken(spark):
+    def names(*bases):
+        return name_images(spark, *[(f"https://x/{i}/{b}.png", "image/png") for i, b in enumerate(bases)])
+
+    assert names("photo", "photo", "photo-a", "photo") == [
+        "001-photo.png", "002-photo-a.png", "003-photo-a-a.png", "004-photo-b.png",
+    ]
+    assert names("photo", "Photo", "other", "photo") == [
+        "001-photo.png", "002-Photo.png", "003-other.png", "004-photo-a.png",
+    ]
+    many = names(*["photo"] * 30)
+    assert many[26:] == ["027-photo-z.png", "028-photo-28.png", "029-photo-29.png", "030-photo-30.png"]
+    assert len(set(many)) == 30
+
+
+def test_large_numbers_keep_all_digits(apply):
+    assert apply(lambda c: img.numbered_name(c.cast("int"), F.lit("x"), F.lit(".png")), ["1", "999", "1234"]) == [
+        "001-x.png", "999-x.png", "1234-x.png",
+    ]
+
+
+def rewritten(spark, md, files):
+    table = refs.extract_image_refs(articles(spark, md))
+    names = F.lit(None).cast("map<string,string>") if not files else F.create_map(*[F.lit(x) for p in files.items() for x in p])
+    return table.select(img.rewrite(F.col("markdown"), F.col("refs"), names).alias("x")).first().x
+
+
+def test_rewriting(spark):
+    url = "https://example.com/img.png"
+    assert rewritten(spark, f"a ![]({url}) b", {url: "001-img.png"}) == "a ![](./images/001-img.png) b"
+    twice = f"![one]({url})\n```\n![one]({url})\n```\n![two]( {url} )"
+    assert rewritten(spark, twice, {url: "f"}) == "![one](./images/f)\n```\n![one](./images/f)\n```\n![two](./images/f)"
+    # A data URI whose text holds another reference changes with it.
+    holder = f"![d](data:,![x]({url}) ![x]({url})"
+    assert rewritten(spark, holder, {url: "f"}) == "![d](data:,![x](./images/f) ![x](./images/f)"
+    wiki = "![Wiki](https://en.example.org/File:Example_(test).jpg)"
+    assert rewritten(spark, wiki, {"https://en.example.org/File:Example_(test).jpg": "001-wiki.jpg"}) == wiki
+    assert rewritten(spark, twice, {"https://other/x.png": "f"}) == twice
+
+
+def attempts(spark, *rows):
+    return spark.createDataFrame(rows, IMAGE_ATTEMPT)
+
+
+def test_judging_and_results(spark):
+    from folioforge.operators.documents import prepare_articles
+    from folioforge.operators.reports import run_results
+
+    md = "![a](https://x/a.png) ![b](https://x/b.png) ![c](http://10.0.0.1/c.png) ![d](https://x/d.png) ![e](http://[bad/e.png)"
+    prepared = prepare_articles(articles(spark, md, "no images"))
+    log = attempts(
+        spark,
+        (0, "https://x/a.png", 1, 503, None, None, None),
+        (0, "https://x/a.png", 2, 200, None, "image/png", 7),
+        *[(0, "https://x/b.png", n, 404, None, None, None) for n in (1, 2, 3, 4)],
+        (0, "http://10.0.0.1/c.png", 1, 200, None, "image/png", 5),
+        (0, "http://[bad/e.png", 1, 200, None, "image/png", 5),
+    )
+    judged = mf.judge_images(refs.explode_images(prepared), log)
+    failures = [(r.seq, r.url, r.attempts, r.failure) for r in mf.failed_images(judged).orderBy("seq").collect()]
+    assert failures == [
+        (2, "https://x/b.png", 4, "attempts_failed"),
+        (3, "http://10.0.0.1/c.png", 1, "private_host"),
+        (4, "https://x/d.png", None, "no_response"),
+        (5, "http://[bad/e.png", 1, "malformed_host"),
+    ]
+    manifest = mf.image_local_filename(judged)
+    assert [(r.seq, r.filename, r.size_bytes) for r in manifest.collect()] == [(1, "001-a.png", 7)]
+    found_images = prepared.select("article_id", F.size("images").alias("images_found"))
+    results = run_results(found_images, manifest).orderBy("article_id").collect()
+    assert [tuple(r) for r in results] == [(0, "Partial success", 5, 1, 4), (1, "Success", 0, 0, 0)]
