@@ -161,6 +161,7 @@ def meta_tags(page: Column) -> Column:
 
 
 def meta_text(tags: Column, keys: tuple[str, ...]) -> Column:
-    return metadata.first_text(
-        [F.try_element_at(F.filter(tags, lambda tag, key=key: tag["name"] == key), F.lit(1))["content"] for key in keys]
-    )
+    def content(key: str) -> Column:
+        return F.try_element_at(F.filter(tags, lambda tag: tag["name"] == key), F.lit(1))["content"]
+
+    return metadata.first_text([content(key) for key in keys])
