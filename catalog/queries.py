@@ -192,7 +192,7 @@ def slugify(spark, folder):
     titled = F.regexp_extract("html", "<title>(.*?)</title>", 1)
     pages = table(spark, folder, "pages").select(F.col("page_id").alias("doc_id"), titled.alias("text"))
     texts = table(spark, folder, "documents").select("doc_id", "text").unionByName(pages)
-    return texts.select("doc_id", text.slugify(F.col("text")).alias("slug"))
+    return spread(texts, "doc_id").select("doc_id", text.slugify(F.col("text")).alias("slug"))
 
 
 @query
@@ -230,7 +230,7 @@ def assemble_documents(spark, folder):
 
 @query
 def redact_secrets(spark, folder):
-    return view(spark, folder, "secrets").select("doc_id", text.redact_secrets(F.col("text")).alias("text"))
+    return spread(view(spark, folder, "secrets"), "doc_id").select("doc_id", text.redact_secrets(F.col("text")).alias("text"))
 
 
 # --- image references
@@ -296,7 +296,8 @@ def image_syntax_profile(spark, folder):
 def image_syntax_totals(spark, folder):
     """The corpus sums, over the derived articles and the given documents."""
     texts = articles(spark, folder).select("markdown")
-    texts = texts.unionByName(table(spark, folder, "documents").select(F.col("text").alias("markdown")))
+    given = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    texts = texts.unionByName(given.select(F.col("text").alias("markdown")))
     return reports.profile_totals(reports.image_syntax_profile(texts))
 
 

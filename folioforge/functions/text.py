@@ -72,21 +72,26 @@ def transliterate(text: Column) -> Column:
     """Compatibility-decompose and drop what is not ASCII.
 
     Spark has no normalisation function, but the ASCII part of a decomposition depends on one character at
-    a time, so a character table gives the same answer without leaving the JVM.
+    a time, so a character table gives the same answer without leaving the JVM. Only the distinct non-ASCII
+    characters of a text are looked up, and each is then replaced in the whole text at once.
     """
     single, several = _ascii_expansions()
-    mapped = F.translate(text, "".join(single), "".join(single.values()))
-    table = F.str_to_map(
+    expansions = F.str_to_map(
         F.lit("\x01".join(f"{char}\x02{ascii_part}" for char, ascii_part in several.items())),
         F.lit("\x01"),
         F.lit("\x02"),
     )
-    characters = F.regexp_extract_all(mapped, F.lit("(?s)."), F.lit(0))
-    expanded = F.when(
-        mapped.rlike(f"[{''.join(several)}]"),
-        F.array_join(F.transform(characters, lambda c: F.coalesce(F.try_element_at(table, c), c)), ""),
-    ).otherwise(mapped)
-    return F.when(text.rlike(NON_ASCII), F.regexp_replace(expanded, NON_ASCII, "")).otherwise(text)
+
+    def ascii_part(char: Column) -> Column:
+        mapped = F.translate(char, "".join(single), "".join(single.values()))
+        return F.struct(
+            char.alias("char"), F.when(mapped != char, mapped).otherwise(F.try_element_at(expansions, char)).alias("ascii")
+        )
+
+    present = F.array_distinct(F.regexp_extract_all(text, F.lit(NON_ASCII), F.lit(0)))
+    known = F.filter(F.transform(present, ascii_part), lambda pair: pair["ascii"].isNotNull())
+    replaced = F.aggregate(known, text, lambda done, pair: F.replace(done, pair["char"], pair["ascii"]))
+    return F.when(text.rlike(NON_ASCII), F.regexp_replace(replaced, f"{NON_ASCII}+", "")).otherwise(text)
 
 
 def redact_secrets(text: Column) -> Column:

@@ -12,20 +12,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-DOCUMENT = "slug string, path string, article_id bigint, content string, batch_id string"
+DOCUMENT = "slug string, path string, article_id bigint, content string, slug_status string, batch_id string"
 IMAGE = "article_id bigint, slug string, seq int, url string, filename string, path string, size_bytes bigint, batch_id string"
 REPLACED = "slug string, old_batch_id string, batch_id string"
 BATCH = "batch_id string, articles bigint, images bigint"
 
 
 def write_articles(documents: DataFrame, folder: str) -> None:
-    """One row per document; files of even size, clustered by slug."""
-    documents.hint("rebalance", "slug").write.mode("overwrite").parquet(folder)
+    """One row per document, written from the partitions the text is in: not shuffled once more for this."""
+    documents.write.mode("overwrite").parquet(folder)
 
 
 def write_image_manifest(manifest: DataFrame, folder: str) -> None:
     """One row per stored image; articles without one leave no trace."""
-    manifest.hint("rebalance", "article_id").write.mode("overwrite").parquet(folder)
+    manifest.write.mode("overwrite").parquet(folder)
 
 
 def _read(spark: SparkSession, root: str, table: str, schema: str) -> DataFrame:
@@ -50,7 +50,8 @@ def _logged(spark: SparkSession, root: str, table: str, schema: str) -> DataFram
 def read_published(spark: SparkSession, root: str) -> DataFrame:
     """Current documents: those of logged batches whose slug no later batch replaced."""
     replaced = _logged(spark, root, "replaced", REPLACED).select("slug", F.col("old_batch_id").alias("batch_id"))
-    return _logged(spark, root, "articles", DOCUMENT).join(replaced, ["slug", "batch_id"], "left_anti")
+    current = _logged(spark, root, "articles", DOCUMENT).join(replaced, ["slug", "batch_id"], "left_anti")
+    return current.drop("slug_status")
 
 
 def read_published_images(spark: SparkSession, root: str) -> DataFrame:
@@ -71,28 +72,27 @@ def publish_corpus(root: str, batch_id: str, corpus: DataFrame, manifest: DataFr
         return False
     articles, images, replaced = (f"{root}/{table}/batch_id={batch_id}" for table in ("articles", "images", "replaced"))
     ready = corpus.filter(F.col("slug").isNotNull()).select(
-        "slug", F.concat("slug", F.lit("/article.md")).alias("path"), "article_id", "content"
+        "slug", F.concat("slug", F.lit("/article.md")).alias("path"), "article_id", "content", "slug_status"
     )
     write_articles(ready, articles)
-    written = spark.read.schema(ready.schema).parquet(articles).select("article_id", "slug")
-    write_image_manifest(
-        manifest.join(written, "article_id").select(
-            "article_id",
-            "slug",
-            "seq",
-            "url",
-            "filename",
-            F.concat("slug", F.lit("/images/"), "filename").alias("path"),
-            "size_bytes",
-        ),
-        images,
+    written = spark.read.schema(ready.schema).parquet(articles).drop("path", "content")
+    taken_over = written.filter(F.col("slug_status") == "replaces").select("slug")
+
+    placed = manifest.join(written.drop("slug_status"), "article_id").select(
+        "article_id",
+        "slug",
+        "seq",
+        "url",
+        "filename",
+        F.concat("slug", F.lit("/images/"), "filename").alias("path"),
+        "size_bytes",
     )
-    earlier = read_published(spark, root).select("slug", F.col("batch_id").alias("old_batch_id"))
-    earlier.join(written.select("slug"), "slug", "left_semi").write.mode("overwrite").parquet(replaced)
-    totals = spark.range(1).select(
-        F.lit(batch_id).alias("batch_id"),
-        F.lit(spark.read.parquet(articles).count()).alias("articles"),
-        F.lit(spark.read.parquet(images).count()).alias("images"),
-    )
-    totals.coalesce(1).write.mode("append").parquet(f"{root}/batches")
+    write_image_manifest(placed, images)
+
+    if not taken_over.isEmpty():
+        earlier = read_published(spark, root).select("slug", F.col("batch_id").alias("old_batch_id"))
+        earlier.join(taken_over, "slug", "left_semi").write.mode("overwrite").parquet(replaced)
+    stored = spark.read.schema(placed.schema).parquet(images)
+    entry = [(batch_id, written.count(), stored.count())]
+    spark.createDataFrame(entry, T.StructType.fromDDL(BATCH)).coalesce(1).write.mode("append").parquet(f"{root}/batches")
     return True

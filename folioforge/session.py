@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-# Runtime settings only; sizes scale with the input, so nothing here depends on the data.
+# Shuffle partitions aimed at when the size of the input is given.
+SHUFFLE_PARTITION_BYTES = 128 * 1024 * 1024
+
+# Runtime settings that do not depend on the input.
 RECOMMENDED = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -18,7 +21,13 @@ RECOMMENDED = {
 }
 
 
-def configure(spark: SparkSession) -> SparkSession:
+def configure(spark: SparkSession, input_bytes: int | None = None) -> SparkSession:
+    """Apply the settings. With ``input_bytes``, the uncompressed size of the text that a run shuffles, the
+    number of shuffle partitions is raised to fit it; adaptive execution merges those that stay small."""
     for name, value in RECOMMENDED.items():
         spark.conf.set(name, value)
+    if input_bytes is not None:
+        wanted = -(-input_bytes // SHUFFLE_PARTITION_BYTES)
+        current = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        spark.conf.set("spark.sql.shuffle.partitions", str(max(current, wanted)))
     return spark
