@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,11 +30,9 @@ IMAGES = (
     (rf"(?i)<img\b[^>]*\ssrc={QUOTED}[^>]*>", f"![]({MARK}$1)"),
 )
 LINKS = ((rf"(?i)<a\b[^>]*\shref={QUOTED}[^>]*>([^<]*+)</a\s*>", f"[$2]({MARK}$1)"),)
-EMPHASIS = (
-    (r"(?i)<(?:b|strong)(?:\s[^>]*)?>([^<]++)</(?:b|strong)\s*>", "**$1**"),
-    (r"(?i)<(?:i|em)(?:\s[^>]*)?>([^<]++)</(?:i|em)\s*>", "*$1*"),
-    (r"(?i)<code(?:\s[^>]*)?>([^<]++)</code\s*>", "`$1`"),
-)
+BOLD = ((r"(?i)<(?:b|strong)(?:\s[^>]*)?>([^<]++)</(?:b|strong)\s*>", "**$1**"),)
+ITALIC = ((r"(?i)<(?:i|em)(?:\s[^>]*)?>([^<]++)</(?:i|em)\s*>", "*$1*"),)
+CODE = ((r"(?i)<code(?:\s[^>]*)?>([^<]++)</code\s*>", "`$1`"),)
 SUBHEADINGS = tuple((rf"(?i)<h{level}(?:\s[^>]*)?>", f"\n\n{'#' * level} ") for level in range(2, 7))
 BLOCKS = (
     (r"(?i)<h1(?:\s[^>]*)?>", "\n\n# "),
@@ -43,7 +44,6 @@ BLOCKS = (
     ),
     (r"<[A-Za-z/!?][^>]*>", ""),
 )
-BLANKS = ((" *\n *", "\n"), (" {2,}", " "), ("\n{3,}", "\n\n"))
 # Named character references; the ampersand comes last.
 ENTITIES = (
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&middot;", "·"),
@@ -72,6 +72,8 @@ def unescape(text: Column) -> Column:
     named = text
     for entity, char in ENTITIES[:-1]:
         named = F.replace(named, F.lit(entity), F.lit(char))
+    # Most texts hold ampersands and nothing else.
+    named = F.when(text.rlike("&(?!amp;)[a-z]+;"), named).otherwise(text)
     whole = F.when(text.contains("&#"), bind(named, _numeric_references)).otherwise(named)
     return F.when(text.contains("&"), F.replace(whole, F.lit("&amp;"), F.lit("&"))).otherwise(text)
 
@@ -90,6 +92,11 @@ def main_part(page: Column) -> Column:
     return F.coalesce(*parts, page)
 
 
+def head(page: Column) -> Column:
+    """What stands before the body element; the whole page if none is found."""
+    return F.substring_index(page, "<body", 1)
+
+
 def page_title(page: Column) -> Column:
     return none_if_empty(strip(unescape(F.regexp_extract(page, r"(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>", 1))))
 
@@ -100,16 +107,24 @@ def _replace_all(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
     return text
 
 
-# (condition under which the rules are worth a pass over the text, rules), in order of application.
-STEPS = (
-    ("(?i)<(?:nav|footer|aside|form|div)[ >]", ((BOILERPLATE, " "),)),
-    ("(?i)<img", IMAGES),
-    ("(?i)<a ", LINKS),
-    ("(?i)<(?:b|strong|i|em|code)[ >]", EMPHASIS),
-    ("(?i)<h[2-6]", SUBHEADINGS),
-    ("(?i)<li", ((r"(?i)<li(?:\s[^>]*)?>", "\n- "),)),
-    ("<", BLOCKS),
-    (None, BLANKS),
+# (texts of which one must occur in the lower-cased page, rules), in order of application. Looking for a literal
+# is far cheaper than a pass of a regular expression.
+TAG_STEPS = (
+    (("<nav", "<footer", "<aside", "<form", "<div"), ((BOILERPLATE, " "),)),
+    (("<img",), IMAGES),
+    (("<a ",), LINKS),
+    (("</b", "</strong"), BOLD),
+    (("</i", "</em"), ITALIC),
+    (("</code",), CODE),
+    (("<h2", "<h3", "<h4", "<h5", "<h6"), SUBHEADINGS),
+    (("<li",), ((r"(?i)<li(?:\s[^>]*)?>", "\n- "),)),
+    (("<",), BLOCKS),
+)
+# The same, looked for in the text as it is by then.
+BLANK_STEPS = (
+    ((" \n", "\n "), ((" *\n *", "\n"),)),
+    (("  ",), ((" {2,}", " "),)),
+    (("\n\n\n",), (("\n{3,}", "\n\n"),)),
 )
 
 
@@ -119,19 +134,19 @@ def with_markdown(pages: DataFrame, part: str, page_url: str, name: str) -> Data
     Each step is a column of its own: a step mentions its input more than once, and a nested expression
     would compute everything below it as many times.
     """
-    for number, (condition, rules) in enumerate(STEPS):
-        text = F.col(f"_step{number - 1}" if number else part)
-        changed = _replace_all(text, rules)
-        pages = pages.withColumn(
-            f"_step{number}", F.when(text.rlike(condition), changed).otherwise(text) if condition else changed
-        )
-    text = F.col(f"_step{len(STEPS) - 1}")
-    pages = pages.withColumn("_plain", unescape(text))
+    pages = pages.withColumn("_low", F.lower(part))
+    previous, steps = part, []
+    for number, (literals, rules) in enumerate((*TAG_STEPS, *BLANK_STEPS)):
+        text, searched = F.col(previous), F.col("_low" if number < len(TAG_STEPS) else previous)
+        occurs = reduce(or_, [searched.contains(literal) for literal in literals])
+        previous = f"_step{number}"
+        steps.append(previous)
+        pages = pages.withColumn(previous, F.when(occurs, _replace_all(text, rules)).otherwise(text))
+    pages = pages.withColumn("_plain", unescape(F.col(previous)))
     linked = F.when(
-        F.instr("_plain", MARK) > 0, bind(F.col("_plain"), lambda text: _resolve_targets(text, F.col(page_url)))
+        F.col("_plain").contains(MARK), bind(F.col("_plain"), lambda text: _resolve_targets(text, F.col(page_url)))
     ).otherwise(F.col("_plain"))
-    pages = pages.withColumn(name, strip(linked))
-    return pages.drop("_plain", *[f"_step{number}" for number in range(len(STEPS))])
+    return pages.withColumn(name, strip(linked)).drop("_low", "_plain", *steps)
 
 
 def _resolve_targets(text: Column, page_url: Column) -> Column:

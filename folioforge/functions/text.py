@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 # Unicode white space. Java's \s is ASCII-only without (?U), and leaves out the four separators 1C-1F.
 SPACE = r"\s\x1c-\x1f"
+# The same characters as a plain string, for functions that take a set of characters.
+SPACES = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                           0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 NON_ASCII = r"[^\x00-\x7F]"
 
 
@@ -24,7 +27,7 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)^[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def has_text(text: Column) -> Column:

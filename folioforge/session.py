@@ -16,6 +16,9 @@ RECOMMENDED = {
     # Where AQE sees that each partition of the small side is below this, it hashes that side instead of
     # sorting both: the side with the document text is then not sorted.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
+    # Groups here are the images of one article: small, and many more than the 128 after which Spark would
+    # go over to sorting them.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "10000",
     # Long text rows: smaller scan splits keep a task's decoded pages well inside its memory.
     "spark.sql.files.maxPartitionBytes": "64MB",
 }

@@ -17,12 +17,13 @@ def read_html_pages(pages: DataFrame) -> DataFrame:
     """
     seen = spread(pages.select("page_id", "url", "html"), "page_id").withColumn("_page", html.visible(F.col("html")))
     parts = seen.withColumn("_part", html.main_part(F.col("_page")))
-    read = evaluate_once(html.with_markdown(parts, "_part", "url", "markdown"), "markdown", "_page")
-    read = read.withColumn("_meta", html.meta_tags(F.col("_page")))
+    parts = parts.withColumn("_head", html.head(F.col("_page")))
+    read = evaluate_once(html.with_markdown(parts, "_part", "url", "markdown"), "markdown", "_head")
+    read = read.withColumn("_meta", html.meta_tags(F.col("_head")))
     return read.select(
         F.col("page_id").alias("article_id"),
         F.col("url").alias("source_url"),
-        html.page_title(F.col("_page")).alias("title"),
+        html.page_title(F.col("_head")).alias("title"),
         html.meta_text(F.col("_meta"), metadata.AUTHOR_KEYS).alias("author"),
         html.meta_text(F.col("_meta"), metadata.DATE_KEYS).alias("date"),
         html.meta_text(F.col("_meta"), metadata.DESCRIPTION_KEYS).alias("description"),
