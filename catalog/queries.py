@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,10 +31,12 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(run: Query) -> Query:
+    """Register the function under its name, less a trailing underscore where the name is taken by an import."""
+
     def configured(spark: SparkSession, folder: str) -> DataFrame:
         return run(configure(spark), folder)
 
-    QUERIES[run.__name__] = configured
+    QUERIES[run.__name__.rstrip("_")] = configured
     return run
 
 
@@ -65,29 +66,20 @@ def attempts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query
-def read_reader_response_articles(spark, folder):
+def read_reader_responses_(spark, folder):
     return read_reader_responses(view(spark, folder, "fetches"))
 
 
-QUERIES["read_reader_responses"] = QUERIES.pop("read_reader_response_articles")
-
-
 @query
-def read_html_page_articles(spark, folder):
+def read_html_pages_(spark, folder):
     return read_html_pages(table(spark, folder, "pages"))
 
 
-QUERIES["read_html_pages"] = QUERIES.pop("read_html_page_articles")
-
-
 @query
-def read_image_response_log(spark, folder):
+def read_image_responses_(spark, folder):
     return read_image_responses(attempts(spark, folder))
 
 
-QUERIES["read_image_responses"] = QUERIES.pop("read_image_response_log")
-
-
 @query
 def write_articles(spark, folder):
     target = new_folder(spark, "articles")
@@ -171,15 +163,12 @@ def extract_metadata(spark, folder):
 
 
 @query
-def normalize_dates(spark, folder):
+def normalize_date_(spark, folder):
     dates = read_reader_responses(view(spark, folder, "fetches")).select("article_id", "date")
     dates = dates.unionByName(articles(spark, folder).select("article_id", "date"))
     return dates.withColumn("normalized", normalize_date(F.col("date")))
 
 
-QUERIES["normalize_date"] = QUERIES.pop("normalize_dates")
-
-
 @query
 def transliterate(spark, folder):
     return spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id").select(
@@ -421,7 +410,7 @@ def build_corpus(spark, folder):
 
 
 @query
-def build_corpus_incremental_run(spark, folder):
+def build_corpus_incremental_(spark, folder):
     """The landed pages as a stream, drained into a published corpus."""
     schema = table(spark, folder, "pages").schema
     landed = spark.readStream.schema(schema).option("pathGlobFilter", "pages*.parquet").parquet(folder)
@@ -433,12 +422,8 @@ def build_corpus_incremental_run(spark, folder):
     return publish.read_published(spark, root).select("slug", "path", "article_id", "content")
 
 
-QUERIES["build_corpus_incremental"] = QUERIES.pop("build_corpus_incremental_run")
-
-
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """One finished document per usable page."""
-    settings = Settings(downloaded_at=datetime(2026, 1, 1, tzinfo=UTC).strftime("%Y-%m-%dT%H:%M:%SZ"))
     pages = fetch.filter_usable_articles(read_html_pages(table(configure(spark), folder, "pages")))
-    ready = stage(docs.prepare_articles(pages, settings), "prepared")
-    return corpus.build_corpus(ready, attempts(spark, folder), settings, policy="suffix")
+    ready = stage(docs.prepare_articles(pages, SETTINGS), "prepared")
+    return corpus.build_corpus(ready, attempts(spark, folder), SETTINGS, policy="suffix")

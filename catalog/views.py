@@ -12,7 +12,7 @@ def repeat(source: str, rows: str, names: str, dialect: str) -> str:
     """FROM clause that pairs every row of ``source`` with each of a few constant rows."""
     if dialect == ORACLE:
         return f"{source}, (values {rows}) as r({names})"
-    structs = rows.replace("(", "struct(").replace("STRUCT", "(")
+    structs = rows.replace("(", "struct(")
     return f"{source} lateral view inline(array({structs})) r as {names}"
 
 
