@@ -19,7 +19,7 @@ from folioforge.operators.staging import new_folder, stage
 from folioforge.plans import corpus
 from folioforge.session import configure
 from folioforge.sources import read_html_pages, read_image_responses, read_reader_responses
-from folioforge.sources.layout import spread
+from folioforge.sources.layout import evaluate_once, spread
 from folioforge.streaming.incremental import build_corpus_incremental
 
 SETTINGS = Settings()
@@ -58,6 +58,13 @@ def prepared(spark: SparkSession, folder: str) -> DataFrame:
     return stage(docs.prepare_articles(articles(spark, folder), SETTINGS), "prepared")
 
 
+def referenced(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Image references and distinct images per article; the text only where a query asks for it."""
+    found = evaluate_once(refs.extract_image_refs(articles(spark, folder)), "refs")
+    images = img.unique_images(F.col("refs")).alias("images")
+    return stage(found.select("article_id", "refs", images, *columns), "referenced")
+
+
 def attempts(spark: SparkSession, folder: str) -> DataFrame:
     return view(spark, folder, "attempts")
 
@@ -91,7 +98,7 @@ def write_articles(spark, folder):
 @query
 def write_image_manifest(spark, folder):
     target = new_folder(spark, "images")
-    stored = corpus.image_manifest(prepared(spark, folder), attempts(spark, folder), SETTINGS)
+    stored = corpus.image_manifest(referenced(spark, folder), attempts(spark, folder), SETTINGS)
     publish.write_image_manifest(stored, target)
     return spark.read.parquet(target)
 
@@ -266,12 +273,12 @@ def image_extension(spark, folder):
 
 @query
 def image_local_filename(spark, folder):
-    return corpus.image_manifest(prepared(spark, folder), attempts(spark, folder), SETTINGS)
+    return corpus.image_manifest(referenced(spark, folder), attempts(spark, folder), SETTINGS)
 
 
 @query
 def rewrite_image_refs(spark, folder):
-    ready = prepared(spark, folder)
+    ready = referenced(spark, folder, "markdown")
     stored = corpus.image_manifest(ready, attempts(spark, folder), SETTINGS)
     return manifest.rewrite_image_refs(ready, stored).select("article_id", "markdown")
 
@@ -295,7 +302,7 @@ def image_syntax_totals(spark, folder):
 
 @query
 def resolve_image_refs(spark, folder):
-    ready = prepared(spark, folder)
+    ready = referenced(spark, folder)
     stored = corpus.image_manifest(ready, attempts(spark, folder), SETTINGS)
     exploded = ready.select("article_id", F.inline("refs"))
     return manifest.resolve_image_refs(exploded, stored).select("article_id", "pos", "alt", "url", "filename")
@@ -303,7 +310,7 @@ def resolve_image_refs(spark, folder):
 
 @query
 def failed_images(spark, folder):
-    judged = manifest.judge_images(refs.explode_images(prepared(spark, folder)), attempts(spark, folder), SETTINGS)
+    judged = manifest.judge_images(refs.explode_images(referenced(spark, folder)), attempts(spark, folder), SETTINGS)
     return manifest.failed_images(judged)
 
 
@@ -338,7 +345,7 @@ def resolve_attempts(spark, folder):
 
 
 def _found_and_stored(spark, folder):
-    ready = prepared(spark, folder)
+    ready = referenced(spark, folder, "source_url")
     found = ready.select("article_id", F.size("images").alias("images_found"))
     return found, corpus.image_manifest(ready, attempts(spark, folder), SETTINGS), ready
 

@@ -196,3 +196,24 @@ def test_judging_and_results(spark):
     found_images = prepared.select("article_id", F.size("images").alias("images_found"))
     results = run_results(found_images, manifest).orderBy("article_id").collect()
     assert [tuple(r) for r in results] == [(0, "Partial success", 5, 1, 4), (1, "Success", 0, 0, 0)]
+
+
+def test_names_agree_with_one_pass_over_the_article(spark):
+    """Names are settled per group of alike beginnings; one pass over all images must give the same."""
+    rng = random.Random(11)
+    bases = ["p", "p-a", "p-a-a", "p-b", "p-3", "p-5", "q", "q-a", "P"]
+    table, expected = [], {}
+    for article in range(60):
+        taken = set()
+        for seq in range(1, rng.randint(2, 40)):
+            base, ext = rng.choice(bases), rng.choice([".png", ".jpg"])
+            options = [base, *(f"{base}-{letter}" for letter in "abcdefghijklmnopqrstuvwxyz")]
+            stem = next((o for o in options if o + ext not in taken), f"{base}-{seq}")
+            taken.add(stem + ext)
+            expected[article, seq] = f"{seq:03d}-{stem}{ext}"
+            table.append((article, seq, f"https://x/{seq}/{base}{ext}", 1, None, 1, None))
+    judged = spark.createDataFrame(
+        table, "article_id bigint, seq int, url string, attempts int, content_type string, size_bytes bigint, failure string"
+    )
+    found = {(r.article_id, r.seq): r.filename for r in mf.image_local_filename(judged).collect()}
+    assert found == expected
