@@ -130,7 +130,7 @@ def host_kind(url: Column) -> Column:
         name = _host_of_authority(netloc)
         opened, closed = netloc.contains("["), netloc.contains("]")
         v4 = F.concat(F.lit(MAPPED), _v4_digits(name))
-        v6 = F.coalesce(bind(_v6_digits(name), lambda digits: F.when(digits.isNotNull(), _address_kind(digits))), F.lit("malformed"))
+        v6 = bind(_v6_digits(name), lambda digits: F.when(digits.isNull(), "malformed").otherwise(_address_kind(digits)))
         return (
             F.when(opened != closed, "malformed")
             .when(opened, F.when(name.rlike(r"^v[0-9a-f]+\..+"), "public").otherwise(v6))

@@ -93,8 +93,10 @@ def resolve_redirects(requested: DataFrame, redirects: DataFrame, settings: Sett
     """Follow the redirects of each distinct url.
 
     ``requested`` has a column url, ``redirects`` is (src, location). One redirect more than the limit, a
-    redirect to a private host, or an empty Location fails. Stages the table of redirects. Columns: url, final_url (null on failure), hops,
-    redirect_status (``direct``, ``ok``, ``private_target``, ``too_many_redirects``).
+    redirect to a private host, or an empty Location fails. Stages the table of redirects.
+
+    Columns: url, final_url (null on failure), hops, redirect_status (``direct``, ``ok``, ``private_target``,
+    ``too_many_redirects``).
     """
     chains = _chains(redirects, settings.max_redirects + 1)
     state = F.when(F.col("state") == "open", REDIRECT_LIMIT).otherwise(F.col("state"))

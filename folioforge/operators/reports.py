@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.functions import urls
-from folioforge.functions.images import IMAGE, image_matches, split_match
+from folioforge.functions.images import image_matches, split_match
 from folioforge.functions.text import has_text
 from folioforge.operators.running import running_total
 from folioforge.settings import Settings
@@ -139,7 +139,7 @@ def image_syntax_profile(documents: DataFrame, text: str = "markdown") -> DataFr
                 ),
                 "reference_style": counted("![", _count(source, r"!\[[^\]]*\]\[[^\]]+\]")),
                 "in_code_fences": counted("```", fenced),
-                "image_links": counted("[![", _count(source, rf"\[{IMAGE.removeprefix('(?s)').replace('.*?', '[^]]*')}\]\([^)]+\)")),
+                "image_links": counted("[![", _count(source, r"\[!\[[^]]*\]\([^)]+\)\]\([^)]+\)")),
                 "title_attributes": matching(lambda image: image["url"].rlike(r"""\s["'][^"']*["']\s*\z""")),
             }
         )

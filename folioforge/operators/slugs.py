@@ -40,8 +40,9 @@ def slug_conflict_policy(
     holds two hyphens in a row, so such a name meets no other slug.
 
     Columns: article_id, slug, final_slug (null when refused), slug_status (``new``, ``replaces``,
-    ``renamed``, ``superseded``, ``conflict``). First and last are by (``arrival``, article_id). The winner of a slug is an aggregate that
-    comes back on article_id, so a slug shared by many articles never gathers in one task.
+    ``renamed``, ``superseded``, ``conflict``). First and last are by (``arrival``, article_id). The winner of
+    a slug is an aggregate that comes back on article_id, so a slug shared by many articles never gathers in
+    one task.
     """
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}, not {policy!r}")
