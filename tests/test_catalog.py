@@ -6,6 +6,8 @@ import pytest
 
 import __spark_entry__ as entry
 import check
+from catalog.oracles import ORACLES
+from catalog.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 SELECTION = ["read_html_pages", "read_reader_responses", "resolve_title_slug", "resolve_redirects", "run_status", "build_corpus"]
@@ -14,7 +16,9 @@ pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="needs the tes
 
 
 def test_every_query_has_its_sql():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(ORACLES) == set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", SELECTION)
