@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioforge.llm import fingerprints, licenses, url_filters
+from folioforge.llm import fingerprints, importance, langid, licenses, pieces, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -21,16 +22,42 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_importance_resampling(spark, folder):
+    return importance.resample(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query
 def op2_syncmer_fingerprints(spark, folder):
     return fingerprints.compare_edits(table(spark, folder, "documents"))
 
 
+@query
+def op3_language_id(spark, folder):
+    docs = table(spark, folder, "documents")
+    model = langid.train(docs.where(F.col("doc_id").isNotNull() & ~langid.held_out(F.col("doc_id"))).select("text", "lang"))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op6_license_scan(spark, folder):
     return licenses.license_digest(licenses.scan_licenses(table(spark, folder, "documents")))
 
 
+def piece_model() -> str:
+    """Where this machine keeps the public model; operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query
+def op7_piece_round_trip(spark, folder):
+    model = piece_model()
+    return pieces.piece_digest(pieces.decode(pieces.encode(table(spark, folder, "documents"), model), model))
+
+
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
