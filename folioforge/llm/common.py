@@ -154,6 +154,10 @@ def windows(tokens: np.ndarray, first: np.ndarray, n: int, multiplier: int = MUL
     return between(prefix_sums(tokens, multiplier), starts, starts + n, multiplier), starts
 
 
+# Fixed, so that what is smallest does not depend on how long the rest of the array is.
+POSITION_BITS = np.uint64(30)
+
+
 def minimizers(values: np.ndarray, width: int) -> np.ndarray:
     """For every window of ``width`` values, where its smallest lies (the leftmost of equal ones).
 
@@ -162,13 +166,12 @@ def minimizers(values: np.ndarray, width: int) -> np.ndarray:
     count = len(values) - width + 1
     if count <= 0:
         return np.zeros(0, np.int64)
+    # The position in the low bits makes values distinct, and ties go to the left.
     padded = -(-len(values) // width) * width
     order = np.full(padded, np.iinfo(np.uint64).max, np.uint64)
-    # The position in the low bits makes values distinct and ties go to the left.
-    low = np.uint64(max(1, int(padded - 1).bit_length()))
-    order[: len(values)] = (values >> low << low) | np.arange(len(values), dtype=np.uint64)
+    order[: len(values)] = (values >> POSITION_BITS << POSITION_BITS) | np.arange(len(values), dtype=np.uint64)
     blocks = order.reshape(-1, width)
     forward = np.minimum.accumulate(blocks, axis=1).ravel()
     backward = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     least = np.minimum(backward[:count], forward[width - 1 : width - 1 + count])
-    return (least & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+    return (least & ((np.uint64(1) << POSITION_BITS) - np.uint64(1))).astype(np.int64)

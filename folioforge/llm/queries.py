@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import fingerprints, importance, langid, licenses, pieces, url_filters
+from folioforge.llm import debruijn, fingerprints, importance, langid, licenses, pieces, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -64,3 +64,8 @@ URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block",
 @query
 def op8_url_filters(spark, folder):
     return url_filters.filter_urls(table(spark, folder, "pages"), url_filters.rule_table(spark, URL_RULES))
+
+
+@query
+def op10_repeated_words(spark, folder):
+    return debruijn.repeated_words(table(spark, folder, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
