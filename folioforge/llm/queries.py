@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import debruijn, fingerprints, importance, langid, licenses, pieces, url_filters
+from folioforge.llm import debruijn, decontamination, fingerprints, importance, langid, licenses, pieces, simhash, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,6 +40,11 @@ def op3_language_id(spark, folder):
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op5_simhash_groups(spark, folder):
+    return simhash.fingerprint_digits(simhash.near_duplicates(table(spark, folder, "documents")))
+
+
 @query
 def op6_license_scan(spark, folder):
     return licenses.license_digest(licenses.scan_licenses(table(spark, folder, "documents")))
@@ -69,3 +74,8 @@ def op8_url_filters(spark, folder):
 @query
 def op10_repeated_words(spark, folder):
     return debruijn.repeated_words(table(spark, folder, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query
+def op9_benchmark_leaks(spark, folder):
+    return decontamination.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
