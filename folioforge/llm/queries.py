@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import debruijn, decontamination, fingerprints, importance, langid, licenses, pieces, simhash, url_filters
+from folioforge.llm import debruijn, decontamination, fingerprints, importance, langid, licenses, pieces, simhash, suffixes, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,6 +40,11 @@ def op3_language_id(spark, folder):
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op4_repeated_bytes(spark, folder):
+    return suffixes.repeated_bytes(table(spark, folder, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query
 def op5_simhash_groups(spark, folder):
     return simhash.fingerprint_digits(simhash.near_duplicates(table(spark, folder, "documents")))
