@@ -110,7 +110,8 @@ def with_next(texts: DataFrame, carried: list[str]) -> DataFrame:
         return ranged.select(*texts.columns, *[F.col(c).alias(f"next_{c}") for c in carried])
     pairs = [(after.top, before.part) for before, after in pairwise([*tops, tops[0]])]
     wanted = texts.sparkSession.createDataFrame(pairs, "top bigint, to_part int")
-    heads = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("top")))
+    # One pair of numbers for each range: broadcast, so the texts are not dealt out to find these few rows.
+    heads = texts.join(F.broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("top")))
     first = Window.partitionBy("to_part").orderBy("text")
     heads = heads.withColumn("rank", F.row_number().over(first)).where("rank = 1")
     heads = heads.select(*texts.columns, F.col("to_part").alias("part"), F.lit(True).alias("borrowed"))
