@@ -6,13 +6,14 @@ the size of its partition.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Texts of a slice together, unless one text alone is longer.
 SLICE_BYTES = 2 << 20
@@ -175,3 +176,29 @@ def minimizers(values: np.ndarray, width: int) -> np.ndarray:
     backward = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     least = np.minimum(backward[:count], forward[width - 1 : width - 1 + count])
     return (least & ((np.uint64(1) << POSITION_BITS) - np.uint64(1))).astype(np.int64)
+
+
+def annotate(docs: DataFrame, compute: Callable[[list[str]], list[pa.Array]], kind: str) -> DataFrame:
+    """All columns of ``docs``, under the names c0, c1, ..., and the columns of ``kind`` that ``compute`` gives for a
+    list of texts (null as empty). Rows stay where they are, and names of ``docs`` cannot clash, not even with
+    each other."""
+    at = docs.columns.index("text")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).withColumn(f"c{at}", F.col(f"c{at}").cast("string"))
+    added = StructType.fromDDL(kind)
+    names = [*plain.columns, *added.names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at)
+            for begin, end in slices(text_bytes(texts)[1]):
+                for first in range(begin, end, 4096):
+                    part = batch.slice(first, min(end, first + 4096) - first)
+                    found = compute([t or "" for t in part.column(at).to_pylist()])
+                    yield pa.RecordBatch.from_arrays([*part.columns, *found], names)
+
+    return plain.mapInArrow(run, StructType([*plain.schema.fields, *added.fields]))
+
+
+def restored(annotated: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` again, of the rows that are left."""
+    return annotated.select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import Words, identified, slices, text_bytes, windows
+from folioforge.llm.common import Words, annotate, identified, restored, slices, text_bytes, windows
 
 SEED = 3
 # Stretch of an item of which the rarer half are seeds.
@@ -204,3 +204,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return identified(docs).mapInArrow(run, kind)
 
     return reduce(DataFrame.union, map(search, item_blocks(benchmark)), spark.createDataFrame([], kind))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Rows of ``docs``, all columns, that hold no item of the benchmark."""
+    counted = docs
+
+    def judge_by(items: Items):
+        shared = docs.sparkSession.sparkContext.broadcast((items, items.keep_rare(count_grams(counted, items))))  # of one block
+
+        def judge(texts: list[str]) -> list[pa.Array]:
+            clean = np.ones(len(texts), bool)
+            for row, *_ in leaks_of(texts, *shared.value):
+                clean[row] = False
+            return [pa.array(clean)]
+
+        return judge
+
+    for rows in item_blocks(benchmark):
+        docs = restored(annotate(docs, judge_by(Items(rows)), "clean boolean").where("clean"), docs)
+    return docs

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import identified, mix, slices, text_bytes
+from folioforge.llm.common import annotate, identified, mix, restored, slices, text_bytes
 from folioforge.operators.staging import stage
 
 # An n-gram counts as one of a language if it makes up this share of its n-grams, so a language has at most the inverse.
@@ -166,3 +166,14 @@ def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
                     )
 
     return identified(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, model: LanguageFilter, least_score: float) -> DataFrame:
+    """Rows of ``docs``, all columns, whose text has a language and at least this score."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def judge(texts: list[str]) -> list[pa.Array]:
+        number, score = score_texts(texts, shared.value)
+        return [pa.array((number >= 0) & (score >= least_score))]
+
+    return restored(annotate(docs, judge, "known boolean").where("known"), docs)
