@@ -1,6 +1,6 @@
 """What several operators share: staging, and array code over the UTF-8 bytes of a batch of texts.
 
-Array code runs inside Spark tasks, on slices of a few megabytes of text, so the memory of a task does not depend on
+Array code runs inside Spark tasks, on slices of half a megabyte of text, so the memory of a task does not depend on
 the size of its partition.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 # Texts of a slice together, unless one text alone is longer.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 # ASCII white space, the separators of words.
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
