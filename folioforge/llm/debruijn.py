@@ -30,7 +30,7 @@ from folioforge.llm.common import (
     window_starts,
     windows,
 )
-from folioforge.llm.repeats import BUCKET_KEYS, Keys, attach, distinct_texts, find_repeated, total_bytes, unpack
+from folioforge.llm.repeats import BUCKET_KEYS, Keys, attach, distinct_texts, extent, find_repeated, unpack
 from folioforge.operators.staging import stage
 
 K = 35
@@ -137,10 +137,11 @@ def repeated_words(docs: DataFrame, k: int = K, anchor: int = ANCHOR) -> DataFra
     Null, empty and short texts have no spans. Texts that occur twice are repeated as a whole. A null doc_id stays null.
     """
     texts = distinct_texts(docs)
-    words = total_bytes(texts) // 6
-    anchors = find_repeated(texts.select("key", "text"), anchor_keys(k, anchor), words // (5 * BUCKET_KEYS) + 1, exact=False)
+    size, groups = extent(texts)
+    words = size // 6
+    anchors = find_repeated(texts.select("key", "text"), anchor_keys(k, anchor), words // (5 * BUCKET_KEYS) + 1, groups, exact=False)
     candidates = attach(texts.select("key", "text"), stage(anchors, "repeated-anchors"))
-    edges = find_repeated(candidates.where("found is not null"), edge_keys(k, anchor), words // (2 * BUCKET_KEYS) + 1, exact=True)
+    edges = find_repeated(candidates.where("found is not null"), edge_keys(k, anchor), words // (2 * BUCKET_KEYS) + 1, groups, exact=True)
     spans = stage(paths(attach(texts, edges), k), "repeated-paths")
     keys = identified(docs).select("doc_id", text_key(F.col("text")).alias("key"))
     return keys.join(spans, "key").drop("key")

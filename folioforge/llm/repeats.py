@@ -20,11 +20,14 @@ from folioforge.llm.common import identified, text_key
 from folioforge.operators.staging import new_folder
 
 # Keys that a task holds before it sends them, and keys that a bucket gets.
-TASK_KEYS = 2_000_000
-BUCKET_KEYS = 1_500_000
+TASK_KEYS = 500_000
+BUCKET_KEYS = 750_000
 
 PACKED = "bucket int, keys binary, counts binary, positions binary, hashes binary, checks binary, repeated binary"
-FOUND = "key binary, positions binary"
+# Texts whose findings travel together, and what a bucket sends on for such a group.
+GROUP_TEXTS = 4096
+GROUPED = "texts int, keys binary, sizes binary, positions binary"
+FOUND = "key binary, found binary"
 
 # What a slice of texts gives: row of each key, position in the row's text, hash, second hash (or None).
 Keys = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]
@@ -47,18 +50,51 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
-def total_bytes(texts: DataFrame) -> int:
-    return texts.agg(F.sum("n_bytes")).first()[0] or 0
+def extent(texts: DataFrame) -> tuple[int, int]:
+    """Bytes of all texts, and the number of groups for their findings."""
+    size, count = texts.agg(F.sum("n_bytes"), F.count(F.lit(1))).first()
+    return size or 0, count // GROUP_TEXTS + 1
 
 
 def attach(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """Texts with the list of what was found in each (null: nothing). Text stays where it lies."""
-    gathered = found.groupBy("key").agg(F.collect_list("positions").alias("found"))
-    return texts.join(gathered.hint("shuffle_hash"), "key", "left")
+    """Texts with what was found in each (null: nothing). Text stays where it lies."""
+    return texts.join(found.hint("shuffle_hash"), "key", "left")
 
 
-def unpack(found: list[bytes] | None, kind=np.uint32) -> np.ndarray:
-    return np.frombuffer(b"".join(found), kind).astype(np.int64) if found else np.zeros(0, np.int64)
+def unpack(found: bytes | None) -> np.ndarray:
+    return np.frombuffer(found, np.uint32).astype(np.int64) if found else np.zeros(0, np.int64)
+
+
+def grouped_rows(keys: list[bytes], found: list[bytes], groups: int) -> pa.Table:
+    """Findings of a bucket, packed into one row for each group of texts."""
+    out: list[list] = [[], [], [], []]
+    if keys:
+        # Keys are digests: any four of their bytes are spread evenly.
+        group = np.frombuffer(b"".join(keys), np.uint32)[::4] % np.uint32(groups)
+        order = np.argsort(group, kind="stable")
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(group[order])) + 1, [len(order)]])
+        for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+            own = order[begin:end].tolist()
+            out[0].append(int(group[own[0]]))
+            out[1].append(b"".join(keys[i] for i in own))
+            out[2].append(np.array([len(found[i]) for i in own], np.uint32).tobytes())
+            out[3].append(b"".join(found[i] for i in own))
+    kinds = [pa.int32(), *[pa.binary()] * 3]
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], [f.split()[0] for f in GROUPED.split(", ")])
+
+
+def by_text(grouped: DataFrame) -> DataFrame:
+    """Findings of all buckets, one row for each text: (key, found)."""
+
+    def gather(table: pa.Table) -> pa.Table:
+        found: dict[bytes, list[bytes]] = {}
+        for keys, sizes, positions in zip(*(table.column(c).to_pylist() for c in ("keys", "sizes", "positions")), strict=True):
+            ends = np.cumsum(np.frombuffer(sizes, np.uint32).astype(np.int64)).tolist()
+            for i, (begin, end) in enumerate(zip([0, *ends], ends, strict=False)):
+                found.setdefault(keys[16 * i : 16 * i + 16], []).append(positions[begin:end])
+        return pa.table({"key": pa.array(list(found), pa.binary()), "found": pa.array([b"".join(f) for f in found.values()], pa.binary())})
+
+    return grouped.groupBy("texts").applyInArrow(gather, FOUND)
 
 
 def packed_rows(keys: np.ndarray, rows: np.ndarray, positions: np.ndarray, hashes: np.ndarray, checks, repeated, bucket: np.ndarray) -> pa.RecordBatch:
@@ -106,8 +142,8 @@ def send(keys: np.ndarray, parts: list[Keys], buckets: int) -> Iterator[pa.Recor
         yield packed_rows(keys, rows[later], positions[later], none, None, none.astype(bool), away)
 
 
-def find_repeated(texts: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[Keys]], buckets: int, exact: bool) -> DataFrame:
-    """Where keys stand that occur more than once: (key, positions), several rows for a text.
+def find_repeated(texts: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[Keys]], buckets: int, groups: int, exact: bool) -> DataFrame:
+    """Where keys stand that occur more than once: (key, found), a row for each text that has any.
 
     ``texts`` has the column key; ``keys_of`` gives the keys of a batch, slice by slice. ``exact``: keys are compared by
     128 bits; else by enough bits to find candidates.
@@ -158,6 +194,6 @@ def find_repeated(texts: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator
                 found_keys.append(own_keys[16 * i : 16 * i + 16])
                 found.append(chosen[ends[i] - per_text[i] : ends[i]].tobytes())
             done += len(positions)
-        return pa.table({"key": pa.array(found_keys, pa.binary()), "positions": pa.array(found, pa.binary())})
+        return grouped_rows(found_keys, found, groups)
 
-    return texts.mapInArrow(collect, PACKED).groupBy("bucket").applyInArrow(compare, FOUND)
+    return by_text(texts.mapInArrow(collect, PACKED).groupBy("bucket").applyInArrow(compare, GROUPED))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.common import SECOND_MULTIPLIER, between, byte_codes, identified, minimizers, prefix_sums, slices, text_bytes, text_key, window_starts
-from folioforge.llm.repeats import BUCKET_KEYS, FOUND, Keys, attach, distinct_texts, find_repeated, total_bytes, unpack
+from folioforge.llm.repeats import BUCKET_KEYS, GROUPED, Keys, attach, by_text, distinct_texts, extent, find_repeated, grouped_rows, unpack
 from folioforge.operators.staging import stage
 
 LENGTH = 400
@@ -30,7 +30,7 @@ COVER = (0, 1, 3, 7, 15, 31, 63, 90, 116, 127, 136, 181, 194, 204, 233, 238, 255
 # Bytes of the inner string by which remaining suffixes meet.
 INNER = 32
 # Bytes of text that a task holds before it sends them, and that a bucket gets.
-TASK_BYTES, BUCKET_BYTES = 16 << 20, 6 << 20
+TASK_BYTES, BUCKET_BYTES = 8 << 20, 4 << 20
 CONTEXTS = "bucket int, bytes binary, sizes binary, keys binary, context binary, starts binary"
 SPANS = "key binary, starts array<int>, ends array<int>, n_removed long, n_spans long, kept_sha256 string"
 
@@ -126,8 +126,8 @@ def meet(attached: DataFrame, length: int, buckets: int) -> DataFrame:
     return attached.select("key", "text", "found").mapInArrow(run, CONTEXTS)
 
 
-def merge(met: DataFrame, length: int) -> DataFrame:
-    """Suffixes whose first ``length`` bytes stand at two coordinates or more: (key, positions)."""
+def merge(met: DataFrame, length: int, groups: int) -> DataFrame:
+    """Suffixes whose first ``length`` bytes stand at two coordinates or more, as runs: (key, found)."""
 
     def compare(table: pa.Table) -> pa.Table:
         parts = {name: table.column(name).to_pylist() for name in table.column_names}
@@ -166,9 +166,9 @@ def merge(met: DataFrame, length: int) -> DataFrame:
                 pairs = np.stack([own[np.concatenate([[0], cut + 1])], own[np.append(cut, len(own) - 1)]], axis=1) + begin
                 found_keys.append(key)
                 found.append(pairs.astype(np.uint32).tobytes())
-        return pa.table({"key": pa.array(found_keys, pa.binary()), "positions": pa.array(found, pa.binary())})
+        return grouped_rows(found_keys, found, groups)
 
-    return met.groupBy("bucket").applyInArrow(compare, FOUND)
+    return by_text(met.groupBy("bucket").applyInArrow(compare, GROUPED))
 
 
 def covered(found: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -216,10 +216,10 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Strings are judged on the input. A null doc_id stays null.
     """
     texts = distinct_texts(docs)
-    size = total_bytes(texts)
-    named = find_repeated(texts.select("key", "text"), sampled_names(length), size * len(COVER) // V // BUCKET_KEYS + 1, exact=False)
+    size, groups = extent(texts)
+    named = find_repeated(texts.select("key", "text"), sampled_names(length), size * len(COVER) // V // BUCKET_KEYS + 1, groups, exact=False)
     candidates = attach(texts.select("key", "text"), stage(named, "shared-names")).where("found is not null")
-    merged = merge(meet(candidates, length, size // BUCKET_BYTES + 1), length)
+    merged = merge(meet(candidates, length, size // BUCKET_BYTES + 1), length, groups)
     spans = stage(remove(attach(texts, merged), length), "repeated-bytes")
     keys = identified(docs).select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), text_key(F.col("text")).alias("key"))
     return keys.join(spans, "key").drop("key")
