@@ -1,8 +1,16 @@
-"""HTML page to markdown, as a chain of regular expressions over the whole page."""
+"""HTML page to markdown, in passes over the whole page.
+
+Every pass is linear in the length of the page. Elements are removed from the part of the page that ends with their
+last closing tag, so that each opening tag met there finds a closing one; a tag's pattern ends at the next ``<`` outside
+quotes; and what is replaced by something that depends on it is cut out, changed and put back together.
+"""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from functools import reduce
+from html.entities import html5
 from operator import or_
 
 from pyspark.sql import Column, DataFrame
@@ -11,94 +19,173 @@ from pyspark.sql import functions as F
 from folioforge.functions import metadata, urls
 from folioforge.functions.text import bind, none_if_empty, strip
 
-# The alternatives share their first character, so that most positions are passed over after one comparison.
-UNSEEN = (
-    r"(?is)<(?:!--.*?-->|script\b.*?</script\s*>|style\b.*?</style\s*>|noscript\b.*?</noscript\s*>"
-    r"|template\b.*?</template\s*>)"
-)
+# The rest of a tag after its name: quoted values may hold anything, the rest no angle bracket.
+REST = r"""[^<>"']*+(?:"[^"]*+"[^<>"']*+|'[^']*+'[^<>"']*+)*+>"""
+# A tag whose quotes do not match ends at the next angle bracket.
+ANY_REST = rf"(?:{REST}|[^<>]*+>)"
+
+# Elements that hold no text of the page: (opening tag, closing tag).
+UNSEEN = (("<!--", "-->"), *((rf"<{tag}\b", rf"</{tag}\s*+>") for tag in ("script", "style", "noscript", "template")))
 BOILERPLATE = (
-    r"(?is)<(?:nav\b.*?</nav\s*>|footer\b.*?</footer\s*>|aside\b.*?</aside\s*>|form\b.*?</form\s*>"
-    r"""|div[^>]*\sclass=["'](?:ad|ads|advert|advertisement)["'][^>]*>.*?</div\s*>)"""
+    *((rf"<{tag}\b", rf"</{tag}\s*+>") for tag in ("nav", "footer", "aside", "form")),
+    # An advertisement ends with the first closing tag of its kind, also if it holds another division.
+    (r"""<div\b[^<>]*?\sclass\s*=\s*["']?(?:[^"'<>]*\s)?(?:ad|ads|advert|advertisement)(?=[\s"'>])[^<>]*+>""", r"</div\s*+>"),
 )
-QUOTED = r"""["']([^"']*)["']"""
-# Marks the start of a link target until it is resolved against the page's own url.
-MARK = "\x01"
-
-IMAGES = (
-    (rf"(?i)<img\b[^>]*\salt={QUOTED}[^>]*\ssrc={QUOTED}[^>]*>", f"![$1]({MARK}$2)"),
-    (rf"(?i)<img\b[^>]*\ssrc={QUOTED}[^>]*\salt={QUOTED}[^>]*>", f"![$2]({MARK}$1)"),
-    (rf"(?i)<img\b[^>]*\ssrc={QUOTED}[^>]*>", f"![]({MARK}$1)"),
-)
-LINKS = ((rf"(?i)<a\b[^>]*\shref={QUOTED}[^>]*>([^<]*+)</a\s*>", f"[$2]({MARK}$1)"),)
-BOLD = ((r"(?i)<(?:b|strong)(?:\s[^>]*)?>([^<]++)</(?:b|strong)\s*>", "**$1**"),)
-ITALIC = ((r"(?i)<(?:i|em)(?:\s[^>]*)?>([^<]++)</(?:i|em)\s*>", "*$1*"),)
-CODE = ((r"(?i)<code(?:\s[^>]*)?>([^<]++)</code\s*>", "`$1`"),)
-SUBHEADINGS = tuple((rf"(?i)<h{level}(?:\s[^>]*)?>", f"\n\n{'#' * level} ") for level in range(2, 7))
+# Stand for the line ends and blanks of preformatted text until white space has been dealt with.
+LINE, BLANK = "\x02", "\x03"
+
+IMAGE = rf"(?i)<img\b{ANY_REST}"
+LINK = rf"(?i)<a\b{ANY_REST}[^<]*+</a\s*+>"
+BOLD = ((r"(?i)<(?:b|strong)(?:\s[^<>]*+)?>([^<]++)</(?:b|strong)\s*>", "**$1**"),)
+ITALIC = ((r"(?i)<(?:i|em)(?:\s[^<>]*+)?>([^<]++)</(?:i|em)\s*>", "*$1*"),)
+CODE = ((r"(?i)<code(?:\s[^<>]*+)?>([^<]++)</code\s*>", "`$1`"),)
+SUBHEADINGS = tuple((rf"(?i)<h{level}(?:\s[^<>]*+)?>", f"\n\n{'#' * level} ") for level in range(2, 7))
 BLOCKS = (
-    (r"(?i)<h1(?:\s[^>]*)?>", "\n\n# "),
+    (r"(?i)<h1(?:\s[^<>]*+)?>", "\n\n# "),
     (r"(?i)<br\s*/?>", "\n"),
+    (r"(?i)<(?:dt|dd)(?:\s[^<>]*+)?>", "\n"),
+    (r"(?i)</t[dh]\s*>", " "),
     (
-        r"(?i)<(?:/?(?:p|div|section|article|main|ul|ol|blockquote|pre|table|tr|figure|header)(?:\s[^>]*)?"
+        r"(?i)<(?:/?(?:p|div|section|article|main|ul|ol|dl|blockquote|pre|table|tr|figure|header)(?:\s[^<>]*+)?"
         r"|/h[1-6]\s*)>",
         "\n\n",
     ),
-    (r"<[A-Za-z/!?][^>]*>", ""),
+    (rf"<[A-Za-z/!?]{ANY_REST}", ""),
 )
-# Named character references; the ampersand comes last.
-ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&middot;", "·"),
-    ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"), ("&hellip;", "…"),
-    ("&ndash;", "–"), ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"),
-    ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"), ("&raquo;", "»"),
-    ("&bull;", "•"), ("&euro;", "€"), ("&amp;", "&"),
-)
+REFERENCE = "&(?:#[0-9]{1,7}+|#[xX][0-9A-Fa-f]{1,6}+|[A-Za-z][A-Za-z0-9]{1,31}+);"
+
 
+def replace_each(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
+    """``text`` with every match of ``pattern`` replaced by what ``change`` makes of it."""
+    changed = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), change)
+    pieces = F.zip_with(F.split(text, pattern, -1), F.concat(changed, F.array(F.lit(""))), lambda kept, new: F.concat(kept, new))
+    return F.array_join(pieces, "")
 
-def _numeric_references(text: Column) -> Column:
-    """``&#8217;`` and ``&#x2019;`` to their characters, one replacement per distinct reference."""
 
-    def replaced(text: Column, reference: Column) -> Column:
-        number = F.regexp_extract(reference, "[0-9A-Fa-f]+", 0)
-        code = F.when(reference.rlike("^&#[xX]"), F.conv(number, 16, 10)).otherwise(number).cast("int")
-        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        return F.when(valid, F.replace(text, reference, char)).otherwise(text)
+def attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute, quoted either way or not at all; empty if it is missing."""
+    pattern = rf"""(?i)\s(?:{name})\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>]+))"""
+    return F.concat(*[F.regexp_extract(tag, pattern, group) for group in (1, 2, 3)])
 
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit("&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"), F.lit(0)))
-    return F.when(text.contains("&#"), F.aggregate(found, text, replaced)).otherwise(text)
+
+def _named() -> Column:
+    """All named character references that end with a semicolon, from the standard library, as a map. The unbreakable
+    blank counts as a blank."""
+    names = {name[:-1]: character for name, character in html5.items() if name.endswith(";")} | {"nbsp": " "}
+    return F.from_json(F.lit(json.dumps(names)), "map<string,string>")
+
+
+def _character(reference: Column) -> Column:
+    number = F.regexp_extract(reference, "[0-9A-Fa-f]+", 0)
+    code = F.when(reference.rlike("^&#[xX]"), F.conv(number, 16, 10)).otherwise(number).cast("int")
+    valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    name = F.substring(reference, F.lit(2), F.length(reference) - 2)
+    named = F.when(reference == "&amp;", "&").otherwise(F.try_element_at(_named(), name))
+    return F.coalesce(F.when(reference.startswith("&#"), F.when(valid, char)).otherwise(named), reference)
 
 
 def unescape(text: Column) -> Column:
-    named = text
-    for entity, char in ENTITIES[:-1]:
-        named = F.replace(named, F.lit(entity), F.lit(char))
+    """Character references to their characters; unknown ones stay."""
     # Most texts hold ampersands and nothing else.
-    named = F.when(text.rlike("&(?!amp;)[a-z]+;"), named).otherwise(text)
-    whole = F.when(text.contains("&#"), bind(named, _numeric_references)).otherwise(named)
-    return F.when(text.contains("&"), F.replace(whole, F.lit("&amp;"), F.lit("&"))).otherwise(text)
+    some = F.when(text.rlike("&(?!amp;)[#a-zA-Z]"), replace_each(text, REFERENCE, _character))
+    return F.when(text.contains("&"), some.otherwise(F.replace(text, F.lit("&amp;"), F.lit("&")))).otherwise(text)
+
+
+def _up_to_last(text: Column, closing: str) -> Column:
+    """The part of the text that ends with the last match of ``closing``; empty if there is none."""
+    return F.regexp_extract(text, rf"(?is)\A.*{closing}", 0)
+
+
+def without(text: Column, opening: str, closing: str) -> Column:
+    """Each stretch from ``opening`` to the next ``closing`` replaced by a blank; what is never closed stays."""
+
+    def removed(parts: Column) -> Column:
+        kept = F.regexp_replace(parts["head"], rf"(?is){opening}.*?{closing}", " ")
+        return F.concat(kept, F.substring(parts["text"], F.length(parts["head"]) + 1, F.length(parts["text"])))
+
+    parts = F.struct(text.alias("text"), _up_to_last(text, closing).alias("head"))
+    return F.when(text.rlike(f"(?i){opening}"), bind(parts, removed)).otherwise(text)
 
 
 def visible(html: Column) -> Column:
-    """The page without comments, scripts and styles, all white space as single blanks."""
-    return F.regexp_replace(F.regexp_replace(html, UNSEEN, " "), r"[ \t\r\n\f]{2,}|[\t\r\n\f]", " ")
+    """The page without comments, scripts and styles, all white space outside ``pre`` as single blanks."""
+    for opening, closing in UNSEEN:
+        html = _bound_without(html, opening, closing)
+    return F.regexp_replace(_preformatted(html), r"[ \t\r\n\f]{2,}|[\t\r\n\f]", " ")
+
+
+def _bound_without(text: Column, opening: str, closing: str) -> Column:
+    return bind(text, lambda bound: without(bound, opening, closing))
+
+
+def _preformatted(html: Column) -> Column:
+    """Line ends and blanks within ``pre`` elements replaced by signs that no later step touches."""
+
+    def marked(text: Column) -> Column:
+        def change(element: Column) -> Column:
+            return F.translate(F.regexp_replace(element, "\r\n?", "\n"), "\n ", LINE + BLANK)
+
+        def of_parts(parts: Column) -> Column:
+            tail = F.substring(parts["text"], F.length(parts["head"]) + 1, F.length(parts["text"]))
+            return F.concat(replace_each(parts["head"], r"(?is)(?<=<pre>|<pre\s[^<>]{0,200}>).*?(?=</pre)", change), tail)
+
+        return bind(F.struct(text.alias("text"), _up_to_last(text, r"</pre\s*>").alias("head")), of_parts)
+
+    return bind(html, lambda text: F.when(text.rlike(r"(?i)<pre[\s>]"), marked(text)).otherwise(text))
 
 
 def main_part(page: Column) -> Column:
-    """The article element, else main, else body, else everything."""
-    parts = [
-        none_if_empty(F.regexp_extract(page, rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>", 1))
-        for tag in ("article", "main", "body")
-    ]
+    """What the article elements hold, from the first one's opening to the last one's closing tag; else the main
+    element, else the body, else everything."""
+
+    def inside(tag: str) -> Column:
+        closed = bind(_up_to_last(page, rf"</{tag}\s*>"), lambda text: F.regexp_extract(text, r"(?is)\A(.*)</", 1))
+        opened = rf"(?i)<{tag}(?:\s[^<>]*+)?>"
+        return bind(F.split(closed, opened, 2), lambda parts: F.when(F.size(parts) == 2, F.get(parts, F.lit(1))))
+
+    def holds(tag: str) -> Column:
+        return page.rlike(rf"(?i)</{tag}\s*>")
+
+    parts = [none_if_empty(F.when(holds(tag), inside(tag))) for tag in ("article", "main", "body")]
     return F.coalesce(*parts, page)
 
 
 def head(page: Column) -> Column:
     """What stands before the body element; the whole page if none is found."""
-    return F.substring_index(page, "<body", 1)
+    return F.get(F.split(page, r"(?i)<body\b", 2), F.lit(0))
 
 
 def page_title(page: Column) -> Column:
-    return none_if_empty(strip(unescape(F.regexp_extract(page, r"(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>", 1))))
+    after = F.get(F.split(page, r"(?i)<title(?:\s[^<>]*+)?>", 2), F.lit(1))
+    title = bind(F.split(after, r"(?i)</title\s*+>", 2), lambda parts: F.when(F.size(parts) == 2, F.get(parts, F.lit(0))))
+    return none_if_empty(bind(title, lambda text: strip(unescape(text))))
+
+
+def _target(page_url: Column, reference: Column) -> Column:
+    """Absolute address; parentheses, which would end it in markdown, are encoded."""
+    absolute = urls.resolve(page_url, unescape(reference))
+    return F.replace(F.replace(absolute, F.lit("("), F.lit("%28")), F.lit(")"), F.lit("%29"))
+
+
+def _image(page_url: Column) -> Callable[[Column], Column]:
+    def change(tag: Column) -> Column:
+        source = attribute(tag, "src")
+        shown = F.concat(F.lit("!["), attribute(tag, "alt"), F.lit("]("), _target(page_url, source), F.lit(")"))
+        # An image without a source would be the page itself.
+        return F.when(strip(source) == "", "").otherwise(F.coalesce(shown, F.lit("")))
+
+    return change
+
+
+def _link(page_url: Column) -> Callable[[Column], Column]:
+    def change(element: Column) -> Column:
+        tag = F.regexp_extract(element, rf"(?i)\A<a\b{ANY_REST}", 0)
+        label = F.regexp_extract(F.substring(element, F.length(tag) + 1, F.length(element)), r"(?is)\A[^<]*", 0)
+        shown = F.concat(F.lit("["), label, F.lit("]("), _target(page_url, attribute(tag, "href")), F.lit(")"))
+        return F.when(tag.rlike(r"(?i)\shref\s*="), F.coalesce(shown, element)).otherwise(element)
+
+    return change
 
 
 def _replace_all(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
@@ -107,17 +194,23 @@ def _replace_all(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
     return text
 
 
-# (texts of which one must occur in the lower-cased page, rules), in order of application. Looking for a literal
+def _without_boilerplate(text: Column, page_url: Column) -> Column:
+    for opening, closing in BOILERPLATE:
+        text = _bound_without(text, opening, closing)
+    return text
+
+
+# (texts of which one must occur in the lower-cased page, rules or a function), in order of application. Looking for a literal
 # is far cheaper than a pass of a regular expression.
 TAG_STEPS = (
-    (("<nav", "<footer", "<aside", "<form", "<div"), ((BOILERPLATE, " "),)),
-    (("<img",), IMAGES),
-    (("<a ",), LINKS),
+    (("<nav", "<footer", "<aside", "<form", "<div"), _without_boilerplate),
+    (("<img",), lambda text, page_url: replace_each(text, IMAGE, _image(page_url))),
+    (("<a ", "<a\t", "<a\n"), lambda text, page_url: replace_each(text, LINK, _link(page_url))),
     (("</b", "</strong"), BOLD),
     (("</i", "</em"), ITALIC),
     (("</code",), CODE),
     (("<h2", "<h3", "<h4", "<h5", "<h6"), SUBHEADINGS),
-    (("<li",), ((r"(?i)<li(?:\s[^>]*)?>", "\n- "),)),
+    (("<li",), ((r"(?i)<li(?:\s[^<>]*+)?>", "\n- "),)),
     (("<",), BLOCKS),
 )
 # The same, looked for in the text as it is by then.
@@ -141,37 +234,22 @@ def with_markdown(pages: DataFrame, part: str, page_url: str, name: str) -> Data
         occurs = reduce(or_, [searched.contains(literal) for literal in literals])
         previous = f"_step{number}"
         steps.append(previous)
-        pages = pages.withColumn(previous, F.when(occurs, _replace_all(text, rules)).otherwise(text))
+        done = rules(text, F.col(page_url)) if callable(rules) else _replace_all(text, rules)
+        pages = pages.withColumn(previous, F.when(occurs, done).otherwise(text))
     pages = pages.withColumn("_plain", unescape(F.col(previous)))
-    linked = F.when(
-        F.col("_plain").contains(MARK), bind(F.col("_plain"), lambda text: _resolve_targets(text, F.col(page_url)))
-    ).otherwise(F.col("_plain"))
-    return pages.withColumn(name, strip(linked)).drop("_low", "_plain", *steps)
-
-
-def _resolve_targets(text: Column, page_url: Column) -> Column:
-    targets = F.array_distinct(F.regexp_extract_all(text, F.lit(rf"{MARK}([^)]*)\)"), F.lit(1)))
-    return F.aggregate(
-        targets,
-        text,
-        lambda text, target: F.replace(
-            text,
-            F.concat(F.lit(MARK), target, F.lit(")")),
-            F.concat(urls.resolve(page_url, target), F.lit(")")),
-        ),
-        lambda text: F.replace(text, F.lit(MARK), F.lit("")),
-    )
+    spaced = F.translate("_plain", LINE + BLANK, "\n ")
+    return pages.withColumn(name, strip(spaced)).drop("_low", "_plain", *steps)
 
 
 def meta_tags(page: Column) -> Column:
     """``array<struct<name, content>>`` of the meta elements that have both."""
 
     def parts(tag: Column) -> Column:
-        name = F.regexp_extract(tag, rf"(?i)\s(?:name|property)={QUOTED}", 1)
-        content = unescape(F.regexp_extract(tag, rf"(?i)\scontent={QUOTED}", 1))
+        name = attribute(tag, "name|property")
+        content = bind(attribute(tag, "content"), unescape)
         return F.struct(name.alias("name"), content.alias("content"))
 
-    tags = F.transform(F.regexp_extract_all(page, F.lit(r"(?i)<meta\s[^>]*>"), F.lit(0)), parts)
+    tags = F.transform(F.regexp_extract_all(page, F.lit(rf"(?i)<meta\s{ANY_REST}"), F.lit(0)), parts)
     return F.filter(tags, lambda tag: tag["name"] != "")
 
 
