@@ -33,3 +33,13 @@ def fetch_class(error_kind: Column, http_status: Column, decoded: Column, conten
 
 def filter_usable_articles(articles: DataFrame) -> DataFrame:
     return articles.filter(F.col("fetch_class") == "ok").drop("fetch_class")
+
+
+def latest_articles(articles: DataFrame, arrival: str | None = None) -> DataFrame:
+    """One row for each article_id: the one with the greatest ``arrival``; of equal ones, or without it, the one
+    whose url, and then whose text, is greatest. Rows that are repeated altogether count once.
+
+    An aggregate: rows of one article are reduced before the shuffle, however often it was fetched.
+    """
+    order = F.struct(*([arrival] if arrival else []), "source_url", F.xxhash64("markdown"), "markdown")
+    return articles.groupBy("article_id").agg(F.max_by(F.struct(*articles.columns), order).alias("_row")).select("_row.*")

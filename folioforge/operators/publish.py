@@ -7,6 +7,8 @@ is appended last; what a failed job leaves behind is never read and is overwritt
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,14 +62,27 @@ def read_published_images(spark: SparkSession, root: str) -> DataFrame:
     return _logged(spark, root, "images", IMAGE).join(current, ["slug", "batch_id"], "left_semi")
 
 
-def publish_corpus(root: str, batch_id: str, corpus: DataFrame, manifest: DataFrame) -> bool:
+def _checked(batch_id: str) -> str:
+    """Batch ids are parts of paths: letters, digits, ``.``, ``_`` and ``-``, the first a letter or digit."""
+    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]*", batch_id):
+        raise ValueError(f"not a batch id: {batch_id!r}")
+    return batch_id
+
+
+def publish_corpus(root: str, batch_id: str, corpus: DataFrame, manifest: DataFrame, *, overwrite: bool = False) -> bool:
     """Publish the documents and images of a batch, all or nothing. False if the batch is logged already.
 
     ``corpus`` is the result of ``plans.corpus.build_corpus`` against ``read_published(root)``. The document
     text is computed once, while it is written; image and replacement tables are derived from what was
     written. One writer per root at a time.
+
+    A slug has at most one current document, whatever the corpus was built against: which documents are
+    replaced is decided by what is current when the batch is written. A document takes the place of a current
+    one if its status is ``replaces``, or any does with ``overwrite``. A batch in which another one meets a current slug, or two
+    share a slug, is refused.
     """
     spark = corpus.sparkSession
+    batch_id = _checked(batch_id)
     if not read_batches(spark, root).filter(F.col("batch_id") == batch_id).isEmpty():
         return False
     articles, images, replaced = (f"{root}/{table}/batch_id={batch_id}" for table in ("articles", "images", "replaced"))
@@ -76,7 +91,17 @@ def publish_corpus(root: str, batch_id: str, corpus: DataFrame, manifest: DataFr
     )
     write_articles(ready, articles)
     written = spark.read.schema(ready.schema).parquet(articles).drop("path", "content")
-    taken_over = written.filter(F.col("slug_status") == "replaces").select("slug")
+    if not written.groupBy("slug").count().filter("count > 1").isEmpty():
+        raise ValueError(f"batch {batch_id} holds a slug twice")
+
+    earlier = read_published(spark, root).select("slug", F.col("batch_id").alias("old_batch_id"))
+    met = written.select("slug", "slug_status").join(earlier, "slug")
+    # Written also without rows: a file that an earlier try of this batch left would count.
+    met.select("slug", "old_batch_id", "slug_status").write.mode("overwrite").parquet(replaced)
+    if not overwrite:
+        kept = spark.read.schema(f"{REPLACED.rsplit(',', 1)[0]}, slug_status string").parquet(replaced)
+        if not kept.filter("slug_status <> 'replaces'").isEmpty():
+            raise ValueError(f"batch {batch_id} meets published slugs that it does not replace")
 
     placed = manifest.join(written.drop("slug_status"), "article_id").select(
         "article_id",
@@ -88,10 +113,6 @@ def publish_corpus(root: str, batch_id: str, corpus: DataFrame, manifest: DataFr
         "size_bytes",
     )
     write_image_manifest(placed, images)
-
-    if not taken_over.isEmpty():
-        earlier = read_published(spark, root).select("slug", F.col("batch_id").alias("old_batch_id"))
-        earlier.join(taken_over, "slug", "left_semi").write.mode("overwrite").parquet(replaced)
     stored = spark.read.schema(placed.schema).parquet(images)
     entry = [(batch_id, written.count(), stored.count())]
     spark.createDataFrame(entry, T.StructType.fromDDL(BATCH)).coalesce(1).write.mode("append").parquet(f"{root}/batches")

@@ -31,13 +31,15 @@ def slug_conflict_policy(
     published: DataFrame | None = None,
     settings: Settings = Settings(),
     arrival: str | None = None,
+    batch_id: str | None = None,
 ) -> DataFrame:
     """Decide for each article (article_id, slug) under which slug it is published.
 
     ``fail``: the first article of a slug wins; the others, and all whose slug is published, are refused.
     ``overwrite``: the last article wins and replaces what is published.
-    ``suffix``: the first keeps a free slug; the others get ``slug-<run stamp>--<article id>``. A slug never
-    holds two hyphens in a row, so such a name meets no other slug.
+    ``suffix``: the first keeps a free slug; the others get ``slug-<run stamp>--<article id>``, and with a
+    ``batch_id``, which no other batch has, ``-in-<batch id>`` after it. A slug never holds two hyphens in a row,
+    so such a name meets no slug of this batch; an article whose name is published already is refused.
 
     Columns: article_id, slug, final_slug (null when refused), slug_status (``new``, ``replaces``,
     ``renamed``, ``superseded``, ``conflict``). First and last are by (``arrival``, article_id). The winner of
@@ -59,7 +61,8 @@ def slug_conflict_policy(
 
     wins = F.col("_published").isNotNull()
     free = wins & ~F.col("_published")
-    renamed = F.concat(F.col("slug"), F.lit(f"-{settings.run_stamp}--"), F.col("article_id").cast("string"))
+    ending = F.lit(f"-in-{batch_id}" if batch_id else "")
+    renamed = F.concat(F.col("slug"), F.lit(f"-{settings.run_stamp}--"), F.col("article_id").cast("string"), ending)
     if policy == "fail":
         final = F.when(free, F.col("slug"))
         status = F.when(free, "new").otherwise("conflict")
@@ -69,4 +72,10 @@ def slug_conflict_policy(
     else:
         final = F.when(free, F.col("slug")).otherwise(renamed)
         status = F.when(free, "new").otherwise("renamed")
+        if published is not None:
+            # Names are unique, so this join has no frequent key.
+            known = published.select(F.col("slug").alias("_name")).distinct().withColumn("_met", F.lit(True))
+            decided = decided.withColumn("_name", F.when(~free | free.isNull(), renamed)).join(known, "_name", "left")
+            met = F.col("_met").isNotNull()
+            final, status = F.when(~met, final), F.when(met, "conflict").otherwise(status)
     return decided.select("article_id", "slug", final.alias("final_slug"), status.alias("slug_status"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from uuid import uuid4
 
@@ -9,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; where it is unset, in local mode, a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="folioforge-")
     spark.conf.set("spark.checkpoint.dir", folder)
@@ -33,3 +34,15 @@ def stage(table: DataFrame, name: str) -> DataFrame:
     folder = new_folder(table.sparkSession, name)
     table.write.parquet(folder)
     return table.sparkSession.read.schema(table.schema).parquet(folder)
+
+
+def release(*staged: DataFrame) -> None:
+    """Remove the folders of staged tables that nothing reads any more."""
+    for table in staged:
+        spark = table.sparkSession
+        shared = shared_folder(spark)
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            # Only what ``stage`` has written.
+            if path.getParent().toUri().getPath() == spark._jvm.org.apache.hadoop.fs.Path(shared).toUri().getPath():
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

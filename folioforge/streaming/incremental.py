@@ -7,11 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from folioforge.operators.documents import prepare_articles
-from folioforge.operators.fetch import filter_usable_articles
 from folioforge.operators.publish import publish_corpus, read_published
-from folioforge.operators.staging import stage
-from folioforge.plans.corpus import build_corpus, image_manifest
+from folioforge.operators.staging import release, stage
+from folioforge.plans.corpus import acceptable_articles, build_corpus, decide_slugs, image_manifest
 from folioforge.settings import Settings
 
 
@@ -27,20 +25,20 @@ def publish_batch(
 ) -> bool:
     """Prepare, build and publish one batch of provider output (with ``fetch_class``). Runs jobs.
 
-    The raw input is parsed once, into a staged table; the manifest, which two outputs need, is staged too.
+    Articles with a refused url take no part, and of an article that landed several times the latest is taken (a column
+    ``arrival`` decides, where there is one). Slugs are decided before the image work. The raw input is parsed once, into a
+    staged table; decisions and manifest are staged too, and all three are removed once the batch is published.
     """
     spark = articles.sparkSession
-    prepared = stage(prepare_articles(filter_usable_articles(articles), settings), "prepared")
-    manifest = stage(image_manifest(prepared, attempts, settings, redirects), "manifest")
-    corpus = build_corpus(
-        prepared,
-        attempts,
-        settings,
-        policy=policy,
-        published=read_published(spark, root).select("slug"),
-        manifest=manifest,
-    )
-    return publish_corpus(root, batch_id, corpus, manifest)
+    arrival = "arrival" if "arrival" in articles.columns else None
+    prepared = stage(acceptable_articles(articles, settings, arrival), "prepared")
+    published = read_published(spark, root).select("slug")
+    decisions = stage(decide_slugs(prepared, settings, policy=policy, published=published, batch_id=batch_id), "decisions")
+    manifest = stage(image_manifest(prepared, attempts, settings, redirects, decisions), "manifest")
+    corpus = build_corpus(prepared, attempts, settings, manifest=manifest, decisions=decisions)
+    done = publish_corpus(root, batch_id, corpus, manifest)
+    release(prepared, decisions, manifest)
+    return done
 
 
 def build_corpus_incremental(
@@ -52,6 +50,7 @@ def build_corpus_incremental(
     settings: Settings = Settings(),
     *,
     policy: str = "fail",
+    read_redirects: Callable[[], DataFrame] | None = None,
 ) -> StreamingQuery:
     """Run ``publish_batch`` on every micro-batch of the stream ``landed`` until it is drained.
 
@@ -60,7 +59,8 @@ def build_corpus_incremental(
     """
 
     def publish(batch: DataFrame, epoch: int) -> None:
-        publish_batch(root, f"stream-{epoch:010d}", batch, read_attempts(), settings, policy=policy)
+        redirects = read_redirects() if read_redirects else None
+        publish_batch(root, f"stream-{epoch:010d}", batch, read_attempts(), settings, policy=policy, redirects=redirects)
 
     return (
         provider(landed)

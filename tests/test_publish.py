@@ -70,8 +70,16 @@ def run(spark, root, batch_id, rows, log=(), policy="fail"):
     return publish.publish_corpus(root, batch_id, built, manifest)
 
 
+def read_pages(spark, *rows):
+    """rows: (id, url, title, text)"""
+    data = [(i, u, f"<title>{t}</title><article><p>{x}</p><img src='/p.png'></article>") for i, u, t, x in rows]
+    return read_html_pages(spark.createDataFrame(data, HTML_PAGE))
+
+
 def current(spark, root):
-    return {r.slug: (r.article_id, r.batch_id) for r in publish.read_published(spark, root).collect()}
+    rows = [(r.slug, (r.article_id, r.batch_id)) for r in publish.read_published(spark, root).collect()]
+    assert len(rows) == len(dict(rows))
+    return dict(rows)
 
 
 def images(spark, root):
@@ -109,10 +117,12 @@ def test_a_failed_run_leaves_the_published_corpus_alone(spark, tmp_path):
         spark.createDataFrame([(3, 1, "u", "f", 1)], manifest.schema).withColumn("filename", F.expr("cast(raise_error('lost') as string)"))
     )
     with pytest.raises(Exception, match="lost"):
-        publish.publish_corpus(root, "two", built, broken)
+        publish.publish_corpus(root, "two", built, broken, overwrite=True)
     assert current(spark, root) == {"home": (1, "one")}
     # The next try with the same id takes the place of what the failed one left.
-    assert publish.publish_corpus(root, "two", built, manifest)
+    with pytest.raises(ValueError, match="does not replace"):
+        publish.publish_corpus(root, "two", built, manifest)
+    assert publish.publish_corpus(root, "two", built, manifest, overwrite=True)
     assert current(spark, root) == {"home": (2, "two"), "more": (3, "two")}
 
 
@@ -174,3 +184,64 @@ def test_a_batch_is_published_once(spark, tmp_path):
     assert publish_batch(root, "b", pages, attempts(spark), SETTINGS)
     assert not publish_batch(root, "b", pages, attempts(spark), SETTINGS)
     assert current(spark, root) == {"one": (1, "b")}
+
+
+@pytest.mark.parametrize("batch_id", ["2026/03", "a%2Fb", "", "..", "_x", "a b"])
+def test_batch_ids_that_cannot_be_folders_are_refused(spark, tmp_path, batch_id):
+    with pytest.raises(ValueError, match="batch id"):
+        run(spark, str(tmp_path / "corpus"), batch_id, [(1, "Home", "x")])
+
+
+def test_a_slug_has_one_document_after_any_order_of_runs(spark, tmp_path):
+    root = str(tmp_path / "corpus")
+    log = attempts(spark)
+    for number, policy in enumerate(["suffix", "suffix", "fail", "overwrite", "suffix", "overwrite", "suffix"]):
+        pages = read_pages(spark, (1, "https://example.com/1", "Home", f"run {number}"), (2, "https://example.com/2", "Home", "x"))
+        assert publish_batch(root, f"b{number}", pages, log, SETTINGS, policy=policy)
+        current(spark, root)
+    names = set(current(spark, root))
+    assert {"home", "home-20260315-100000--1-in-b1", "home-20260315-100000--2-in-b0"} <= names
+
+
+def test_what_a_failed_try_replaced_does_not_count(spark, tmp_path):
+    root = str(tmp_path / "corpus")
+    run(spark, root, "one", [(1, "Home", "kept")])
+    broken = image_manifest(prepared(spark, (2, "Home", "x")), attempts(spark), SETTINGS)
+    lost = spark.createDataFrame([(2, 1, "u", "f", 1)], broken.schema).withColumn("filename", F.expr("cast(raise_error('lost') as string)"))
+    built = build_corpus(prepared(spark, (2, "Home", "x")), attempts(spark), SETTINGS, policy="overwrite", published=publish.read_published(spark, root).select("slug"), manifest=broken)
+    with pytest.raises(Exception, match="lost"):
+        publish.publish_corpus(root, "two", built, lost)
+    run(spark, root, "two", [(3, "Other", "y")])
+    assert current(spark, root) == {"home": (1, "one"), "other": (3, "two")}
+
+
+def test_an_article_that_landed_twice_is_one_document(spark, tmp_path):
+    root = str(tmp_path / "corpus")
+    url = "https://example.com/1"
+    pages = read_pages(spark, (1, url, "Home", "old"), (1, url, "Home", "old"), (1, url, "Home", "other"), (2, url, "Two", "x"))
+    assert publish_batch(root, "b", pages.withColumn("arrival", F.when(F.col("markdown").contains("other"), 2).otherwise(1)), attempts(spark, (1, "https://example.com/p.png", 5)), SETTINGS)
+    rows = {r.article_id: r.content for r in publish.read_published(spark, root).collect()}
+    assert set(rows) == {1, 2} and "other" in rows[1] and "images/001-p.png" in rows[1]
+
+
+def test_refused_urls_are_not_published(spark, tmp_path):
+    root = str(tmp_path / "corpus")
+    pages = read_pages(spark, (1, "http://127.0.0.1/a", "Home", "x"), (2, "ftp://e.com/b", "Home", "x"), (3, "https://e.com/c", "Home", "x"), (4, None, "Null", "x"))
+    assert publish_batch(root, "b", pages, attempts(spark), SETTINGS)
+    assert current(spark, root) == {"home": (3, "b")}
+
+
+def test_refused_articles_take_no_part_in_the_image_work(spark):
+    ready = prepared(spark, (1, "Home", "![p](https://x/p.png)"), (2, "Home", "![p](https://x/p.png)"))
+    log = attempts(spark, (1, "https://x/p.png", 4), (2, "https://x/p.png", 4))
+    rows = {r.article_id: (r.images_found, r.images_downloaded, r.outcome) for r in build_corpus(ready, log, SETTINGS).collect()}
+    assert rows == {1: (1, 1, "Success"), 2: (1, 0, "Failure")}
+
+
+def test_staged_folders_of_a_batch_are_removed(spark, tmp_path):
+    from pathlib import Path
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.iterdir())
+    assert publish_batch(str(tmp_path / "corpus"), "b", read_pages(spark, (1, "https://example.com/1", "T", "x")), attempts(spark), SETTINGS)
+    assert set(shared.iterdir()) == before
