@@ -11,7 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -25,8 +25,21 @@ MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 SECOND_MULTIPLIER = 0xC2B2AE3D27D4EB4F | 1
 
 
+# What the JVM hands to a Python worker at once: beside the heap, both hold it in memory that nothing else bounds.
+BATCH_ROWS, BATCH_BYTES = 1000, "8MB"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Set the size of Arrow batches for the session, unless it asks for smaller ones."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def identified(docs: DataFrame) -> DataFrame:
     """doc_id and text alone: further columns, whatever their names, cannot clash with an operator's own."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
@@ -182,6 +195,7 @@ def annotate(docs: DataFrame, compute: Callable[[list[str]], list[pa.Array]], ki
     """All columns of ``docs``, under the names c0, c1, ..., and the columns of ``kind`` that ``compute`` gives for a
     list of texts (null as empty). Rows stay where they are, and names of ``docs`` cannot clash, not even with
     each other."""
+    bound_batches(docs.sparkSession)
     at = docs.columns.index("text")
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).withColumn(f"c{at}", F.col(f"c{at}").cast("string"))
     added = StructType.fromDDL(kind)
