@@ -447,16 +447,17 @@ from (select url, current, hops, case when hops = 0 then 'direct' when state <>
         "select article_id, outcome, images_found, images_downloaded, images_failed from results"
     ),
     "run_status": oracle(rf"""
-select article_id, url_error, fetch_class, slug_status, case when url_error is not null then 1
-  when fetch_class <> 'ok' then 2 when slug_status = 'conflict' then 3 else 0 end as status
-from (select article_id, case when not regexp_matches(url, '(?i)^https?:') then 'URL must start with http:// or https://'
+select * from (with judged as (select article_id, case when not regexp_matches(url, '(?i)^https?:') then 'URL must start with http:// or https://'
   when url like '%[bad' then 'URL has a malformed host' when url like '%///%' then 'URL must include a non-empty host'
   when regexp_matches(url, '(?i)^https?://localhost[:/]') then 'Localhost URLs are not allowed'
   when regexp_matches(url, '{LOOPBACK}') then 'Loopback IP URLs are not allowed'
   when regexp_matches(url, '{PRIVATE}') then 'Private IP URLs are not allowed' end as url_error from urls)
-join (select article_id, fetch_class from read_articles) using (article_id)
+select article_id, url_error, fetch_class, slug_status, case when url_error is not null then 1
+  when fetch_class <> 'ok' then 2 when slug_status = 'conflict' then 3 else 0 end as status
+from judged join (select article_id, fetch_class from read_articles) using (article_id)
 left join (select article_id, case when row_number() over (partition by slug order by article_id) = 1 then 'new'
-  else 'conflict' end as slug_status from read_titled) using (article_id)"""),
+  else 'conflict' end as slug_status from read_titled
+  where article_id in (select article_id from judged where url_error is null)) using (article_id))"""),
     "corpus_report": oracle(f"""
 select {host("source_url")} as host, count(*) as articles, count(*) filter (outcome = 'Success') as succeeded,
   count(*) filter (outcome = 'Partial success') as partly_succeeded, cast(sum(images_found) as bigint) as images_found,

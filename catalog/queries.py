@@ -19,7 +19,7 @@ from folioforge.operators.staging import new_folder, stage
 from folioforge.plans import corpus
 from folioforge.session import configure
 from folioforge.sources import read_html_pages, read_image_responses, read_reader_responses
-from folioforge.sources.layout import evaluate_once, spread
+from folioforge.sources.layout import evaluate_once
 from folioforge.streaming.incremental import build_corpus_incremental
 
 SETTINGS = Settings()
@@ -51,7 +51,7 @@ def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(view(spark, folder, "articles"), "article_id")
+    return view(spark, folder, "articles")
 
 
 def prepared(spark: SparkSession, folder: str) -> DataFrame:
@@ -178,7 +178,7 @@ def normalize_date_(spark, folder):
 
 @query
 def transliterate(spark, folder):
-    return spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id").select(
+    return table(spark, folder, "documents").select("doc_id", "text").select(
         "doc_id", text.transliterate(F.col("text")).alias("ascii_text")
     )
 
@@ -188,7 +188,7 @@ def slugify(spark, folder):
     titled = F.regexp_extract("html", "<title>(.*?)</title>", 1)
     pages = table(spark, folder, "pages").select(F.col("page_id").alias("doc_id"), titled.alias("text"))
     texts = table(spark, folder, "documents").select("doc_id", "text").unionByName(pages)
-    return spread(texts, "doc_id").select("doc_id", text.slugify(F.col("text")).alias("slug"))
+    return texts.select("doc_id", text.slugify(F.col("text")).alias("slug"))
 
 
 @query
@@ -226,7 +226,7 @@ def assemble_documents(spark, folder):
 
 @query
 def redact_secrets(spark, folder):
-    return spread(view(spark, folder, "secrets"), "doc_id").select("doc_id", text.redact_secrets(F.col("text")).alias("text"))
+    return view(spark, folder, "secrets").select("doc_id", text.redact_secrets(F.col("text")).alias("text"))
 
 
 # --- image references
@@ -292,7 +292,7 @@ def image_syntax_profile(spark, folder):
 def image_syntax_totals(spark, folder):
     """The corpus sums, over the derived articles and the given documents."""
     texts = articles(spark, folder).select("markdown")
-    given = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    given = table(spark, folder, "documents").select("doc_id", "text")
     texts = texts.unionByName(given.select(F.col("text").alias("markdown")))
     return reports.profile_totals(reports.image_syntax_profile(texts))
 
@@ -328,7 +328,7 @@ def resolve_redirects(spark, folder):
 @query
 def publish_conflicts(spark, folder):
     titled = docs.resolve_title_slug(articles(spark, folder), SETTINGS).select("article_id", "slug")
-    return slugs.publish_conflicts(titled, view(spark, folder, "published"))
+    return slugs.publish_conflicts(stage(titled, "slugs"), view(spark, folder, "published"))
 
 
 # --- aggregations
@@ -361,7 +361,9 @@ def run_status(spark, folder):
     asked = fetch.validate_urls(view(spark, folder, "urls")).select("article_id", "url_error")
     read = read_reader_responses(view(spark, folder, "fetches"))
     titled = docs.resolve_title_slug(fetch.filter_usable_articles(read), SETTINGS).select("article_id", "slug")
-    decided = slugs.slug_conflict_policy(titled, "fail", settings=SETTINGS).select("article_id", "slug_status")
+    # A refused url is never fetched, so its article takes part in no contest for a slug.
+    titled = titled.join(asked.filter("url_error is null"), "article_id", "left_semi")
+    decided = slugs.slug_conflict_policy(stage(titled, "slugs"), "fail", settings=SETTINGS).select("article_id", "slug_status")
     requests = asked.join(read.select("article_id", "fetch_class"), "article_id").join(decided, "article_id", "left")
     return reports.run_status(requests)
 
@@ -379,7 +381,7 @@ def corpus_report(spark, folder):
 @query
 def running_image_bytes(spark, folder):
     _, stored, _ = _found_and_stored(spark, folder)
-    return reports.running_image_bytes(stored, WARNING_SETTINGS)
+    return reports.running_image_bytes(stage(stored, "manifest"), WARNING_SETTINGS)
 
 
 @query
@@ -431,6 +433,6 @@ def build_corpus_incremental_(spark, folder):
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """One finished document per usable page."""
-    pages = fetch.filter_usable_articles(read_html_pages(table(configure(spark), folder, "pages")))
-    ready = stage(docs.prepare_articles(pages, SETTINGS), "prepared")
+    pages = read_html_pages(table(configure(spark), folder, "pages"))
+    ready = stage(corpus.acceptable_articles(pages, SETTINGS), "prepared")
     return corpus.build_corpus(ready, attempts(spark, folder), SETTINGS, policy="suffix")

@@ -46,7 +46,8 @@ from ({_titled_pages()}) titled"""
 
 
 def fetches(dialect: str) -> str:
-    """Reader responses: every fetch class, and metadata that is absent, blank, a list, or text."""
+    """Reader responses: every fetch class, metadata that is absent, blank, a list, or text, and titles that two
+    articles share, one of which may have a url that is refused."""
     return """
 select page_id as article_id, url,
   case when page_id % 17 = 1 then 429 when page_id % 17 = 2 then 503 when page_id % 17 = 3 then cast(null as int)
@@ -57,7 +58,7 @@ select page_id as article_id, url,
     when page_id % 17 = 5 then concat('{"code":200,"data":{"title":"T","content":"  ', chr(92), 'n "}}')
     when page_id % 17 = 6 then '{"code":200}'
     else concat('{"code":200,"data":{"title":',
-      case when page_id % 11 = 0 then '""' else concat('"Article ', cast(page_id as string), ': Café déjà vu"') end,
+      case when page_id % 11 = 0 then '""' else concat('"Article ', cast(page_id - case when page_id % 7 < 2 then page_id % 7 else 0 end as string), ': Café déjà vu"') end,
       ',"description":', case when page_id % 3 = 0 then '""' else '"short text"' end,
       ',"content":"# Head ', cast(page_id as string), chr(92), 'n', chr(92), 'nBody.","publishedTime":',
       case when page_id % 4 = 0 then '""' when page_id % 4 = 1 then '"Wed, 11 Mar 2026 19:06:45 GMT"'

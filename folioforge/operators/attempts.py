@@ -12,6 +12,7 @@ from folioforge.settings import Settings
 
 REDIRECT_LIMIT = "too_many_redirects"
 PRIVATE_TARGET = "private_target"
+AMBIGUOUS = "ambiguous_redirect"
 
 
 def resolve_attempts(attempts: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -43,19 +44,29 @@ def resolve_attempts(attempts: DataFrame, settings: Settings = Settings()) -> Da
 
 
 def _steps(redirects: DataFrame) -> DataFrame:
-    """(node, hops, end, state): one redirect per redirecting url, its target made absolute and judged."""
+    """(node, hops, end, state): one redirect per redirecting url, its target made absolute and judged.
+
+    A url seen with several Locations goes to the one seen last, if there is a column ``seen_at``; without it, or
+    where several were seen last, it is ambiguous.
+    """
     location = F.col("location")
     target = urls.resolve(F.col("src"), location)
+    known = redirects.filter(location.isNotNull())
+    if "seen_at" in redirects.columns:
+        # A row for each Location, so that a url that is often redirected is reduced before the shuffle.
+        seen = known.groupBy("src", "location").agg(F.max("seen_at").alias("seen_at"))
+        last = seen.groupBy("src").agg(F.max("seen_at").alias("seen_at"))
+        known = seen.join(last, "src").filter(seen["seen_at"].eqNullSafe(last["seen_at"]))
     return (
-        redirects.filter(location.isNotNull())
-        .groupBy("src")
-        .agg(F.min("location").alias("location"))
-        .select(F.col("src").alias("node"), "location", target.alias("end"))
+        known.groupBy("src")
+        .agg(F.min("location").alias("location"), F.max("location").alias("other"))
+        .select(F.col("src").alias("node"), "location", "other", target.alias("end"))
         .select(
             "node",
             F.lit(1).alias("hops"),
             "end",
-            F.when(location == "", REDIRECT_LIMIT)
+            F.when(location != F.col("other"), AMBIGUOUS)
+            .when(location == "", REDIRECT_LIMIT)
             .when(urls.is_private_host(F.col("end")), PRIVATE_TARGET)
             .otherwise("open")
             .alias("state"),
@@ -63,29 +74,41 @@ def _steps(redirects: DataFrame) -> DataFrame:
     )
 
 
+def _followed(chains: DataFrame, onward: DataFrame) -> DataFrame:
+    """Open chains prolonged by the chains that start at their ends; one that ends where none starts is ``ok``.
+
+    Only open chains are joined. One url (a log-in page, say) may be the end of a large share of them, hence
+    ``lookup``.
+    """
+    is_open = F.col("state") == "open"
+    ended = chains.filter(~is_open)
+    targets = chains.filter(is_open).withColumn("_target", F.col("end"))
+    starts = onward.select(F.col("node").alias("_target"), F.struct("hops", "end", "state").alias("_onward"))
+    found = lookup(targets, starts, key="_target", row_id="node", name="_onward", heavy=heavy_keys(targets, "_target"))
+    goes_on = F.col("_onward").isNotNull()
+    followed = found.select(
+        "node",
+        F.when(goes_on, F.col("hops") + F.col("_onward.hops")).otherwise(F.col("hops")).alias("hops"),
+        F.when(goes_on, F.col("_onward.end")).otherwise(F.col("end")).alias("end"),
+        F.when(goes_on, F.col("_onward.state")).otherwise("ok").alias("state"),
+    )
+    return ended.unionByName(followed)
+
+
 def _chains(redirects: DataFrame, limit: int) -> DataFrame:
     """(node, hops, end, state): what following up to ``limit`` redirects from each redirecting url leads to.
 
-    ``state`` is ``open`` (limit used up), ``ok`` (``end`` redirects no further) or a failure. A chain is
-    built from its far end: one step, then the chain that starts at its target. So every join has the same
-    left side, the staged table of single steps, which Spark shuffles once. One url (a log-in page, say) may
-    be the target of a large share of all redirects, hence ``lookup``.
+    ``state`` is ``open`` (limit used up), ``ok`` (``end`` redirects no further) or a failure. Chains double in
+    length with each join, so a limit of six takes three.
     """
-    steps = stage(_steps(redirects), "redirect-steps")
-    is_open = F.col("state") == "open"
-    targets = steps.withColumn("_target", F.when(is_open, F.col("end")))
-    heavy = heavy_keys(targets, "_target")
-    chains = steps
-    for _ in range(limit - 1):
-        onward = chains.select(F.col("node").alias("_target"), F.struct("hops", "end", "state").alias("_onward"))
-        found = lookup(targets, onward, key="_target", row_id="node", name="_onward", heavy=heavy)
-        goes_on = F.col("_onward").isNotNull()
-        chains = found.select(
-            "node",
-            F.when(goes_on, F.col("hops") + F.col("_onward.hops")).otherwise(F.col("hops")).alias("hops"),
-            F.when(goes_on, F.col("_onward.end")).otherwise(F.col("end")).alias("end"),
-            F.when(goes_on, F.col("_onward.state")).when(is_open, "ok").otherwise(F.col("state")).alias("state"),
-        )
+    power = stage(_steps(redirects), "redirect-steps")
+    chains, rest = None, limit
+    while rest:
+        if rest % 2:
+            chains = power if chains is None else _followed(chains, power)
+        rest //= 2
+        if rest:
+            power = stage(_followed(power, power), "redirect-chains")
     return chains
 
 
@@ -96,7 +119,7 @@ def resolve_redirects(requested: DataFrame, redirects: DataFrame, settings: Sett
     redirect to a private host, or an empty Location fails. Stages the table of redirects.
 
     Columns: url, final_url (null on failure), hops, redirect_status (``direct``, ``ok``, ``private_target``,
-    ``too_many_redirects``).
+    ``too_many_redirects``, ``ambiguous_redirect``).
     """
     chains = _chains(redirects, settings.max_redirects + 1)
     state = F.when(F.col("state") == "open", REDIRECT_LIMIT).otherwise(F.col("state"))

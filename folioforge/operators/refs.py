@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions.images import image_refs, unique_images
-from folioforge.operators.running import running_total
 
 
 def extract_image_refs(articles: DataFrame) -> DataFrame:
@@ -36,9 +35,10 @@ def dedup_image_urls(refs: DataFrame) -> DataFrame:
 
 def image_sequence(refs: DataFrame) -> DataFrame:
     """Number the distinct urls of each article from 1 in order of first sight: article_id, url, pos, seq."""
-    firsts = dedup_image_urls(refs).withColumn("_one", F.lit(1))
-    numbered = running_total(firsts, key="article_id", position="pos", value="_one", name="seq")
-    return numbered.select("article_id", "url", "pos", F.col("seq").cast("int").alias("seq"))
+    # Partitioned by article once, for the aggregate and the window alike; an article's references fit one text.
+    firsts = dedup_image_urls(refs.select("article_id", "url", "pos").repartition("article_id"))
+    order = Window.partitionBy("article_id").orderBy("pos")
+    return firsts.select("article_id", "url", "pos", F.row_number().over(order).alias("seq"))
 
 
 def count_unique_images(articles: DataFrame) -> DataFrame:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions import urls
 from folioforge.functions.images import image_matches, split_match
 from folioforge.functions.text import has_text
-from folioforge.operators.running import running_total
 from folioforge.settings import Settings
 
 
@@ -66,8 +65,12 @@ def corpus_report(results: DataFrame) -> DataFrame:
 
 
 def running_image_bytes(manifest: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Add ``total_bytes`` in download order and ``crosses_limit``, true on the row that passes the limit."""
-    totals = running_total(manifest, key="article_id", position="seq", value="size_bytes", name="total_bytes")
+    """Add ``total_bytes`` in download order and ``crosses_limit``, true on the row that passes the limit.
+
+    A window over the article: its images are those of one text, and a manifest is partitioned by article already.
+    """
+    order = Window.partitionBy("article_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    totals = manifest.withColumn("total_bytes", F.sum("size_bytes").over(order))
     limit = F.lit(settings.article_size_warning)
     crosses = (F.col("total_bytes") > limit) & (F.col("total_bytes") - F.col("size_bytes") <= limit)
     return totals.withColumn("crosses_limit", crosses)
@@ -106,6 +109,20 @@ def _count(text: Column, pattern: str) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
 
 
+# What counts as an image of each form. An opening sign is not passed over on the way to its closing one, so a
+# row of unclosed ones is read once; a match that begins with several of them is counted from the last.
+REFERENCE_STYLE = r"!\[[^\]!]*+(?:!(?!\[)[^\]!]*+)*+\]\[[^\]]+\]"
+IMAGE_LINK = r"\[!\[[^\]\[]*+(?:\[(?!!\[)[^\]\[]*+)*+\]\([^)\[]*+(?:\[(?!!\[)[^)\[]*+)*+(?<!\()\)\]\([^)]+\)"
+IMAGE_TAG = r"(?i)<img\s[^>]*+>"
+IMAGE_SOURCE = r"""(?i)src=["'][^"']+["']"""
+
+
+def _count_tags(text: Column) -> Column:
+    """Image elements with a source. The text is cut after its last closing bracket, so that each tag has one."""
+    closed = F.substring(text, F.lit(1), F.length(text) - F.length(F.substring_index(text, ">", -1)))
+    return F.size(F.filter(F.regexp_extract_all(closed, F.lit(IMAGE_TAG), F.lit(0)), lambda tag: tag.rlike(IMAGE_SOURCE)))
+
+
 def image_syntax_profile(documents: DataFrame, text: str = "markdown") -> DataFrame:
     """Per document, how often each form of image syntax occurs. Row-local; replaces the text by counts."""
     source = F.col(text)
@@ -134,12 +151,10 @@ def image_syntax_profile(documents: DataFrame, text: str = "markdown") -> DataFr
                 "fragment_urls": matching(lambda image: image["url"].contains("#")),
                 "paren_urls": matching(lambda image: image["url"].contains("(")),
                 "empty_alts": matching(lambda image: ~has_text(image["alt"])),
-                "html_images": counted(
-                    "<", _count(source, r"""(?i)<img\s[^>]*src=["'][^"']+["'][^>]*/?\s*>""")
-                ),
-                "reference_style": counted("![", _count(source, r"!\[[^\]]*\]\[[^\]]+\]")),
+                "html_images": counted("<", _count_tags(source)),
+                "reference_style": counted("![", _count(source, REFERENCE_STYLE)),
                 "in_code_fences": counted("```", fenced),
-                "image_links": counted("[![", _count(source, r"\[!\[[^]]*\]\([^)]+\)\]\([^)]+\)")),
+                "image_links": counted("[![", _count(source, IMAGE_LINK)),
                 "title_attributes": matching(lambda image: image["url"].rlike(r"""\s["'][^"']*["']\s*\z""")),
             }
         )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import html, metadata
 from folioforge.functions.text import has_text
-from folioforge.sources.layout import evaluate_once, spread
+from folioforge.sources.layout import evaluate_once
 
 
 def read_html_pages(pages: DataFrame) -> DataFrame:
@@ -15,7 +15,7 @@ def read_html_pages(pages: DataFrame) -> DataFrame:
 
     Row-local, so it works on a batch or a stream and never shuffles the page text.
     """
-    seen = spread(pages.select("page_id", "url", "html"), "page_id").withColumn("_page", html.visible(F.col("html")))
+    seen = pages.select("page_id", "url", "html").withColumn("_page", html.visible(F.col("html")))
     parts = seen.withColumn("_part", html.main_part(F.col("_page")))
     parts = parts.withColumn("_head", html.head(F.col("_page")))
     read = evaluate_once(html.with_markdown(parts, "_part", "url", "markdown"), "markdown", "_head")

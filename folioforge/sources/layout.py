@@ -6,18 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def spread(table: DataFrame, key: str) -> DataFrame:
-    """Give every core a share of a table whose files split into fewer tasks than there are cores.
-
-    A few files of one row group each would be parsed by a few tasks. A large input has far more splits than
-    cores and is returned as it is: raw text is never shuffled at scale.
-    """
-    if table.isStreaming:
-        return table
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores, key) if table.rdd.getNumPartitions() < cores else table
-
-
 def evaluate_once(table: DataFrame, *columns: str) -> DataFrame:
     """Keep filters above from copying the expressions of ``columns`` into themselves.
 

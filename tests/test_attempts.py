@@ -108,3 +108,13 @@ def test_a_heavy_key_is_spread_over_partitions(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert sum(sizes) == 20_000 and len(sizes) == 4 and max(sizes) < 10_000
+
+
+def test_several_locations_of_one_url(spark):
+    rows = [("https://x/a", "https://x/old", 1), ("https://x/a", "https://x/new", 2), ("https://x/b", "https://x/p", 3), ("https://x/b", "https://x/q", 3), ("https://x/b", "https://x/p", 3), ("https://x/c", "https://x/d", None)]
+    edges = spark.createDataFrame(rows, "src string, location string, seen_at int")
+    requested = spark.createDataFrame([(f"https://x/{n}",) for n in "abc"], "url string")
+    found = {r.url: (r.final_url, r.redirect_status) for r in at.resolve_redirects(requested, edges).collect()}
+    assert found == {"https://x/a": ("https://x/new", "ok"), "https://x/b": (None, "ambiguous_redirect"), "https://x/c": ("https://x/d", "ok")}
+    found = {r.url: r.redirect_status for r in at.resolve_redirects(requested, edges.drop("seen_at")).collect()}
+    assert found == {"https://x/a": "ambiguous_redirect", "https://x/b": "ambiguous_redirect", "https://x/c": "ok"}

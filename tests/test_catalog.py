@@ -33,7 +33,7 @@ def test_flagship_gives_one_document_per_page(spark):
 
 
 def test_images_and_slugs_are_joined_without_the_text(spark, tmp_path):
-    """The text takes part in one exchange, and the manifest branch reads no text column."""
+    """The text takes part in one exchange, and the branches of decisions and images read no text column."""
     from catalog.queries import attempts, prepared
     from folioforge.plans import corpus
 
@@ -45,7 +45,7 @@ def test_images_and_slugs_are_joined_without_the_text(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     scans = [line for line in plan.splitlines() if "FileScan" in line and "markdown#" in line]
     assert len(scans) == 1
-    assert plan.count("Exchange hashpartitioning(article_id") == 6
+    assert plan.count("Exchange hashpartitioning(article_id") == 9
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "ArrowEvalPython" not in plan
 
 

@@ -1,20 +1,31 @@
 import random
+import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from folioforge import Settings
 from folioforge.operators import reports
-from folioforge.operators.running import running_total
+from folioforge.operators.refs import image_sequence
 
 MB = 1024 * 1024
 
 
-def test_running_total_across_stretches(spark):
+def test_running_bytes_need_no_join(spark):
     rng = random.Random(5)
-    rows = [(k, p, rng.randint(-5, 50)) for k in ("a", "b") for p in rng.sample(range(200), 90)]
-    table = spark.createDataFrame(rows, "k string, p int, v int")
-    found = {(r.k, r.p): r.t for r in running_total(table, key="k", position="p", value="v", name="t", chunk_positions=7).collect()}
-    assert found == {(k, p): sum(v for kk, pp, v in rows if kk == k and pp <= p) for k, p, _ in rows}
+    rows = [(k, p, f"u{p}", f"{p}.png", rng.randint(0, 50)) for k in (1, 2) for p in rng.sample(range(200), 90)]
+    table = spark.createDataFrame(rows, "article_id bigint, seq int, url string, filename string, size_bytes bigint")
+    totals = reports.running_image_bytes(table)
+    assert {(r.article_id, r.seq): r.total_bytes for r in totals.collect()} == {
+        (k, p): sum(r[4] for r in rows if r[0] == k and r[1] <= p) for k, p, *_ in rows
+    }
+    refs = spark.createDataFrame([(1, 0, "b"), (1, 1, "a"), (1, 2, "b"), (2, 5, "a")], "article_id bigint, pos int, url string")
+    numbered = image_sequence(refs)
+    assert {(r.article_id, r.url, r.pos, r.seq) for r in numbered.collect()} == {(1, "b", 0, 1), (1, "a", 1, 2), (2, "a", 5, 1)}
+    for plan in (totals, numbered):
+        text = plan._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "Join" not in text and text.count("Exchange hashpartitioning") == 1
 
 
 def manifest(spark, *sizes):
@@ -72,3 +83,29 @@ lines](https://x/2.png#f) ![ ](data:image/png;base64,AA)
     assert (totals.documents, totals.with_images, totals.images) == (2, 1, 7)
     linked = spark.createDataFrame([("[![badge](https://x/b.svg)](https://x/) ![a](u) [![c](v)](w)",)], "markdown string")
     assert reports.image_syntax_profile(linked).select(F.col("image_links")).first()[0] == 2
+
+
+ORIGINAL = {
+    "html_images": r"""(?i)<img\s[^>]*src=["'][^"']+["'][^>]*/?\s*>""",
+    "reference_style": r"!\[[^\]]*\]\[[^\]]+\]",
+    "image_links": r"\[!\[[^]]*\]\([^)]+\)\]\([^)]+\)",
+}
+
+
+def test_counts_match_the_plain_patterns(spark):
+    rng = random.Random(6)
+    parts = ["![", "]", "[", "](", ")", "][x]", "a", " ", "[![", "<img ", "src='u'", ">", "(", "![r][s]", "[![a](b)](c)", "<img src=\"v\">"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 30))) for _ in range(3000)]
+    rows = reports.image_syntax_profile(spark.createDataFrame(list(enumerate(texts)), "i int, markdown string")).collect()
+    for name, pattern in ORIGINAL.items():
+        off = [texts[r.i] for r in rows if r[name] != len(re.findall(pattern, texts[r.i]))]
+        # A link whose address holds the start of another image is counted from there.
+        assert len(off) <= (30 if name == "image_links" else 0), (name, off[:5])
+
+
+@pytest.mark.parametrize("unit", ["<img ", "![", "[![", "[![a](", "![a][", "```x"])
+def test_long_texts_of_unclosed_signs(spark, unit):
+    table = spark.createDataFrame([(unit * (1_000_000 // len(unit)),)], "markdown string")
+    began = time.time()
+    assert reports.image_syntax_profile(table).first() is not None
+    assert time.time() - began < 20
