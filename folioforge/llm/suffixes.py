@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.common import SECOND_MULTIPLIER, between, byte_codes, identified, minimizers, prefix_sums, slices, text_bytes, text_key, window_starts
-from folioforge.llm.repeats import BUCKET_KEYS, GROUPED, Keys, attach, by_text, distinct_texts, extent, find_repeated, grouped_rows, unpack
+from folioforge.llm.repeats import BUCKET_KEYS, GROUPED, Keys, attach, by_text, distinct_texts, extent, find_repeated, forget, grouped_rows, unpack
 from folioforge.operators.staging import stage
 
 LENGTH = 400
@@ -215,11 +215,13 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Null and empty texts have no bytes, texts under ``length`` no spans. Texts that occur twice are repeated as a whole.
     Strings are judged on the input. A null doc_id stays null.
     """
-    texts = distinct_texts(docs)
+    texts, name = distinct_texts(docs)
     size, groups = extent(texts)
     named = find_repeated(texts.select("key", "text"), sampled_names(length), size * len(COVER) // V // BUCKET_KEYS + 1, groups, exact=False)
-    candidates = attach(texts.select("key", "text"), stage(named, "shared-names")).where("found is not null")
+    named = stage(named, "shared-names")
+    candidates = attach(texts.select("key", "text"), named).where("found is not null")
     merged = merge(meet(candidates, length, size // BUCKET_BYTES + 1), length, groups)
     spans = stage(remove(attach(texts, merged), length), "repeated-bytes")
+    forget(name, named)
     keys = identified(docs).select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), text_key(F.col("text")).alias("key"))
     return keys.join(spans, "key").drop("key")
