@@ -487,3 +487,17 @@ union all select article_id, 'article_size', filename, total_bytes from totals
 select slug, slug || '/article.md' as path, article_id, front_matter || chr(10) || markdown as content
 from html_fronted qualify row_number() over (partition by slug order by article_id) = 1"""),
 }
+
+
+def _with_redirects(sql: str) -> str:
+    """Attempts at an image whose redirects fail have failed."""
+    marked = """,
+marked_attempts as (
+  select * replace (coalesce(error_kind, case when url <> 'https://cdn.example.com/abc' || article_id then null
+    when article_id % 3 = 0 then 'private_target' when article_id % 3 = 1 then 'too_many_redirects' end) as error_kind)
+  from attempts)"""
+    used = re.sub(r"\bfrom attempts\b", "from marked_attempts", sql)
+    return used.replace(",\nsettled as (", f"{marked},\nsettled as (", 1)
+
+
+ORACLES["build_corpus_redirects"] = _with_redirects(ORACLES["build_corpus"])

@@ -418,6 +418,13 @@ def build_corpus(spark, folder):
     return corpus.build_corpus(prepared(spark, folder), attempts(spark, folder), SETTINGS, policy="suffix")
 
 
+@query
+def build_corpus_redirects(spark, folder):
+    """The same with redirects of images, which may lead to a private host or too far."""
+    edges = view(spark, folder, "image_redirects")
+    return corpus.build_corpus(prepared(spark, folder), attempts(spark, folder), SETTINGS, policy="suffix", redirects=edges)
+
+
 @query
 def build_corpus_incremental_(spark, folder):
     """The landed pages as a stream, drained into a published corpus."""

@@ -127,6 +127,18 @@ from {source}
 where h < page_id % 8"""
 
 
+def image_redirects(dialect: str) -> str:
+    """Redirects of one image of each article: to a private address, over six hops, or over one."""
+    source = repeat("pages", "(0), (1), (2), (3), (4), (5)", "h", dialect)
+    first = "concat('https://cdn.example.com/abc', cast(page_id as string))"
+    hop = "concat('https://r.example.com/i/', cast(page_id as string), '/', cast({} as string))"
+    return f"""
+select case when h = 0 then {first} else {hop.format("h")} end as src,
+  case when page_id % 3 = 0 then 'http://10.0.0.8/x.png' else {hop.format("h + 1")} end as location
+from {source}
+where h = 0 or page_id % 3 = 1"""
+
+
 def requested(dialect: str) -> str:
     """Urls to resolve: the start of every chain, and every page."""
     return """
@@ -153,6 +165,7 @@ VIEWS = {
     "articles": articles,
     "fetches": fetches,
     "urls": urls,
+    "image_redirects": image_redirects,
     "attempts": attempts,
     "redirects": redirects,
     "requested": requested,

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-# Shuffle partitions aimed at when the size of the input is given.
-SHUFFLE_PARTITION_BYTES = 128 * 1024 * 1024
+# Shuffle partitions aimed at when the size of the input is given. Text rows are large, and the number of shuffle
+# blocks grows with the product of map and reduce tasks: at 20 TB, 80,000 scan tasks and 40,000 partitions.
+SHUFFLE_PARTITION_BYTES = 512 * 1024 * 1024
 
 # Runtime settings that do not depend on the input.
 RECOMMENDED = {
@@ -19,8 +20,8 @@ RECOMMENDED = {
     # Groups here are the images of one article: small, and many more than the 128 after which Spark would
     # go over to sorting them.
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "10000",
-    # Long text rows: smaller scan splits keep a task's decoded pages well inside its memory.
-    "spark.sql.files.maxPartitionBytes": "64MB",
+    # Rows are parsed one at a time, so a split costs no memory of its size.
+    "spark.sql.files.maxPartitionBytes": "256MB",
 }
 
 

@@ -10,7 +10,7 @@ from catalog.oracles import ORACLES
 from catalog.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-SELECTION = ["read_html_pages", "read_reader_responses", "resolve_title_slug", "resolve_redirects", "run_status", "build_corpus"]
+SELECTION = ["read_html_pages", "read_reader_responses", "resolve_title_slug", "resolve_redirects", "run_status", "build_corpus", "build_corpus_redirects"]
 
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="needs the test tables")
 
@@ -55,6 +55,6 @@ def test_shuffle_partitions_grow_with_the_input(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     try:
         configure(spark, input_bytes=10 * 1024**4)
-        assert spark.conf.get("spark.sql.shuffle.partitions") == str(10 * 1024**4 // (128 * 1024**2))
+        assert spark.conf.get("spark.sql.shuffle.partitions") == str(10 * 1024**4 // (512 * 1024**2))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
