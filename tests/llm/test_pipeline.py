@@ -4,10 +4,10 @@ import re
 from collections import Counter
 
 import corpus_pipeline
-from folioforge.llm import pieces
+from folioforge.llm import pieces, simhash
 from folioforge.llm.queries import piece_model
-from tests.llm.support import EDGE_TEXTS, edge_docs, no_docs
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.support import EDGE_TEXTS, components, edge_docs, no_docs
+from tests.llm.test_simhash import brute_fingerprint
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -37,11 +37,30 @@ def brute_cut(texts, width=400):
     return out
 
 
+def links(narrow, wide, bits):
+    return [
+        (a, b)
+        for a in narrow
+        for b in narrow
+        if a < b
+        and ((narrow[a] ^ narrow[b]).bit_count() <= 2 or sum(((x ^ y) % (1 << 64)).bit_count() for x, y in zip(wide[a], wide[b], strict=True)) <= bits)
+    ]
+
+
 def test_run_matches_brute_force(spark):
     rows = spark.read.parquet(f"{FOLDER}/documents.parquet").collect()
     texts = {r.doc_id: r.text for r in rows if any(c.isalpha() for c in r.text or "")}
-    groups = brute_components({i: brute_fingerprint(t) for i, t in texts.items()})
-    texts = brute_cut({i: t for i, t in texts.items() if groups[i] == i})
+    docs = spark.createDataFrame([r for r in rows if r.doc_id in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, FOLDER).collect()}
+    narrow = {i: brute_fingerprint(t) for i, t in texts.items()}
+    wide = {r.doc_id: r[1:] for r in simhash.wide_fingerprints(docs).collect()}
+    # Whatever is clearly near is one group, and only what is near at all is grouped; between, the index may miss a pair.
+    sure = components(list(texts), links(narrow, wide, 36))
+    most = components(list(texts), links(narrow, wide, simhash.WIDE_BITS))
+    assert kept <= {i for i in texts if sure[i] == i}
+    assert kept >= {i for i in texts if most[i] == i}
+    assert len(kept) < len(set(narrow.values()))
+    texts = brute_cut({i: t for i, t in texts.items() if i in kept})
     items = [" ".join(words(r.text)) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
     texts = {i: t for i, t in texts.items() if not any(item in " ".join(words(t)) for item in items)}
     own = pieces.processor(piece_model())

@@ -96,3 +96,47 @@ def test_entries_of_many_fingerprints_link_by_lookup():
     values = np.arange(400, dtype=np.uint64) * np.uint64(3)
     found = {frozenset((int(a), int(b))) for x, y in simhash.links_within(values, (0, 1)) for a, b in zip(x, y, strict=True)}
     assert found == {frozenset((int(a), int(b))) for a in values for b in values if a < b and (int(a) ^ int(b)).bit_count() <= 2}
+
+
+def similar(a, b):
+    def shingles(text):
+        words = text.lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    return len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+
+
+def test_similar_texts_are_found_and_others_left(spark):
+    rng = random.Random(8)
+    texts = {}
+    for family in range(30):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(60, 400))]
+        texts[family * 100] = " ".join(base)
+        for copy in range(1, 6):
+            words = list(base)
+            for _ in range(max(1, len(words) * copy // 250)):
+                words[rng.randrange(len(words))] = f"edit{rng.randrange(10**6)}"
+            texts[family * 100 + copy] = " ".join(words)
+        # Half of it stands in another text.
+        texts[family * 100 + 50] = " ".join(base[: len(base) // 2] + [f"own{rng.randrange(10**6)}" for _ in base])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.similar_texts(docs).collect()}
+    near = [(a, b) for f in range(30) for a in range(f * 100, f * 100 + 6) for b in range(a + 1, f * 100 + 6)]
+    high = [found[a] == found[b] for a, b in near if similar(texts[a], texts[b]) >= 0.85]
+    assert len(high) > 150 and sum(high) / len(high) > 0.97
+    assert all(c // 100 == i // 100 for i, c in found.items())
+    assert all(found[f * 100 + 50] == f * 100 + 50 for f in range(30))
+
+
+def test_wide_edges(spark):
+    rows = simhash.similar_texts(edge_docs(spark)).collect()
+    assert len(rows) == len(EDGE_TEXTS)
+    by_id = {r.doc_id: r.component_id for r in rows}
+    assert by_id[6] == by_id[7] == 6 and by_id[1] == by_id[2] == by_id[3] == 1 and by_id[4] == 4
+    assert simhash.similar_texts(no_docs(spark)).collect() == []
+    assert simhash.all_near_duplicates(no_docs(spark)).collect() == []
+
+
+def test_entries_link_to_their_smallest():
+    first, a, b = simhash.starred(np.array([7, 5, 7, 5, 7, 9], np.uint64), np.array([3, 2, 1, 2, 4, 8]))
+    assert set(zip(a.tolist(), b.tolist(), strict=True)) == {(1, 3), (1, 4)} and len(first) == 3
