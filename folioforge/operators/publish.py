@@ -3,6 +3,9 @@
 Layout below a root folder: ``articles`` and ``images`` (one partition per batch), ``replaced`` (slugs a batch
 took over, and from which batch), and ``batches``, the log. A batch exists once its row is in the log, which
 is appended last; what a failed job leaves behind is never read and is overwritten by the next try.
+
+Which slugs are current is written down every ``COMPACT_EVERY`` batches (``current`` and ``covered``, logged in
+``snapshots``), so that a new batch reads one such list and the few batches after it, not the whole history.
 """
 
 from __future__ import annotations
@@ -18,6 +21,10 @@ DOCUMENT = "slug string, path string, article_id bigint, content string, slug_st
 IMAGE = "article_id bigint, slug string, seq int, url string, filename string, path string, size_bytes bigint, batch_id string"
 REPLACED = "slug string, old_batch_id string, batch_id string"
 BATCH = "batch_id string, articles bigint, images bigint"
+CURRENT = "slug string, batch_id string"
+COVERED = "batch_id string"
+SNAPSHOT = "snapshot string, batches bigint"
+COMPACT_EVERY = 50
 
 
 def write_articles(documents: DataFrame, folder: str) -> None:
@@ -49,11 +56,42 @@ def _logged(spark: SparkSession, root: str, table: str, schema: str) -> DataFram
     return _read(spark, root, table, schema).join(batches, "batch_id", "left_semi")
 
 
+def _snapshot(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """The latest list of current slugs, and the batches that it covers."""
+    # One row for each COMPACT_EVERY batches, of which one is taken.
+    latest = _read(spark, root, "snapshots", SNAPSHOT).orderBy(F.desc("batches"), "snapshot").first()
+    name = f"snapshot={latest.snapshot}" if latest else "snapshot=none"
+    return _read(spark, root, f"current/{name}", CURRENT), _read(spark, root, f"covered/{name}", COVERED)
+
+
+def read_current_slugs(spark: SparkSession, root: str) -> DataFrame:
+    """(slug, batch_id) of the current documents: the latest list, and what the batches after it changed."""
+    known, covered = _snapshot(spark, root)
+    newer = read_batches(spark, root).select("batch_id").join(covered, "batch_id", "left_anti")
+    added = _read(spark, root, "articles", DOCUMENT).select("slug", "batch_id").join(newer, "batch_id", "left_semi")
+    replaced = _read(spark, root, "replaced", REPLACED).join(newer, "batch_id", "left_semi")
+    gone = replaced.select("slug", F.col("old_batch_id").alias("batch_id"))
+    return known.unionByName(added.select("slug", "batch_id")).join(gone, ["slug", "batch_id"], "left_anti")
+
+
+def compact(spark: SparkSession, root: str, every: int = 1) -> bool:
+    """Write down which slugs are current, if at least ``every`` batches came since the last time."""
+    batches, (_, covered) = read_batches(spark, root).select("batch_id"), _snapshot(spark, root)
+    total = batches.count()
+    if total - covered.count() < every:
+        return False
+    name = f"{total:012d}"
+    read_current_slugs(spark, root).write.mode("overwrite").parquet(f"{root}/current/snapshot={name}")
+    batches.write.mode("overwrite").parquet(f"{root}/covered/snapshot={name}")
+    entry = spark.createDataFrame([(name, total)], T.StructType.fromDDL(SNAPSHOT))
+    entry.coalesce(1).write.mode("append").parquet(f"{root}/snapshots")
+    return True
+
+
 def read_published(spark: SparkSession, root: str) -> DataFrame:
     """Current documents: those of logged batches whose slug no later batch replaced."""
-    replaced = _logged(spark, root, "replaced", REPLACED).select("slug", F.col("old_batch_id").alias("batch_id"))
-    current = _logged(spark, root, "articles", DOCUMENT).join(replaced, ["slug", "batch_id"], "left_anti")
-    return current.drop("slug_status")
+    current = _read(spark, root, "articles", DOCUMENT).join(read_current_slugs(spark, root), ["slug", "batch_id"], "left_semi")
+    return current.select(*[c for c in current.columns if c != "slug_status"])
 
 
 def read_published_images(spark: SparkSession, root: str) -> DataFrame:
@@ -94,7 +132,7 @@ def publish_corpus(root: str, batch_id: str, corpus: DataFrame, manifest: DataFr
     if not written.groupBy("slug").count().filter("count > 1").isEmpty():
         raise ValueError(f"batch {batch_id} holds a slug twice")
 
-    earlier = read_published(spark, root).select("slug", F.col("batch_id").alias("old_batch_id"))
+    earlier = read_current_slugs(spark, root).withColumnRenamed("batch_id", "old_batch_id")
     met = written.select("slug", "slug_status").join(earlier, "slug")
     # Written also without rows: a file that an earlier try of this batch left would count.
     met.select("slug", "old_batch_id", "slug_status").write.mode("overwrite").parquet(replaced)
@@ -116,4 +154,5 @@ def publish_corpus(root: str, batch_id: str, corpus: DataFrame, manifest: DataFr
     stored = spark.read.schema(placed.schema).parquet(images)
     entry = [(batch_id, written.count(), stored.count())]
     spark.createDataFrame(entry, T.StructType.fromDDL(BATCH)).coalesce(1).write.mode("append").parquet(f"{root}/batches")
+    compact(spark, root, COMPACT_EVERY)
     return True

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from folioforge.operators.publish import publish_corpus, read_published
+from folioforge.operators.publish import publish_corpus, read_current_slugs
 from folioforge.operators.staging import release, stage
 from folioforge.plans.corpus import acceptable_articles, build_corpus, decide_slugs, image_manifest
 from folioforge.settings import Settings
@@ -32,7 +32,7 @@ def publish_batch(
     spark = articles.sparkSession
     arrival = "arrival" if "arrival" in articles.columns else None
     prepared = stage(acceptable_articles(articles, settings, arrival), "prepared")
-    published = read_published(spark, root).select("slug")
+    published = read_current_slugs(spark, root).select("slug")
     decisions = stage(decide_slugs(prepared, settings, policy=policy, published=published, batch_id=batch_id), "decisions")
     manifest = stage(image_manifest(prepared, attempts, settings, redirects, decisions), "manifest")
     corpus = build_corpus(prepared, attempts, settings, manifest=manifest, decisions=decisions)

@@ -245,3 +245,17 @@ def test_staged_folders_of_a_batch_are_removed(spark, tmp_path):
     before = set(shared.iterdir())
     assert publish_batch(str(tmp_path / "corpus"), "b", read_pages(spark, (1, "https://example.com/1", "T", "x")), attempts(spark), SETTINGS)
     assert set(shared.iterdir()) == before
+
+
+def test_lists_of_current_slugs_change_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(publish, "COMPACT_EVERY", 2)
+    root = str(tmp_path / "corpus")
+    expected = {}
+    for number, (title, policy) in enumerate([("Home", "fail"), ("About", "fail"), ("Home", "overwrite"), ("News", "fail"), ("About", "overwrite")]):
+        assert run(spark, root, f"b{number}", [(number, title, "x")], policy=policy)
+        expected[title.lower()] = (number, f"b{number}")
+        assert current(spark, root) == expected
+        assert {(r.slug, r.batch_id) for r in publish.read_current_slugs(spark, root).collect()} == {(s, b) for s, (_, b) in expected.items()}
+    assert spark.read.parquet(f"{root}/snapshots").count() == 2
+    assert publish.compact(spark, root) and not publish.compact(spark, root)
+    assert current(spark, root) == expected
