@@ -76,9 +76,10 @@ def read_current_slugs(spark: SparkSession, root: str) -> DataFrame:
 
 def compact(spark: SparkSession, root: str, every: int = 1) -> bool:
     """Write down which slugs are current, if at least ``every`` batches came since the last time."""
-    batches, (_, covered) = read_batches(spark, root).select("batch_id"), _snapshot(spark, root)
+    batches = read_batches(spark, root).select("batch_id")
     total = batches.count()
-    if total - covered.count() < every:
+    # Batches are never removed, so none need be looked at before there are enough of them.
+    if total < every or total - _snapshot(spark, root)[1].count() < every:
         return False
     name = f"{total:012d}"
     read_current_slugs(spark, root).write.mode("overwrite").parquet(f"{root}/current/snapshot={name}")
@@ -129,7 +130,8 @@ def publish_corpus(root: str, batch_id: str, corpus: DataFrame, manifest: DataFr
     )
     write_articles(ready, articles)
     written = spark.read.schema(ready.schema).parquet(articles).drop("path", "content")
-    if not written.groupBy("slug").count().filter("count > 1").isEmpty():
+    documents, slugs = written.agg(F.count(F.lit(1)), F.count_distinct("slug")).first()
+    if slugs < documents:
         raise ValueError(f"batch {batch_id} holds a slug twice")
 
     earlier = read_current_slugs(spark, root).withColumnRenamed("batch_id", "old_batch_id")
@@ -152,7 +154,7 @@ def publish_corpus(root: str, batch_id: str, corpus: DataFrame, manifest: DataFr
     )
     write_image_manifest(placed, images)
     stored = spark.read.schema(placed.schema).parquet(images)
-    entry = [(batch_id, written.count(), stored.count())]
+    entry = [(batch_id, documents, stored.count())]
     spark.createDataFrame(entry, T.StructType.fromDDL(BATCH)).coalesce(1).write.mode("append").parquet(f"{root}/batches")
     compact(spark, root, COMPACT_EVERY)
     return True
