@@ -18,8 +18,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import Words, bound_batches, identified, mix, slices, text_bytes
-from folioforge.operators.staging import stage
+from folioforge.llm.common import Words, bound_batches, identified, mix, slices, text_bytes, text_key
+from folioforge.operators.lookup import heavy_keys, lookup
+from folioforge.operators.staging import release, stage
 
 SHINGLE = 3
 BITS = 2
@@ -177,17 +178,22 @@ def fingerprint_digits(found: DataFrame) -> DataFrame:
 
 # --- Similar texts. Texts of which four in five shingles are shared differ in 15 of 100 bits of a fingerprint, too many for a
 # fingerprint of 64 bits to tell them from ones that share a passage, or for any byte to be equal for certain. So the fingerprint has
-# 256 bits, and the index is entered under TRIPLES of its byte positions.
+# 512 bits, the index is entered under TRIPLES of its byte positions, and the shingles of what it finds are compared.
 
 WIDE_SHINGLE = 5
-WIDE_WORDS = 4
-TRIPLES = 128
-# Of 256 bits, texts with a share of 0.8 of shingles in common differ in 39 on average, with 0.85 in 33, with 0.5 in 69.
-WIDE_BITS = 49
+WIDE_WORDS = 8
+# At most 256, so that an entry is a number of 32 bits.
+TRIPLES = 192
+# Share of the shingles of two texts, each counted once, that both have.
+LEAST_SHARE = 0.8
+# Entries carry the first words only. Of their 256 bits, texts with a share of 0.8 of shingles in common differ in 39 on average, with
+# 0.85 in 33, with 0.5 in 69.
+ENTRY_WORDS = 4
+WIDE_BITS = 52
 # Keys that a task holds before it sends them, and that a bucket gets.
 TASK_KEYS, BUCKET_KEYS = 500_000, 750_000
 WIDE = [f"f{i}" for i in range(WIDE_WORDS)]
-ENTRIES = "bucket int, keys binary, ids binary"
+ENTRIES = "bucket int, keys binary, ids binary, prints binary"
 
 
 def triples() -> np.ndarray:
@@ -196,9 +202,23 @@ def triples() -> np.ndarray:
     return every[np.random.default_rng(5).permutation(len(every))[:TRIPLES]]
 
 
+def shingle_hashes(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+    """Hashes of the shingles of each row of a slice, repeats included: of five words, of all if a row has fewer."""
+    words = Words(data, offsets, lower=True)
+    hashes = words.hashes()
+    shingles, starts = words.grams(hashes, WIDE_SHINGLE)
+    cuts = np.searchsorted(starts, words.first)
+    for row in range(words.rows):
+        own = shingles[cuts[row] : cuts[row + 1]]
+        if not len(own) and words.first[row] < words.first[row + 1]:
+            short = hashes[words.first[row] : words.first[row + 1]]
+            own = mix(np.array([(short * np.arange(1, 2 * len(short), 2, dtype=np.uint64)).sum()], np.uint64))
+        yield own
+
+
 def wide_fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, f0, f1, f2, f3): 256 bits of each whole text, from shingles of five words. A text with fewer words has
-    its whole sequence for a shingle, one without words zeros."""
+    """(doc_id, f0, f1, ..., key): 512 bits of each whole text, from shingles of five words, and the text's key. A text with
+    fewer words has its whole sequence for a shingle, one without words zeros."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,107 +226,162 @@ def wide_fingerprints(docs: DataFrame) -> DataFrame:
             out = np.zeros((batch.num_rows, WIDE_WORDS), np.uint64)
             for first, last in slices(offsets):
                 begin = offsets[first]
-                words = Words(data[begin : offsets[last]], offsets[first : last + 1] - begin, lower=True)
-                hashes = words.hashes()
-                shingles, starts = words.grams(hashes, WIDE_SHINGLE)
-                cuts = np.searchsorted(starts, words.first)
-                for row in range(last - first):
-                    own = shingles[cuts[row] : cuts[row + 1]]
-                    if not len(own) and words.first[row] < words.first[row + 1]:
-                        short = hashes[words.first[row] : words.first[row + 1]]
-                        own = mix(np.array([(short * np.arange(1, 2 * len(short), 2, dtype=np.uint64)).sum()], np.uint64))
+                for row, own in enumerate(shingle_hashes(data[begin : offsets[last]], offsets[first : last + 1] - begin), first):
                     counts = np.zeros(64 * WIDE_WORDS, np.int64)
                     for at in range(0, len(own), BLOCK // 8):
                         block = own[at : at + BLOCK // 8, None] + np.arange(1, WIDE_WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
                         bits = np.unpackbits(mix(block).view(np.uint8).reshape(len(block), -1), axis=1)
                         counts += bits.sum(axis=0, dtype=np.int64)
-                    out[first + row] = np.packbits(counts * 2 > len(own)).view(np.uint64)
+                    out[row] = np.packbits(counts * 2 > len(own)).view(np.uint64)
             columns = [pa.array(np.ascontiguousarray(out[:, i]).view(np.int64)) for i in range(WIDE_WORDS)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *WIDE])
-
-    return identified(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"{f} long" for f in WIDE))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, batch.column("key")], ["doc_id", *WIDE, "key"])
 
+    keyed = identified(docs).withColumn("key", text_key(F.col("text")))
+    return keyed.mapInArrow(run, "doc_id long, " + ", ".join(f"{f} long" for f in WIDE) + ", key binary")
 
-def starred(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of entries in the order of key and id: which are the first of their key, and the distinct pairs (first, other)."""
-    order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
-    first = np.ones(len(keys), bool)
-    first[1:] = keys[1:] != keys[:-1]
-    least = ids[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))]
-    other = ~first & (least != ids)
-    return order[first], least[other], ids[other]
 
+def leaders(keys: np.ndarray, ids: np.ndarray, prints: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which entries lead, and the distinct rows (leader, other, distance) of the others.
 
-def candidate_pairs(classes: DataFrame, buckets: int) -> DataFrame:
-    """Pairs (a, b) of ids of fingerprints (id, f0, ...) that share an entry of the index, each other one of an entry
-    with the smallest: no pairs among the rest. A task sends the smallest of its own for each entry, so a
-    frequent entry is sent once by a task."""
+    The smallest id of a key leads, and the ones within ``bits`` of it follow; of those left the smallest leads, and so
+    on. A key that unlike fingerprints share thus hides no pair among them, and one of many like ones costs no more for each.
+    """
+    left = np.lexsort((ids, keys))
+    lead, pairs = [left[:0]], [np.zeros((0, 3), np.int64)]
+    while len(left):
+        first = np.ones(len(left), bool)
+        first[1:] = keys[left[1:]] != keys[left[:-1]]
+        to = left[np.maximum.accumulate(np.where(first, np.arange(len(left)), 0))]
+        distance = np.bitwise_count(prints[left] ^ prints[to]).sum(axis=1, dtype=np.int64)
+        near = ~first & (distance <= bits)
+        met = near & (ids[left] != ids[to])
+        lead.append(left[first])
+        pairs.append(np.stack([ids[to[met]], ids[left[met]], distance[met]], axis=1))
+        left = left[~first & ~near]
+    return np.concatenate(lead), np.unique(np.concatenate(pairs), axis=0)
+
+
+def candidate_pairs(classes: DataFrame, buckets: int, bits: int = WIDE_BITS) -> DataFrame:
+    """Pairs (a, b, distance) of ids of fingerprints (id, f0, ...) that share an entry of the index and differ in at most
+    ``bits``: each that follows with its leader, no pairs among those that follow. A task sends only leaders, so an
+    entry of many like fingerprints is sent once by a task."""
     chosen = triples()
 
-    def unique(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.unique(np.stack([a, b], axis=1), axis=0)
+    def packed(*columns: np.ndarray) -> tuple[bytes, ...]:
+        return tuple(np.ascontiguousarray(c).tobytes() for c in columns)
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def rows() -> Iterator[pa.RecordBatch]:
-            keys, ids = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-            first, a, b = starred(keys, ids)
-            keys, ids = keys[first], ids[first]
-            bucket = (mix(keys) % np.uint64(buckets)).astype(np.int64)
+        def rows() -> pa.RecordBatch:
+            keys, ids, prints = (np.concatenate([h[i] for h in held]) for i in range(3))
+            lead, pairs = leaders(keys, ids, prints, bits)
+            bucket = (mix(keys[lead]) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]])
-            parts = [order[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-            numbers = [int(bucket[p[0]]) for p in parts]
-            entries = [(n, keys[p].tobytes(), ids[p].tobytes()) for n, p in zip(numbers, parts, strict=True)]
-            pairs = unique(a, b)
+            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+            parts = np.split(order, cuts)
+            entries = [(int(bucket[p[0]]), *packed(keys[lead[p]].astype(np.uint32), ids[lead[p]], prints[lead[p]])) for p in parts]
             if len(pairs):
                 # Pairs found here are only handed on.
-                entries.append((-1 - int(pairs[0, 0] % buckets), pairs[:, 0].tobytes(), pairs[:, 1].tobytes()))
-            columns = [pa.array(c, k) for c, k in zip(zip(*entries, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, ["bucket", "keys", "ids"])
+                entries.append((-1 - int(pairs[0, 0] % buckets), *packed(*pairs.T)))
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            columns = [pa.array(c, k) for c, k in zip(zip(*entries, strict=True), kinds, strict=True)]
+            return pa.RecordBatch.from_arrays(columns, ["bucket", "keys", "ids", "prints"])
 
         for batch in batches:
-            bits = np.stack([batch.column(f).to_numpy() for f in WIDE], axis=1)
-            values = np.ascontiguousarray(bits).view(np.uint8).reshape(batch.num_rows, -1).astype(np.uint64)
-            picked = values[:, chosen]
+            if not batch.num_rows:
+                continue
+            prints = np.ascontiguousarray(np.stack([batch.column(f).to_numpy() for f in WIDE], axis=1)).view(np.uint64)
+            picked = prints.view(np.uint8).astype(np.uint64)[:, chosen]
             keys = np.arange(TRIPLES, dtype=np.uint64) << np.uint64(24) | picked[:, :, 0] << np.uint64(16) | picked[:, :, 1] << np.uint64(8) | picked[:, :, 2]
-            held.append((keys.ravel(), np.repeat(batch.column("id").to_numpy(), TRIPLES)))
+            held.append((keys.ravel(), np.repeat(batch.column("id").to_numpy(), TRIPLES), np.repeat(prints[:, :ENTRY_WORDS], TRIPLES, axis=0)))
             if sum(len(h[0]) for h in held) >= TASK_KEYS:
-                yield from rows()
+                yield rows()
                 held = []
         if held:
-            yield from rows()
+            yield rows()
 
     def meet(table: pa.Table) -> pa.Table:
-        keys, ids = (b"".join(table.column(c).to_pylist()) for c in ("keys", "ids"))
+        keys, ids, prints = (b"".join(table.column(c).to_pylist()) for c in ("keys", "ids", "prints"))
         if table.column("bucket")[0].as_py() < 0:
-            pairs = unique(np.frombuffer(keys, np.int64), np.frombuffer(ids, np.int64))
+            pairs = np.unique(np.stack([np.frombuffer(x, np.int64) for x in (keys, ids, prints)], axis=1), axis=0)
         else:
-            pairs = unique(*starred(np.frombuffer(keys, np.uint64), np.frombuffer(ids, np.int64))[1:])
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+            pairs = leaders(np.frombuffer(keys, np.uint32), np.frombuffer(ids, np.int64), np.frombuffer(prints, np.uint64).reshape(-1, ENTRY_WORDS), bits)[1]
+        return pa.table({name: pairs[:, i] for i, name in enumerate(("a", "b", "distance"))})
 
     bound_batches(classes.sparkSession)
-    return classes.select("id", *WIDE).mapInArrow(enter, ENTRIES).groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
+    return classes.select("id", *WIDE).mapInArrow(enter, ENTRIES).groupBy("bucket").applyInArrow(meet, "a long, b long, distance long").distinct()
 
 
-def similar_texts(docs: DataFrame, bits: int = WIDE_BITS) -> DataFrame:
-    """Group texts that share about four in five of their shingles of five words: (doc_id, component_id).
+def sharing(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of which the texts (id, text) have at least ``least`` of their shingles in common.
 
-    Fingerprints of 256 bits link if they differ in at most ``bits``, texts with equal ones always. Two texts with a
-    share of 0.8 are found in about nine of ten cases, at 0.9 practically always; none below 0.5. Blank and null texts are alike. A
-    null doc_id stays null and is never the smallest, unless its group has no other.
+    Many texts may be paired with one ``a``: those with the most are spread, as ``lookup`` does.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def shingles(text: str) -> np.ndarray:
+            data = np.frombuffer(text.encode(), np.uint8)
+            return np.unique(next(shingle_hashes(data, np.array([0, len(data)]))))
+
+        for batch in batches:
+            kept = []
+            for text, other in zip(batch.column("text_a"), batch.column("text_b"), strict=True):
+                own, others = shingles(text.as_py() or ""), shingles(other.as_py() or "")
+                common = len(np.intersect1d(own, others, assume_unique=True))
+                kept.append(common >= least * (len(own) + len(others) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    own = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    both = lookup(own, texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), key="a", row_id="b", name="text_a", heavy=heavy_keys(pairs, "a"))
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+def class_texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, text) of one text of each of the classes (id, least, key), found by its doc_id and key."""
+    named = identified(docs).withColumn("key", text_key(F.col("text")))
+    wanted = classes.select("id", "least", F.col("key").alias("own"))
+    met = named.join(wanted, F.col("doc_id").eqNullSafe(F.col("least")) & (F.col("key") == F.col("own")))
+    return met.groupBy("id").agg(F.first("text").alias("text"))
+
+
+def similar_links(docs: DataFrame, classes: DataFrame, found: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) among the pairs ``found`` that make the same components as all pairs with the share would.
+
+    Each text is compared with the nearest that it was found with. Then only pairs between different components are left
+    to compare, so texts of a large group are read once or twice, not once for each pair.
+    """
+    ends = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = stage(class_texts(docs, classes.join(ends, "id", "left_semi")), "similar-texts")
+    nearest = found.groupBy("b").agg(F.min(F.struct("distance", "a")).alias("near")).select(F.col("near.a").alias("a"), "b")
+    sure = stage(sharing(nearest, texts, least), "nearest-links")
+    named = components(sure)
+    rest = found.select("a", "b").join(nearest, ["a", "b"], "left_anti")
+    for end in "ab":
+        rest = rest.join(named.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in")), end, "left")
+    apart = stage(rest.where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b"), "pairs-apart")
+    links = stage(sure.union(sharing(apart, texts, least)), "wide-links")
+    release(texts)
+    return links
+
+
+def similar_texts(docs: DataFrame, least: float = LEAST_SHARE, bits: int = WIDE_BITS) -> DataFrame:
+    """Group texts that have at least ``least`` of their shingles of five words in common: (doc_id, component_id).
+
+    Texts whose fingerprints are equal always link; others are found by the index if the bits that its entries carry differ in
+    at most ``bits``, and compared shingle by shingle. Two texts with a share of 0.8 are found in about nine of ten cases, at 0.9
+    practically always; none with a lower share than ``least`` links. Blank and null texts are alike. A null doc_id stays
+    null and is never the smallest, unless its group has no other.
     """
     prints = stage(wide_fingerprints(docs), "wide-fingerprints")
-    classes = stage(prints.groupBy(*WIDE).agg(F.min("doc_id").alias("least")).withColumn("id", F.monotonically_increasing_id()), "wide-classes")
-    pairs = candidate_pairs(classes, classes.count() * TRIPLES // BUCKET_KEYS + 1)
-    left, right = (classes.select(F.col("id").alias(name), *[F.col(f).alias(f"{name}_{f}") for f in WIDE]) for name in "ab")
-    distance = sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in WIDE[1:]), F.bit_count(F.col(f"a_{WIDE[0]}").bitwiseXOR(F.col(f"b_{WIDE[0]}"))))
-    linked = stage(pairs.join(left, "a").join(right, "b").where(distance <= bits).select("a", "b"), "wide-links")
-    grouped = classes.join(components(linked).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    table = grouped.join(least, "component").select(*WIDE, "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    grouped = prints.groupBy(*WIDE).agg(first.alias("first")).select(*WIDE, F.col("first.doc_id").alias("least"), F.col("first.key").alias("key"))
+    classes = stage(grouped.withColumn("id", F.monotonically_increasing_id()), "wide-classes")
+    found = stage(candidate_pairs(classes, classes.count() * TRIPLES // BUCKET_KEYS + 1, bits), "wide-pairs")
+    linked = similar_links(docs, classes, found, least)
+    joined = classes.join(components(linked).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    smallest = joined.groupBy("component").agg(F.min("least").alias("component_id"))
+    table = joined.join(smallest, "component").select(*WIDE, "component_id")
     return prints.join(table, WIDE).select("doc_id", "component_id")
 
 

@@ -37,13 +37,17 @@ def brute_cut(texts, width=400):
     return out
 
 
-def links(narrow, wide, bits):
+def shingles(text):
+    own = (text or "").encode().lower().split()
+    return {tuple(own[i : i + 5]) for i in range(max(1, len(own) - 4))}
+
+
+def links(narrow, wide, least):
     return [
         (a, b)
         for a in narrow
         for b in narrow
-        if a < b
-        and ((narrow[a] ^ narrow[b]).bit_count() <= 2 or sum(((x ^ y) % (1 << 64)).bit_count() for x, y in zip(wide[a], wide[b], strict=True)) <= bits)
+        if a < b and ((narrow[a] ^ narrow[b]).bit_count() <= 2 or len(wide[a] & wide[b]) >= least * len(wide[a] | wide[b]))
     ]
 
 
@@ -53,10 +57,10 @@ def test_run_matches_brute_force(spark):
     docs = spark.createDataFrame([r for r in rows if r.doc_id in texts], "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, FOLDER).collect()}
     narrow = {i: brute_fingerprint(t) for i, t in texts.items()}
-    wide = {r.doc_id: r[1:] for r in simhash.wide_fingerprints(docs).collect()}
-    # Whatever is clearly near is one group, and only what is near at all is grouped; between, the index may miss a pair.
-    sure = components(list(texts), links(narrow, wide, 36))
-    most = components(list(texts), links(narrow, wide, simhash.WIDE_BITS))
+    wide = {i: shingles(t) for i, t in texts.items()}
+    # Whatever is clearly near is one group, and nothing below the share is grouped; between, the index may miss a pair.
+    sure = components(list(texts), links(narrow, wide, 0.87))
+    most = components(list(texts), links(narrow, wide, simhash.LEAST_SHARE))
     assert kept <= {i for i in texts if sure[i] == i}
     assert kept >= {i for i in texts if most[i] == i}
     assert len(kept) < len(set(narrow.values()))

@@ -137,6 +137,36 @@ def test_wide_edges(spark):
     assert simhash.all_near_duplicates(no_docs(spark)).collect() == []
 
 
-def test_entries_link_to_their_smallest():
-    first, a, b = simhash.starred(np.array([7, 5, 7, 5, 7, 9], np.uint64), np.array([3, 2, 1, 2, 4, 8]))
-    assert set(zip(a.tolist(), b.tolist(), strict=True)) == {(1, 3), (1, 4)} and len(first) == 3
+def test_texts_below_the_share_stay_apart(spark):
+    """Pairs on either side of the share, near each other by fingerprint."""
+    rng = random.Random(12)
+    texts = {}
+    for family in range(60):
+        base = [f"w{rng.randrange(3000)}" for _ in range(300)]
+        texts[10 * family] = " ".join(base)
+        for copy, edits in enumerate((3, 6, 8, 10), 1):
+            words = list(base)
+            for at in rng.sample(range(0, 300, 5), edits):
+                words[at] = f"edit{rng.randrange(10**6)}"
+            texts[10 * family + copy] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.similar_texts(docs).collect()}
+    every = [(a, b) for f in range(60) for a in range(10 * f, 10 * f + 5) for b in range(a + 1, 10 * f + 5)]
+    expected = components(list(texts), [(a, b) for a, b in every if similar(texts[a], texts[b]) >= simhash.LEAST_SHARE])
+    assert all(found[a] != found[b] for a, b in every if expected[a] != expected[b])
+    together = [found[a] == found[b] for a, b in every if expected[a] == expected[b]]
+    assert len(together) > 60 and sum(together) / len(together) > 0.9
+    assert sum(expected[a] != expected[b] for a, b in every) > 60
+
+
+def test_entries_keep_pairs_of_unlike_leaders():
+    """Of a key that three unlike fingerprints share, the two that are alike meet though a smaller one is there."""
+    keys = np.array([7, 5, 7, 5, 7, 9], np.uint64)
+    ids = np.array([3, 2, 1, 2, 4, 8])
+    prints = np.zeros((6, 4), np.uint64)
+    prints[[0, 4]] = np.uint64(2**64 - 1)
+    prints[4, 0] = np.uint64(2**64 - 8)
+    lead, pairs = simhash.leaders(keys, ids, prints, 10)
+    assert pairs.tolist() == [[3, 4, 3]]
+    assert sorted(zip(keys[lead].tolist(), ids[lead].tolist(), strict=True)) == [(5, 2), (7, 1), (7, 3), (9, 8)]
+    assert simhash.leaders(keys[:0], ids[:0], prints[:0], 10)[1].shape == (0, 3)
