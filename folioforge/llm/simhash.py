@@ -183,17 +183,19 @@ def fingerprint_digits(found: DataFrame) -> DataFrame:
 WIDE_SHINGLE = 5
 WIDE_WORDS = 8
 # At most 256, so that an entry is a number of 32 bits.
-TRIPLES = 192
+TRIPLES = 160
 # Share of the shingles of two texts, each counted once, that both have.
 LEAST_SHARE = 0.8
-# Entries carry the first words only. Of their 256 bits, texts with a share of 0.8 of shingles in common differ in 39 on average, with
-# 0.85 in 33, with 0.5 in 69.
-ENTRY_WORDS = 4
+# Distances are those of the first words. Of their 256 bits, texts with a share of 0.8 of shingles in common differ in 39 on average,
+# with 0.85 in 33, with 0.5 in 69.
+DISTANCE_WORDS = 4
 WIDE_BITS = 52
+# Entries carry 32 bits, of which such texts differ in 5 on average, unlike ones in 16.
+SKETCH_BITS = 9
 # Keys that a task holds before it sends them, and that a bucket gets.
 TASK_KEYS, BUCKET_KEYS = 500_000, 750_000
 WIDE = [f"f{i}" for i in range(WIDE_WORDS)]
-ENTRIES = "bucket int, keys binary, ids binary, prints binary"
+ENTRIES = "bucket int, keys binary, ids binary, sketches binary"
 
 
 def triples() -> np.ndarray:
@@ -241,13 +243,13 @@ def wide_fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def leaders(keys: np.ndarray, ids: np.ndarray, prints: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which entries lead, and the distinct rows (leader, other, distance) of the others.
+    """Which entries lead, and the distinct rows (leader, other) of the others.
 
     The smallest id of a key leads, and the ones within ``bits`` of it follow; of those left the smallest leads, and so
     on. A key that unlike fingerprints share thus hides no pair among them, and one of many like ones costs no more for each.
     """
     left = np.lexsort((ids, keys))
-    lead, pairs = [left[:0]], [np.zeros((0, 3), np.int64)]
+    lead, pairs = [left[:0]], [np.zeros((0, 2), np.int64)]
     while len(left):
         first = np.ones(len(left), bool)
         first[1:] = keys[left[1:]] != keys[left[:-1]]
@@ -256,20 +258,26 @@ def leaders(keys: np.ndarray, ids: np.ndarray, prints: np.ndarray, bits: int) ->
         near = ~first & (distance <= bits)
         met = near & (ids[left] != ids[to])
         lead.append(left[first])
-        pairs.append(np.stack([ids[to[met]], ids[left[met]], distance[met]], axis=1))
+        pairs.append(np.stack([ids[to[met]], ids[left[met]]], axis=1))
         left = left[~first & ~near]
     return np.concatenate(lead), np.unique(np.concatenate(pairs), axis=0)
 
 
+def halves(ids: np.ndarray) -> bytes:
+    """Low halves of all ids, then the high ones, which hardly differ and so compress."""
+    return np.ascontiguousarray(ids).view(np.uint32).reshape(-1, 2).T.tobytes()
+
+
+def whole(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint32).reshape(2, -1).T).view(np.int64).ravel()
+
+
 def candidate_pairs(classes: DataFrame, buckets: int, bits: int = WIDE_BITS) -> DataFrame:
-    """Pairs (a, b, distance) of ids of fingerprints (id, f0, ...) that share an entry of the index and differ in at most
-    ``bits``: each that follows with its leader, no pairs among those that follow. A task sends only leaders, so an
-    entry of many like fingerprints is sent once by a task."""
+    """Pairs (a, b) of ids of fingerprints (id, f0, ...) that share an entry of the index and seem near: each that
+    follows with its leader, no pairs among those that follow. A task sends only leaders, so an entry of many like
+    fingerprints is sent once by a task."""
     chosen = triples()
 
-    def packed(*columns: np.ndarray) -> tuple[bytes, ...]:
-        return tuple(np.ascontiguousarray(c).tobytes() for c in columns)
-
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
@@ -278,15 +286,15 @@ def candidate_pairs(classes: DataFrame, buckets: int, bits: int = WIDE_BITS) ->
             lead, pairs = leaders(keys, ids, prints, bits)
             bucket = (mix(keys[lead]) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-            parts = np.split(order, cuts)
-            entries = [(int(bucket[p[0]]), *packed(keys[lead[p]].astype(np.uint32), ids[lead[p]], prints[lead[p]])) for p in parts]
+            parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)
+            sketches = (prints[:, 0] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            entries = [(int(bucket[p[0]]), keys[lead[p]].astype(np.uint32).tobytes(), halves(ids[lead[p]]), sketches[lead[p]].tobytes()) for p in parts]
             if len(pairs):
                 # Pairs found here are only handed on.
-                entries.append((-1 - int(pairs[0, 0] % buckets), *packed(*pairs.T)))
+                entries.append((-1 - int(pairs[0, 0] % buckets), halves(pairs[:, 0]), halves(pairs[:, 1]), b""))
             kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
             columns = [pa.array(c, k) for c, k in zip(zip(*entries, strict=True), kinds, strict=True)]
-            return pa.RecordBatch.from_arrays(columns, ["bucket", "keys", "ids", "prints"])
+            return pa.RecordBatch.from_arrays(columns, ["bucket", "keys", "ids", "sketches"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -294,7 +302,7 @@ def candidate_pairs(classes: DataFrame, buckets: int, bits: int = WIDE_BITS) ->
             prints = np.ascontiguousarray(np.stack([batch.column(f).to_numpy() for f in WIDE], axis=1)).view(np.uint64)
             picked = prints.view(np.uint8).astype(np.uint64)[:, chosen]
             keys = np.arange(TRIPLES, dtype=np.uint64) << np.uint64(24) | picked[:, :, 0] << np.uint64(16) | picked[:, :, 1] << np.uint64(8) | picked[:, :, 2]
-            held.append((keys.ravel(), np.repeat(batch.column("id").to_numpy(), TRIPLES), np.repeat(prints[:, :ENTRY_WORDS], TRIPLES, axis=0)))
+            held.append((keys.ravel(), np.repeat(batch.column("id").to_numpy(), TRIPLES), np.repeat(prints[:, :DISTANCE_WORDS], TRIPLES, axis=0)))
             if sum(len(h[0]) for h in held) >= TASK_KEYS:
                 yield rows()
                 held = []
@@ -302,19 +310,31 @@ def candidate_pairs(classes: DataFrame, buckets: int, bits: int = WIDE_BITS) ->
             yield rows()
 
     def meet(table: pa.Table) -> pa.Table:
-        keys, ids, prints = (b"".join(table.column(c).to_pylist()) for c in ("keys", "ids", "prints"))
+        ids = np.concatenate([whole(x) for x in table.column("ids").to_pylist()])
+        keys, sketches = (table.column(c).to_pylist() for c in ("keys", "sketches"))
         if table.column("bucket")[0].as_py() < 0:
-            pairs = np.unique(np.stack([np.frombuffer(x, np.int64) for x in (keys, ids, prints)], axis=1), axis=0)
+            pairs = np.unique(np.stack([np.concatenate([whole(x) for x in keys]), ids], axis=1), axis=0)
         else:
-            pairs = leaders(np.frombuffer(keys, np.uint32), np.frombuffer(ids, np.int64), np.frombuffer(prints, np.uint64).reshape(-1, ENTRY_WORDS), bits)[1]
-        return pa.table({name: pairs[:, i] for i, name in enumerate(("a", "b", "distance"))})
+            prints = np.frombuffer(b"".join(sketches), np.uint32).reshape(-1, 1)
+            pairs = leaders(np.frombuffer(b"".join(keys), np.uint32), ids, prints, SKETCH_BITS)[1]
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     bound_batches(classes.sparkSession)
-    return classes.select("id", *WIDE).mapInArrow(enter, ENTRIES).groupBy("bucket").applyInArrow(meet, "a long, b long, distance long").distinct()
+    return classes.select("id", *WIDE).mapInArrow(enter, ENTRIES).groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
 
 
-def sharing(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of which the texts (id, text) have at least ``least`` of their shingles in common.
+def near_pairs(pairs: DataFrame, classes: DataFrame, bits: int) -> DataFrame:
+    """(a, b, distance) of the pairs that differ in at most ``bits``."""
+    words = WIDE[:DISTANCE_WORDS]
+    left, right = (classes.select(F.col("id").alias(end), *[F.col(f).alias(f"{end}_{f}") for f in words]) for end in "ab")
+    differing = [F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in words]
+    both = pairs.join(right, "b").join(left, "a").withColumn("distance", sum(differing[1:], differing[0]))
+    return both.where(F.col("distance") <= bits).select("a", "b", "distance")
+
+
+def sharing(own: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of ``own`` (a, b, text_b) of which the texts have at least ``least`` of their shingles in common;
+    ``texts`` (id, text) holds that of each ``a``.
 
     Many texts may be paired with one ``a``: those with the most are spread, as ``lookup`` does.
     """
@@ -327,40 +347,46 @@ def sharing(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
         for batch in batches:
             kept = []
             for text, other in zip(batch.column("text_a"), batch.column("text_b"), strict=True):
-                own, others = shingles(text.as_py() or ""), shingles(other.as_py() or "")
-                common = len(np.intersect1d(own, others, assume_unique=True))
-                kept.append(common >= least * (len(own) + len(others) - common))
+                mine, others = shingles(text.as_py() or ""), shingles(other.as_py() or "")
+                common = len(np.intersect1d(mine, others, assume_unique=True))
+                kept.append(common >= least * (len(mine) + len(others) - common))
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    own = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = lookup(own, texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), key="a", row_id="b", name="text_a", heavy=heavy_keys(pairs, "a"))
+    named = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
+    both = lookup(own, named, key="a", row_id="b", name="text_a", heavy=heavy_keys(own.select("a"), "a"))
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def class_texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(id, text) of one text of each of the classes (id, least, key), found by its doc_id and key."""
-    named = identified(docs).withColumn("key", text_key(F.col("text")))
-    wanted = classes.select("id", "least", F.col("key").alias("own"))
-    met = named.join(wanted, F.col("doc_id").eqNullSafe(F.col("least")) & (F.col("key") == F.col("own")))
-    return met.groupBy("id").agg(F.first("text").alias("text"))
+def class_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, a, leads, text): one text of each of the classes ``wanted`` (id, least, key, a, leads), found by doc_id and key."""
+
+    def place(doc_id: str):
+        return F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"), F.col("key")).alias("place")
+
+    named = identified(docs).withColumn("key", text_key(F.col("text"))).select(place("doc_id"), "text")
+    met = named.join(wanted.select(place("least"), "id", "a", "leads"), "place")
+    return met.groupBy("place", "id", "a", "leads").agg(F.first("text").alias("text")).drop("place")
 
 
 def similar_links(docs: DataFrame, classes: DataFrame, found: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) among the pairs ``found`` that make the same components as all pairs with the share would.
+    """Links (a, b) among the pairs ``found`` that make the same components as all of them with the share would.
 
     Each text is compared with the nearest that it was found with. Then only pairs between different components are left
     to compare, so texts of a large group are read once or twice, not once for each pair.
     """
-    ends = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = stage(class_texts(docs, classes.join(ends, "id", "left_semi")), "similar-texts")
     nearest = found.groupBy("b").agg(F.min(F.struct("distance", "a")).alias("near")).select(F.col("near.a").alias("a"), "b")
-    sure = stage(sharing(nearest, texts, least), "nearest-links")
+    leading = found.select(F.col("a").alias("id")).distinct().withColumn("leads", F.lit(True))
+    keyed = classes.select("id", "least", "key").join(nearest.withColumnRenamed("b", "id"), "id", "left").join(leading, "id", "left")
+    texts = stage(class_texts(docs, keyed.where("a is not null or leads")), "similar-texts")
+    leads = texts.where("leads").select("id", "text")
+    sure = stage(sharing(texts.where("a is not null").select("a", F.col("id").alias("b"), F.col("text").alias("text_b")), leads, least), "nearest-links")
     named = components(sure)
     rest = found.select("a", "b").join(nearest, ["a", "b"], "left_anti")
     for end in "ab":
         rest = rest.join(named.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in")), end, "left")
     apart = stage(rest.where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b"), "pairs-apart")
-    links = stage(sure.union(sharing(apart, texts, least)), "wide-links")
+    own = apart.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    links = stage(sure.union(sharing(own, leads, least)), "wide-links")
     release(texts)
     return links
 
@@ -368,8 +394,8 @@ def similar_links(docs: DataFrame, classes: DataFrame, found: DataFrame, least:
 def similar_texts(docs: DataFrame, least: float = LEAST_SHARE, bits: int = WIDE_BITS) -> DataFrame:
     """Group texts that have at least ``least`` of their shingles of five words in common: (doc_id, component_id).
 
-    Texts whose fingerprints are equal always link; others are found by the index if the bits that its entries carry differ in
-    at most ``bits``, and compared shingle by shingle. Two texts with a share of 0.8 are found in about nine of ten cases, at 0.9
+    Texts whose fingerprints are equal always link; others are found by the index if the first half of their bits differ
+    in at most ``bits``, and compared shingle by shingle. Two texts with a share of 0.8 are found in about nine of ten cases, at 0.9
     practically always; none with a lower share than ``least`` links. Blank and null texts are alike. A null doc_id stays
     null and is never the smallest, unless its group has no other.
     """
@@ -377,7 +403,8 @@ def similar_texts(docs: DataFrame, least: float = LEAST_SHARE, bits: int = WIDE_
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
     grouped = prints.groupBy(*WIDE).agg(first.alias("first")).select(*WIDE, F.col("first.doc_id").alias("least"), F.col("first.key").alias("key"))
     classes = stage(grouped.withColumn("id", F.monotonically_increasing_id()), "wide-classes")
-    found = stage(candidate_pairs(classes, classes.count() * TRIPLES // BUCKET_KEYS + 1, bits), "wide-pairs")
+    pairs = candidate_pairs(classes, classes.count() * TRIPLES // BUCKET_KEYS + 1, bits)
+    found = stage(near_pairs(pairs, classes, bits), "wide-pairs")
     linked = similar_links(docs, classes, found, least)
     joined = classes.join(components(linked).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     smallest = joined.groupBy("component").agg(F.min("least").alias("component_id"))
