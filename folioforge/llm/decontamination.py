@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare seeds, then local alignment.
+"""Benchmark decontamination: seeds, then local alignment.
 
-Runs of SEED words of the test items are looked up in all texts. How often each occurs in the corpus is counted first,
-and of every stretch of an item the rarer half become seeds, so each stretch can be found however frequent its words
-are. A seed's place in text and item tells where the item would lie in the text; that window is aligned with the item
-by Smith-Waterman over words, which scores copies with replaced, added or missing words.
+Every run of SEED words of the test items is a seed, looked up in all texts: whichever of them a copy has left whole,
+it is found by. A seed's place in text and item tells where the item would lie in the text; that window, unless it has
+too few of the item's words to hold it, is aligned with the item by Smith-Waterman over words, which scores copies with
+replaced, added or missing words.
 """
 
 from __future__ import annotations
@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 from folioforge.llm.common import Words, annotate, identified, restored, slices, text_bytes, windows
 
 SEED = 3
-# Stretch of an item of which the rarer half are seeds.
-STRETCH = 8
 MATCH, MISMATCH, GAP = 2, -1, -1
 # A text holds an item if the alignment has this share of the item's best score, and so many matched words' worth.
 LEAST_SIMILARITY = 0.5
@@ -52,20 +50,11 @@ class Items:
             places += [(number, int(s)) for s in starts]
         flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         self.grams, self.number = np.unique(flat, return_inverse=True)
-        self.places = np.array(places, np.int64).reshape(-1, 2)
         self.filter = np.zeros(FILTER, bool)
         self.filter[(self.grams & np.uint64(FILTER - 1)).astype(np.int64)] = True
-
-    def keep_rare(self, counts: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """Seeds: by number of the run, the places (item, position) it stands for."""
-        seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        by_stretch: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
-        for (item, position), number in zip(self.places.tolist(), self.number.tolist(), strict=True):
-            by_stretch[item, position // STRETCH].append((int(counts[number]), position, number))
-        for (item, _), own in by_stretch.items():
-            for _, position, number in sorted(own)[: -(-len(own) // 2)]:
-                seeds[number].append((item, position))
-        return dict(seeds)
+        self.seeds: list[list[tuple[int, int]]] = [[] for _ in self.grams]
+        for place, gram in zip(places, self.number.tolist(), strict=True):
+            self.seeds[gram].append(place)
 
 
 def gram_hits(texts: list[str], items: Items) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
@@ -89,26 +78,6 @@ def pieces_of(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[str]]]:
         yield first, last, [t or "" for t in texts.slice(first, last - first).to_pylist()]
 
 
-def count_grams(docs: DataFrame, items: Items) -> np.ndarray:
-    """Occurrences in the whole corpus of each run of words of the items."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)  # of one block
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        counts = np.zeros(len(own.grams), np.int64)
-        for batch in batches:
-            for _, _, texts in pieces_of(batch):
-                counts += np.bincount(gram_hits(texts, own)[3], minlength=len(counts))
-        held = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts[held])], ["number", "n"])
-
-    counts = np.zeros(len(items.grams), np.int64)
-    found = identified(docs).mapInArrow(run, "number long, n long").groupBy("number").agg(F.sum("n").alias("n"))
-    for row in found.collect():
-        counts[row.number] = row.n
-    return counts
-
-
 def align(item: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Best local alignment of an item with each of several windows (0: no word): scores and the words they end at."""
     best = np.zeros(len(found), np.int64)
@@ -129,13 +98,13 @@ def align(item: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best, end
 
 
-def leaks_of(texts: list[str], items: Items, seeds: dict[int, list[tuple[int, int]]]) -> Iterator[tuple[int, int, float, int]]:
+def leaks_of(texts: list[str], items: Items) -> Iterator[tuple[int, int, float, int]]:
     """(text, item, similarity, last word) of the items that texts hold."""
     words, hashes, starts, numbers = gram_hits(texts, items)
     found: dict[int, set[tuple[int, int]]] = defaultdict(set)
     rows = words.row_of(starts)
     for row, start, number in zip(rows.tolist(), starts.tolist(), numbers.tolist(), strict=True):
-        for item, position in seeds.get(number, ()):
+        for item, position in items.seeds[number]:
             slack = slack_of(len(items.words[item]))
             # Neighbouring diagonals share a window.
             found[item].add((row, (start - position) // slack))
@@ -143,6 +112,7 @@ def leaks_of(texts: list[str], items: Items, seeds: dict[int, list[tuple[int, in
         own = items.words[item]
         slack = slack_of(len(own))
         width = len(own) + 3 * slack
+        needed = min(len(own), max(LEAST_WORDS, LEAST_SIMILARITY * len(own)))
         ordered = sorted(places)
         step = max(1, 2_000_000 // width)
         best: dict[int, tuple[float, int]] = {}
@@ -152,11 +122,16 @@ def leaks_of(texts: list[str], items: Items, seeds: dict[int, list[tuple[int, in
             columns = (part[:, 1] * slack - slack)[:, None] + np.arange(width)
             inside = (columns >= low[:, None]) & (columns < high[:, None])
             window = np.where(inside, hashes[np.clip(columns, 0, len(hashes) - 1)], np.uint64(0))
+            # A word of the window matches once at most, and a score is no more than that of its matches.
+            may = np.isin(window, own).sum(axis=1) >= needed
+            part, columns, low, window = part[may], columns[may], low[may], window[may]
+            if not len(part):
+                continue
             scores, ends = align(own, window)
             for row, score, last in zip(part[:, 0].tolist(), scores.tolist(), (columns[:, 0] + ends - 1 - low).tolist(), strict=True):
                 best[row] = max(best.get(row, (0.0, 0)), (score / (MATCH * len(own)), last))
         for row, (similarity, last) in best.items():
-            if similarity * len(own) >= min(len(own), max(LEAST_WORDS, LEAST_SIMILARITY * len(own))):
+            if similarity * len(own) >= needed:
                 yield row, item, similarity, last
 
 
@@ -189,14 +164,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def search(rows: list[tuple[int | None, str]]) -> DataFrame:
         items = Items(rows)
-        shared = spark.sparkContext.broadcast((items, items.keep_rare(count_grams(docs, items))))  # of one block
+        shared = spark.sparkContext.broadcast(items)  # of one block
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, seeds = shared.value
+            own = shared.value
             for batch in batches:
                 ids = batch.column("doc_id").to_pylist()
                 for first, _, texts in pieces_of(batch):
-                    found = [(ids[first + row], own.ids[item], s, last) for row, item, s, last in leaks_of(texts, own, seeds)]
+                    found = [(ids[first + row], own.ids[item], s, last) for row, item, s, last in leaks_of(texts, own)]
                     if found:
                         columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)]
                         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "similarity", "last_word"])
@@ -208,14 +183,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of ``docs``, all columns, that hold no item of the benchmark."""
-    counted = docs
-
     def judge_by(items: Items):
-        shared = docs.sparkSession.sparkContext.broadcast((items, items.keep_rare(count_grams(counted, items))))  # of one block
+        shared = docs.sparkSession.sparkContext.broadcast(items)  # of one block
 
         def judge(texts: list[str]) -> list[pa.Array]:
             clean = np.ones(len(texts), bool)
-            for row, *_ in leaks_of(texts, *shared.value):
+            for row, *_ in leaks_of(texts, shared.value):
                 clean[row] = False
             return [pa.array(clean)]
 

@@ -71,6 +71,27 @@ def test_leaks_match_aligning_everything(spark):
     assert kept == set(docs) - {d for d, _ in expected}
 
 
+def test_copies_found_by_whichever_run_is_whole(spark):
+    """Of one copy every fourth word is replaced, and no other text has its words; of the other only runs that are
+    frequent in the corpus are whole."""
+    lost = [f"q{i}" for i in range(16)]
+    common = [f"c{i}" for i in range(16)]
+    # In both halves the runs at 0, 1 and 2 are frequent, the others rare.
+    texts = {i: " ".join(common[:5] + ["x"] + common[8:13]) for i in range(30)}
+    texts |= {100: " ".join(common), 101: " ".join(common), 102: " ".join(common)}
+    copies = {200: [f"r{i}" if i % 4 == 3 else w for i, w in enumerate(lost)], 201: [*common[:5], "y", "y", "y", *common[8:13]]}
+    texts |= {i: " ".join(w) for i, w in copies.items()}
+    items = {1: lost, 2: common}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    expected = {(d, i) for d, t in texts.items() for i, w in items.items() if brute_alignment(w, t.split()) / dc.MATCH >= max(dc.LEAST_WORDS, dc.LEAST_SIMILARITY * len(w))}
+    assert {(200, 1), (201, 2)} <= expected
+    found = {(r.doc_id, r.item_id): r.similarity for r in dc.find_leaks(docs, bench).collect()}
+    assert set(found) == expected
+    assert found[200, 1] == 21 / 32
+    assert {r.doc_id for r in dc.keep_clean(docs, bench).collect()} == set(texts) - {d for d, _ in expected}
+
+
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     docs, items, expected = planted()
     monkeypatch.setattr(dc, "BLOCK_BYTES", 500)
