@@ -1,9 +1,9 @@
 """License scans: a positional index of rare words.
 
-Each licence template is entered in the index under its rarest words, by their document frequency in the scanned
-corpus, with their positions. A text's occurrences of such words are looked up, template word and text word give the
-place where the template would begin, and the template is compared there word by word. A phrase's places all hold its
-rarest word, so none is missed. Everything happens within the row of a text; nothing is shuffled.
+Each licence template is entered in the index under the rarest word of its key phrase, by document frequency in the
+scanned corpus, with its position. A text's occurrences of such words are looked up, template word and text word give
+the place where the template would begin, and the template is compared there word by word. All words of a key phrase
+are mandatory, so every place holds its rarest one and none is missed. Everything happens within the row of a text; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -46,8 +46,6 @@ NOTICES = [
 ]
 # Share of a notice's words that must stand in place.
 NOTICE_SHARE = 0.7
-# Rare words under which a notice is entered; a base phrase needs one.
-NOTICE_ANCHORS = 3
 
 
 def let(value: Column, body) -> Column:
@@ -69,13 +67,20 @@ def document_frequencies(texts: DataFrame, vocabulary: list[str]) -> tuple[dict[
     return counts, counts.pop("", 0)
 
 
+def key_places(template: Template) -> range:
+    """Positions of the key phrase among the template's words."""
+    words, key = template.words.split(), template.key.split()
+    at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
+    return range(at, at + len(key))
+
+
 def postings(templates: list[Template], counts: dict[str, int], total: int) -> list[tuple[str, int, int]]:
-    """(word, template, position) of the words each template is looked up by: those of highest inverse frequency."""
+    """(word, template, position) of the word each template is looked up by: that of highest inverse frequency in its key."""
     entries = []
     for number, template in enumerate(templates):
         words = template.words.split()
-        ranked = sorted(range(len(words)), key=lambda i: (-math.log((total + 1) / (counts.get(words[i], 0) + 1)), i))
-        entries += [(words[i], number, i) for i in ranked[: 1 if template.whole else NOTICE_ANCHORS]]
+        rarest = min(key_places(template), key=lambda i: (-math.log((total + 1) / (counts.get(words[i], 0) + 1)), i))
+        entries.append((words[rarest], number, rarest))
     return entries
 
 
@@ -83,8 +88,7 @@ def scan_licenses(docs: DataFrame, base: list[Template] = BASE, notices: list[Te
     """Licences in each text: (doc_id, n_words, places, found).
 
     ``places``: every place of a base phrase, as (start, label), words counted from 0. ``found``: every notice of which
-    at least 70 % of the words stand in place, among them all words of its key phrase, as (start, label, share); several
-    rare words may lead to one place, which is listed once. Null and empty texts have no words and no licences; one
+    at least 70 % of the words stand in place, among them all words of its key phrase, as (start, label, share). Null and empty texts have no words and no licences; one
     row comes back for each row, and a null doc_id stays null.
     """
     templates = [*base, *notices]
@@ -96,11 +100,10 @@ def scan_licenses(docs: DataFrame, base: list[Template] = BASE, notices: list[Te
     def matches(words: Column, start: Column, number: int) -> Column:
         """Words of the template that stand in place, key words first failing the whole."""
         template = templates[number]
-        expected, key = template.words.split(), template.key.split()
-        at = next(i for i in range(len(expected)) if expected[i : i + len(key)] == key)
+        expected, key = template.words.split(), key_places(template)
         in_place = [F.coalesce(F.get(words, start + i) == w, F.lit(False)) for i, w in enumerate(expected)]
-        required = in_place[at]
-        for test in in_place[at + 1 : at + len(key)]:
+        required = in_place[key[0]]
+        for test in in_place[key[0] + 1 : key[-1] + 1]:
             required = required & test
         share = sum((test.cast("int") for test in in_place[1:]), in_place[0].cast("int")) / F.lit(float(len(expected)))
         return F.when((start >= 0) & required, share).otherwise(F.lit(0.0))

@@ -65,6 +65,24 @@ def test_rare_words_lead_to_templates():
     assert ("mit", 0, 2) in entries and len(entries) == 3
 
 
+def test_notices_without_their_rarest_words(spark):
+    """Words outside the key phrase that stand nowhere, or hardly anywhere, may be the ones a notice lacks."""
+    texts = [
+        (1, "redistribution and use in source and binary forms with the following changes"),
+        (2, "some code here licensed under the gnu general public license version 3"),
+        (3, "some code here licensed under the gnu general public license version 2"),
+        (4, "see all of our terms of the mozilla public license version 2 0"),
+        (5, "forms with"),
+        *[(10 + i, "gnu mozilla general public license version 2 0 3 redistribution source binary use") for i in range(20)],
+    ]
+    docs = edge_docs(spark, texts)
+    found = licenses.license_digest(licenses.scan_licenses(docs))
+    expected, columns = compare_with_sql(spark, "op6_license_scan", "documents", docs.select("doc_id", "text"), "cast(doc_id as bigint) as doc_id, text")
+    assert sorted((tuple(None if v != v else v for v in r) for r in found.select(*columns).collect()), key=repr) == expected
+    labels = {r.doc_id: r.labels for r in found.collect()}
+    assert [labels[i] for i in range(1, 6)] == ["bsd", "gpl-3", "gpl-2", "mpl-2", ""]
+
+
 URLS = [
     "https://www.example.net/en/a?x", "https://example.net/en/", "https://example.net/en", "http://NET/", "http://a.net#x", "http://a.net",
     "https://notexample.net/en/1", "https://example.com/de/x#y", "https://sub.sub.example.com/de/", "https://example.com.evil/de/", "https://example.org/fr/",
