@@ -9,6 +9,7 @@ up, so no pairs are formed, and an entry of many fingerprints costs no more for
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -176,32 +177,21 @@ def fingerprint_digits(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
 
 
-# --- Similar texts. Texts of which four in five shingles are shared differ in 15 of 100 bits of a fingerprint, too many for a
-# fingerprint of 64 bits to tell them from ones that share a passage, or for any byte to be equal for certain. So the fingerprint has
-# 512 bits, the index is entered under TRIPLES of its byte positions, and the shingles of what it finds are compared.
+# --- Similar texts. Candidates come from a prefix filter: of two texts that share LEAST_SHARE of their shingles, either has so many of
+# the other's that among the first few of its own, in whatever order is the same for all texts, there is a common one. Rare shingles
+# come first in that order. No pair is missed, and the shingles of what is found are compared.
 
 WIDE_SHINGLE = 5
-WIDE_WORDS = 8
-# At most 256, so that an entry is a number of 32 bits.
-TRIPLES = 160
 # Share of the shingles of two texts, each counted once, that both have.
 LEAST_SHARE = 0.8
-# Distances are those of the first words. Of their 256 bits, texts with a share of 0.8 of shingles in common differ in 39 on average,
-# with 0.85 in 33, with 0.5 in 69.
-DISTANCE_WORDS = 4
-WIDE_BITS = 52
-# Entries carry 32 bits, of which such texts differ in 5 on average, unlike ones in 16.
-SKETCH_BITS = 9
-# Keys that a task holds before it sends them, and that a bucket gets.
+# Texts in which frequent shingles are counted, in how many a frequent one stands at least, and how many are told apart. None of them
+# decides what is found, only how many texts share an entry.
+SAMPLE_TEXTS, SAMPLE_COUNT, FREQUENT = 5_000, 3, 100_000
+# Entries that a task holds before it sends them, and that a bucket gets.
 TASK_KEYS, BUCKET_KEYS = 500_000, 750_000
-WIDE = [f"f{i}" for i in range(WIDE_WORDS)]
-ENTRIES = "bucket int, keys binary, ids binary, sketches binary"
-
-
-def triples() -> np.ndarray:
-    """Distinct choices of three byte positions, the same in every run."""
-    every = np.array(list(combinations(range(8 * WIDE_WORDS), 3)))
-    return every[np.random.default_rng(5).permutation(len(every))[:TRIPLES]]
+ENTRIES = "bucket int, keys binary, ids binary, sizes binary, places binary"
+# Pairs of an entry that are formed at once, and shingles that a task keeps for the next pairs of a text.
+PAIRS, KNOWN_SHINGLES = 1 << 20, 1 << 21
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
@@ -218,28 +208,58 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray
         yield own
 
 
-def wide_fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, f0, f1, ..., key): 512 bits of each whole text, from shingles of five words, and the text's key. A text with
-    fewer words has its whole sequence for a shingle, one without words zeros."""
+def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that stand in several texts of a sample, in order of their hashes, and in how many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            out = np.zeros((batch.num_rows, WIDE_WORDS), np.uint64)
             for first, last in slices(offsets):
                 begin = offsets[first]
-                for row, own in enumerate(shingle_hashes(data[begin : offsets[last]], offsets[first : last + 1] - begin), first):
-                    counts = np.zeros(64 * WIDE_WORDS, np.int64)
-                    for at in range(0, len(own), BLOCK // 8):
-                        block = own[at : at + BLOCK // 8, None] + np.arange(1, WIDE_WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                        bits = np.unpackbits(mix(block).view(np.uint8).reshape(len(block), -1), axis=1)
-                        counts += bits.sum(axis=0, dtype=np.int64)
-                    out[row] = np.packbits(counts * 2 > len(own)).view(np.uint64)
-            columns = [pa.array(np.ascontiguousarray(out[:, i]).view(np.int64)) for i in range(WIDE_WORDS)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, batch.column("key")], ["doc_id", *WIDE, "key"])
+                own = [np.unique(x) for x in shingle_hashes(data[begin : offsets[last]], offsets[first : last + 1] - begin)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64))], ["shingle"])
+
+    texts = identified(docs)
+    part = F.pmod(F.xxhash64("text"), F.lit(max(1, texts.count() // SAMPLE_TEXTS)))
+    counts = texts.where(part == 0).select("text").distinct().mapInArrow(run, "shingle long").groupBy("shingle").count()
+    rows = counts.where(F.col("count") >= SAMPLE_COUNT).orderBy(F.desc("count"), "shingle").limit(FREQUENT).collect()
+    hashes, held = np.array([r["shingle"] for r in rows], np.int64).view(np.uint64), np.array([r["count"] for r in rows], np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], held[order]
+
+
+def prefix(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """The first of the distinct sorted ``shingles`` of a text: of any text with which it shares ``least``, it has one among them
+    that is among the other's too. Rare ones come first, frequent ones by how often they stand."""
+    if not len(shingles):
+        return shingles
+    size = len(shingles) - math.ceil(least * len(shingles) - 1e-9) + 1
+    hashes, held = frequent
+    at = np.minimum(np.searchsorted(hashes, shingles), len(hashes) - 1)
+    count = np.where(hashes[at] == shingles, held[at], 0) if len(hashes) else np.zeros(len(shingles), np.int64)
+    return shingles[np.argsort(count, kind="stable")[:size]]
+
+
+def shingle_prefixes(docs: DataFrame, least: float) -> DataFrame:
+    """(doc_id, key, set, size, prefix): of each text its key, 16 bytes that stand for its distinct shingles, their number and the
+    first of them. A text with fewer than five words has its whole sequence for a shingle, one without words has none."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column("text"))
+            rows = []
+            for first, last in slices(offsets):
+                begin = offsets[first]
+                for own in map(np.unique, shingle_hashes(data[begin : offsets[last]], offsets[first : last + 1] - begin)):
+                    sums = np.array([mix(own).sum(), mix(own ^ np.uint64(0x9E3779B97F4A7C15)).sum()], np.uint64)
+                    rows.append((sums.tobytes(), len(own), prefix(own, shared.value, least).tobytes()))
+            kinds = (pa.binary(), pa.int32(), pa.binary())
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *columns], ["doc_id", "key", "set", "size", "prefix"])
 
     keyed = identified(docs).withColumn("key", text_key(F.col("text")))
-    return keyed.mapInArrow(run, "doc_id long, " + ", ".join(f"{f} long" for f in WIDE) + ", key binary")
+    return keyed.mapInArrow(run, "doc_id long, key binary, set binary, size int, prefix binary")
 
 
 def leaders(keys: np.ndarray, ids: np.ndarray, prints: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -272,64 +292,118 @@ def whole(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(packed, np.uint32).reshape(2, -1).T).view(np.int64).ravel()
 
 
-def candidate_pairs(classes: DataFrame, buckets: int, bits: int = WIDE_BITS) -> DataFrame:
-    """Pairs (a, b) of ids of fingerprints (id, f0, ...) that share an entry of the index and seem near: each that
-    follows with its leader, no pairs among those that follow. A task sends only leaders, so an entry of many like
-    fingerprints is sent once by a task."""
-    chosen = triples()
+def may_share(size_a, place_a, size_b, place_b, least: float):
+    """Whether two texts may share ``least`` of their shingles, if the first common one stands at these places. Of columns or arrays."""
+    needed = (size_a + size_b) * (least / (1 + least)) - 1e-6
+    return (size_a - place_a >= needed) & (size_b - place_b >= needed)
+
+
+def entries(classes: DataFrame, buckets: int) -> DataFrame:
+    """(entry, id, size, place, leader, leader_size, leader_place): the shingles that stand in the prefixes of several texts of
+    ``classes`` (id, size, prefix), and where; the text with the smallest id leads. Entries that meet by chance are verified away."""
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
 
         def rows() -> pa.RecordBatch:
-            keys, ids, prints = (np.concatenate([h[i] for h in held]) for i in range(3))
-            lead, pairs = leaders(keys, ids, prints, bits)
-            bucket = (mix(keys[lead]) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
+            keys, ids, sizes, places = (np.concatenate([h[i] for h in held]) for i in range(4))
+            spread = mix(keys)
+            bucket = (spread % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((ids, spread, bucket))
             parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)
-            sketches = (prints[:, 0] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            entries = [(int(bucket[p[0]]), keys[lead[p]].astype(np.uint32).tobytes(), halves(ids[lead[p]]), sketches[lead[p]].tobytes()) for p in parts]
-            if len(pairs):
-                # Pairs found here are only handed on.
-                entries.append((-1 - int(pairs[0, 0] % buckets), halves(pairs[:, 0]), halves(pairs[:, 1]), b""))
-            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
-            columns = [pa.array(c, k) for c, k in zip(zip(*entries, strict=True), kinds, strict=True)]
-            return pa.RecordBatch.from_arrays(columns, ["bucket", "keys", "ids", "sketches"])
+            short = (spread >> np.uint64(32)).astype(np.uint32)
+            found = [(int(bucket[p[0]]), short[p].tobytes(), halves(ids[p]), sizes[p].tobytes(), places[p].tobytes()) for p in parts]
+            kinds = (pa.int32(), *[pa.binary()] * 4)
+            columns = [pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)]
+            return pa.RecordBatch.from_arrays(columns, ["bucket", "keys", "ids", "sizes", "places"])
 
+        waiting = 0
         for batch in batches:
-            if not batch.num_rows:
+            data, offsets = text_bytes(batch.column("prefix"))
+            lengths = np.diff(offsets) // 8
+            if not lengths.sum():
                 continue
-            prints = np.ascontiguousarray(np.stack([batch.column(f).to_numpy() for f in WIDE], axis=1)).view(np.uint64)
-            picked = prints.view(np.uint8).astype(np.uint64)[:, chosen]
-            keys = np.arange(TRIPLES, dtype=np.uint64) << np.uint64(24) | picked[:, :, 0] << np.uint64(16) | picked[:, :, 1] << np.uint64(8) | picked[:, :, 2]
-            held.append((keys.ravel(), np.repeat(batch.column("id").to_numpy(), TRIPLES), np.repeat(prints[:, :DISTANCE_WORDS], TRIPLES, axis=0)))
-            if sum(len(h[0]) for h in held) >= TASK_KEYS:
+            places = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            own = np.frombuffer(data.tobytes(), np.uint64)
+            held.append((own, np.repeat(batch.column("id").to_numpy(), lengths), np.repeat(batch.column("size").to_numpy(), lengths), places.astype(np.int32)))
+            waiting += len(own)
+            if waiting >= TASK_KEYS:
                 yield rows()
-                held = []
+                held, waiting = [], 0
         if held:
             yield rows()
 
     def meet(table: pa.Table) -> pa.Table:
+        def column(name: str, kind: type) -> np.ndarray:
+            return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+
+        keys, sizes, places = column("keys", np.uint32), column("sizes", np.int32), column("places", np.int32)
         ids = np.concatenate([whole(x) for x in table.column("ids").to_pylist()])
-        keys, sketches = (table.column(c).to_pylist() for c in ("keys", "sketches"))
-        if table.column("bucket")[0].as_py() < 0:
-            pairs = np.unique(np.stack([np.concatenate([whole(x) for x in keys]), ids], axis=1), axis=0)
-        else:
-            prints = np.frombuffer(b"".join(sketches), np.uint32).reshape(-1, 1)
-            pairs = leaders(np.frombuffer(b"".join(keys), np.uint32), ids, prints, SKETCH_BITS)[1]
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+        order = np.lexsort((ids, keys))
+        first = np.ones(len(order), bool)
+        first[1:] = keys[order[1:]] != keys[order[:-1]]
+        leader = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+        several = ~(first & np.append(first[1:], True))
+        own, to = order[several], order[leader[several]]
+        entry = np.int64(table.column("bucket")[0].as_py()) << np.int64(32) | keys[own].astype(np.int64)
+        columns = (entry, ids[own], sizes[own], places[own], ids[to], sizes[to], places[to])
+        return pa.table(dict(zip(("entry", "id", "size", "place", "leader", "leader_size", "leader_place"), columns, strict=True)))
 
     bound_batches(classes.sparkSession)
-    return classes.select("id", *WIDE).mapInArrow(enter, ENTRIES).groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
+    kind = "entry long, id long, size int, place int, leader long, leader_size int, leader_place int"
+    return classes.select("id", "size", "prefix").mapInArrow(enter, ENTRIES).groupBy("bucket").applyInArrow(meet, kind)
 
 
-def near_pairs(pairs: DataFrame, classes: DataFrame, bits: int) -> DataFrame:
-    """(a, b, distance) of the pairs that differ in at most ``bits``."""
-    words = WIDE[:DISTANCE_WORDS]
-    left, right = (classes.select(F.col("id").alias(end), *[F.col(f).alias(f"{end}_{f}") for f in words]) for end in "ab")
-    differing = [F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in words]
-    both = pairs.join(right, "b").join(left, "a").withColumn("distance", sum(differing[1:], differing[0]))
-    return both.where(F.col("distance") <= bits).select("a", "b", "distance")
+def counted(pairs: DataFrame) -> DataFrame:
+    """(a, b, distance) of pairs (a, b): those that meet in the most entries are the nearest."""
+    return pairs.groupBy("a", "b").agg((-F.count(F.lit(1))).alias("distance"))
+
+
+def led_pairs(met: DataFrame, least: float) -> DataFrame:
+    """Each text with the leader of each of its entries."""
+    near = may_share(F.col("size"), F.col("place"), F.col("leader_size"), F.col("leader_place"), least)
+    return counted(met.where((F.col("id") != F.col("leader")) & near).select(F.col("leader").alias("a"), F.col("id").alias("b")))
+
+
+def pairs_between(met: DataFrame, groups: DataFrame, least: float) -> DataFrame:
+    """(a, b, distance) of all pairs of an entry that may share enough and are in different ``groups`` (node, component): with
+    those of one group there is nothing to find, so a group of many like texts forms none.
+
+    Of the text whose prefix ends first, every common shingle is in both prefixes or in the rest of its own, so a pair has
+    as many entries in common as are needed beyond that rest.
+    """
+    rows = met.select("entry", "id", "size").join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = rows.groupBy("entry").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("entry")
+    lists = rows.join(mixed, "entry").groupBy("entry").agg(F.sort_array(F.collect_list(F.struct("size", "id", "component"))).alias("texts"))
+
+    def rows(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b", "entries"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("texts")
+            bounds = texts.offsets.to_numpy()
+            sizes, ids, groups = (texts.values.field(i).to_numpy() for i in range(3))
+            whole_share = np.ceil(least * sizes - 1e-9).astype(np.int64)
+            found, waiting = [], 0
+            for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                ends = low + np.searchsorted(sizes[low:high], sizes[low:high] / least + 1e-6, "right")
+                for i, end in zip(range(low, high), ends.tolist(), strict=True):
+                    j = np.arange(i + 1, end)
+                    j = j[groups[j] != groups[i]]
+                    if len(j):
+                        common = np.ceil((sizes[i] + sizes[j]) * (least / (1 + least)) - 1e-6).astype(np.int64)
+                        # The longer text has the longer rest.
+                        found.append((np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), common - whole_share[j] + 1))
+                        waiting += len(j)
+                    if waiting >= PAIRS:
+                        yield rows(found)
+                        found, waiting = [], 0
+            if found:
+                yield rows(found)
+
+    pairs = lists.select("texts").mapInArrow(run, "a long, b long, entries long").groupBy("a", "b", "entries").count()
+    return pairs.where("count >= entries").select("a", "b", (-F.col("count")).alias("distance"))
 
 
 def sharing(own: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -340,14 +414,26 @@ def sharing(own: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def shingles(text: str) -> np.ndarray:
-            data = np.frombuffer(text.encode(), np.uint8)
-            return np.unique(next(shingle_hashes(data, np.array([0, len(data)]))))
+        known: dict[int, np.ndarray] = {}
+        size = 0
+
+        def shingles(node: pa.Scalar, text: pa.Scalar) -> np.ndarray:
+            nonlocal size
+            found = known.get(node.as_py())
+            if found is None:
+                data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
+                found = np.unique(next(shingle_hashes(data, np.array([0, len(data)]))))
+                if size > KNOWN_SHINGLES:
+                    known.clear()
+                    size = 0
+                known[node.as_py()] = found
+                size += len(found)
+            return found
 
         for batch in batches:
             kept = []
-            for text, other in zip(batch.column("text_a"), batch.column("text_b"), strict=True):
-                mine, others = shingles(text.as_py() or ""), shingles(other.as_py() or "")
+            for a, b, text, other in zip(*(batch.column(c) for c in ("a", "b", "text_a", "text_b")), strict=True):
+                mine, others = shingles(a, text), shingles(b, other)
                 common = len(np.intersect1d(mine, others, assume_unique=True))
                 kept.append(common >= least * (len(mine) + len(others) - common))
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
@@ -391,25 +477,30 @@ def similar_links(docs: DataFrame, classes: DataFrame, found: DataFrame, least:
     return links
 
 
-def similar_texts(docs: DataFrame, least: float = LEAST_SHARE, bits: int = WIDE_BITS) -> DataFrame:
+def similar_texts(docs: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
     """Group texts that have at least ``least`` of their shingles of five words in common: (doc_id, component_id).
 
-    Texts whose fingerprints are equal always link; others are found by the index if the first half of their bits differ
-    in at most ``bits``, and compared shingle by shingle. Two texts with a share of 0.8 are found in about nine of ten cases, at 0.9
-    practically always; none with a lower share than ``least`` links. Blank and null texts are alike. A null doc_id stays
-    null and is never the smallest, unless its group has no other.
+    All such pairs link, and no others. Texts are first compared with the leaders of their entries, then with every text
+    of an entry that is not in their group by then. Blank and null texts are alike. A null doc_id stays null and is never
+    the smallest, unless its group has no other.
     """
-    prints = stage(wide_fingerprints(docs), "wide-fingerprints")
+    prints = stage(shingle_prefixes(docs, least), "shingle-prefixes")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
-    grouped = prints.groupBy(*WIDE).agg(first.alias("first")).select(*WIDE, F.col("first.doc_id").alias("least"), F.col("first.key").alias("key"))
-    classes = stage(grouped.withColumn("id", F.monotonically_increasing_id()), "wide-classes")
-    pairs = candidate_pairs(classes, classes.count() * TRIPLES // BUCKET_KEYS + 1, bits)
-    found = stage(near_pairs(pairs, classes, bits), "wide-pairs")
-    linked = similar_links(docs, classes, found, least)
-    joined = classes.join(components(linked).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    grouped = prints.groupBy("set", "size").agg(first.alias("first"), F.first("prefix").alias("prefix"))
+    named = grouped.select("set", "size", "prefix", F.col("first.doc_id").alias("least"), F.col("first.key").alias("key"))
+    classes = stage(named.withColumn("id", F.monotonically_increasing_id()), "shingle-classes")
+    total = classes.agg(F.sum(F.length("prefix"))).first()[0] or 0
+    met = stage(entries(classes, total // 8 // BUCKET_KEYS + 1), "shingle-entries")
+    led = stage(led_pairs(met, least), "led-pairs")
+    linked = similar_links(docs, classes, led, least)
+    between = pairs_between(met, components(linked), least).join(led.select("a", "b"), ["a", "b"], "left_anti")
+    apart = stage(between, "pairs-between")
+    release(met)
+    linked = linked.union(similar_links(docs, classes, apart, least))
+    joined = classes.select("set", "size", "id", "least").join(components(linked).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     smallest = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    table = joined.join(smallest, "component").select(*WIDE, "component_id")
-    return prints.join(table, WIDE).select("doc_id", "component_id")
+    table = joined.join(smallest, "component").select("set", "size", "component_id")
+    return prints.select("doc_id", "set", "size").join(table, ["set", "size"]).select("doc_id", "component_id")
 
 
 def all_near_duplicates(docs: DataFrame) -> DataFrame:

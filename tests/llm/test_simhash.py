@@ -171,3 +171,17 @@ def test_entries_keep_pairs_of_unlike_leaders():
     assert sorted(zip(keys[lead].tolist(), ids[lead].tolist(), strict=True)) == [(5, 2), (7, 1), (7, 3), (9, 8)]
     assert simhash.leaders(keys[:0], ids[:0], prints[:0], 10)[1].shape == (0, 2)
     assert simhash.whole(simhash.halves(np.array([1, 2**40 + 3]))).tolist() == [1, 2**40 + 3]
+
+
+def test_prefixes_of_texts_that_share_enough_meet():
+    """Sets at and just above the share, whatever is held to be frequent."""
+    rng = np.random.default_rng(6)
+    for n in (1, 4, 5, 9, 10, 45, 300):
+        for _ in range(200):
+            common = rng.integers(1, 1 << 60, n)
+            spare = int(n / simhash.LEAST_SHARE + 1e-9) - n
+            mine = rng.integers(0, spare + 1)
+            a, b = (np.unique(np.concatenate([common, rng.integers(1 << 60, 1 << 61, k)]).astype(np.uint64)) for k in (mine, spare - mine))
+            frequent = np.unique(rng.choice(common, n // 2 + 1)).astype(np.uint64)
+            held = (frequent, rng.integers(3, 9, len(frequent)))
+            assert len(np.intersect1d(simhash.prefix(a, held, 0.8), simhash.prefix(b, held, 0.8)))
