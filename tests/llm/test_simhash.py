@@ -173,6 +173,35 @@ def test_entries_keep_pairs_of_unlike_leaders():
     assert simhash.whole(simhash.halves(np.array([1, 2**40 + 3]))).tolist() == [1, 2**40 + 3]
 
 
+def test_families_of_unlike_copies_match_brute_force(spark):
+    """Many copies of one template, most of them just too unlike each other; some pairs and chains among them are alike."""
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(150)]
+    texts = {}
+    for n in range(1100):
+        words = list(base)
+        for at in rng.sample(range(2, 148, 5), 2 if n % 10 == 0 else 4):
+            words[at] = f"own{n}x{at}"
+        texts[2 * n] = " ".join(words)
+        if n % 5 == 0:
+            words[rng.randrange(150)] = f"other{n}"
+            texts[2 * n + 1] = " ".join(words)
+    own = {i: {hash(tuple(t.split()[k : k + 5])) for k in range(len(t.split()) - 4)} for i, t in texts.items()}
+    ids = sorted(own)
+    number = {s: k for k, s in enumerate(sorted(set().union(*own.values())))}
+    held = np.zeros((len(ids), len(number)), np.float32)
+    for row, i in enumerate(ids):
+        held[row, [number[s] for s in own[i]]] = 1
+    common = held @ held.T
+    sizes = held.sum(axis=1)
+    alike = np.triu(common >= simhash.LEAST_SHARE * (sizes[:, None] + sizes - common), 1)
+    linked = [(ids[a], ids[b]) for a, b in zip(*np.nonzero(alike), strict=True)]
+    expected = components(ids, linked)
+    assert len(ids) > 1000 and len(linked) > 200 and len(set(expected.values())) > 100
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar_texts(docs).collect()} == expected
+
+
 def test_prefixes_of_texts_that_share_enough_meet():
     """Sets at and just above the share, whatever is held to be frequent."""
     rng = np.random.default_rng(6)
