@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from folioforge.llm.chat import ALSO, END, LEARNED, SAYS, TURN
 from folioforge.llm.licenses import NOTICE_SHARE, NOTICES
+from folioforge.llm.vector_codes import ENTRIES, PARTS, ROUNDS, SCALE
 
 ORACLES: dict[str, str] = {}
 
@@ -61,3 +63,67 @@ from words left join by_base b using (copy) left join by_label l using (copy)
 
 
 ORACLES["op6_license_scan"] = _license_sql()
+
+
+def _code_sql() -> str:
+    """Every part against every entry, in as many steps as there are rounds. Vectors are as long as the longest."""
+
+    def assigned(name: str, book: str) -> str:
+        return f"""{name} as materialized (
+  select p.n, part, min(struct_pack(d := list_sum(list_transform(list_zip(v, e), lambda x: (x[1] - x[2]) * (x[1] - x[2]))), entry := entry)) as near
+  from parts p join {book} using (part) group by p.n, part
+)"""
+
+    def means(name: str, book: str, before: str) -> str:
+        return f"""{name}_of as (
+  select part, near.entry as entry, i, floor(sum(v[i]::hugeint)::double / count(*))::bigint as c
+  from {before} join parts using (n, part), range(1, (select width + 1 from dim)) t(i) group by all
+), {name} as materialized (
+  select b.part, b.entry, coalesce(m.e, b.e) as e from {book} b
+  left join (select part, entry, list(c order by i) as e from {name}_of group by all) m using (part, entry)
+)"""
+
+    rounds = ", ".join(f"{assigned(f'near{r}', f'book{r}')}, {means(f'book{r + 1}', f'book{r}', f'near{r}')}" for r in range(ROUNDS))
+    return f"""
+with kept as (
+  select row_number() over (order by vec_id nulls last, ints) as n, * from (
+    select vec_id, label, list_transform(embedding, lambda x: floor({SCALE} * x::double)::bigint) as ints from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)
+), dim as (select greatest(1, cast(ceil(max(len(ints)) / {float(PARTS)}) as bigint)) as width from kept
+), parts as materialized (
+  select n, part, list_transform(range(part * width + 1, part * width + width + 1), lambda i: coalesce(ints[i], 0)) as v
+  from kept, dim, range({PARTS}) t(part)
+), book0 as materialized (select part, n - 1 as entry, v as e from parts where n <= {ENTRIES}
+), {rounds}, {assigned("final", f"book{ROUNDS}")}, coded as (
+  select n, string_agg(printf('%02x', near.entry), '' order by part) as code, sum(near.d)::bigint as error from final group by n
+), digest as (
+  select sha256(string_agg(array_to_string(e, ','), ',' order by part, entry)) as codebooks_sha256 from book{ROUNDS}
+)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256
+from kept join coded using (n), digest
+"""
+
+
+ORACLES["op12_vector_codes"] = _code_sql()
+
+
+def _chat_sql() -> str:
+    control = r"<(\\*)(turn>|says>|also>|/turn>)"
+    escape = lambda column: rf"regexp_replace({column}, '{control}', '<\\\1\2', 'g')"
+    return rf"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+), placed as (
+  select *, row_number() over w as n, lag(role) over w as before from turns
+  window w as (partition by conv_id order by turn nulls last, role, text)
+)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by n)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = '{LEARNED}'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by n) filter (role = '{LEARNED}'), '')) as loss_sha256,
+  cast(sum(length({escape("text")}) + case when before = role then {len(ALSO)} else length({escape("role")}) + {len(TURN + SAYS + END)} end) as bigint) as formatted_chars
+from placed group by conv_id
+"""
+
+
+ORACLES["op13_chat_format"] = _chat_sql()

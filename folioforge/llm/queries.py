@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import debruijn, decontamination, fingerprints, importance, langid, licenses, pieces, simhash, suffixes, url_filters
+from folioforge.llm import chat, debruijn, decontamination, fingerprints, importance, langid, licenses, pieces, runs, simhash, suffixes, url_filters, vector_codes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -84,3 +84,18 @@ def op10_repeated_words(spark, folder):
 @query
 def op9_benchmark_leaks(spark, folder):
     return decontamination.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op11_periodic_runs(spark, folder):
+    return runs.run_digest(runs.find_runs(runs.with_planted_runs(table(spark, folder, "documents"))))
+
+
+@query
+def op12_vector_codes(spark, folder):
+    return vector_codes.code_digest(*vector_codes.encode(table(spark, folder, "embeddings")))
+
+
+@query
+def op13_chat_format(spark, folder):
+    return chat.chat_digest(chat.format_chats(chat.with_control_turns(spark, table(spark, folder, "conversations"))))
