@@ -33,16 +33,20 @@ def stage(table: DataFrame, name: str) -> DataFrame:
     """
     folder = new_folder(table.sparkSession, name)
     table.write.parquet(folder)
-    return table.sparkSession.read.schema(table.schema).parquet(folder)
+    reader = table.sparkSession.read.schema(table.schema).parquet(folder)
+    reader.staged_in = folder
+    return reader
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a folder that ``new_folder`` named."""
+    if not folder.startswith(f"{shared_folder(spark)}/"):
+        raise ValueError(f"not a staged table: {folder}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(*staged: DataFrame) -> None:
-    """Remove the folders of staged tables that nothing reads any more."""
+    """Remove the folders of tables returned by ``stage`` that nothing reads any more."""
     for table in staged:
-        spark = table.sparkSession
-        shared = shared_folder(spark)
-        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            # Only what ``stage`` has written.
-            if path.getParent().toUri().getPath() == spark._jvm.org.apache.hadoop.fs.Path(shared).toUri().getPath():
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove_folder(table.sparkSession, table.staged_in)
