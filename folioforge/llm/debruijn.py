@@ -30,8 +30,8 @@ from folioforge.llm.common import (
     window_starts,
     windows,
 )
-from folioforge.llm.repeats import BUCKET_KEYS, Keys, attach, distinct_texts, extent, find_repeated, forget, unpack
-from folioforge.operators.staging import stage
+from folioforge.llm.repeats import BUCKET_KEYS, Keys, attach, distinct_texts, extent, find_repeated, unpack
+from folioforge.operators.staging import release, stage
 
 K = 35
 ANCHOR = 16
@@ -136,14 +136,14 @@ def repeated_words(docs: DataFrame, k: int = K, anchor: int = ANCHOR) -> DataFra
 
     Null, empty and short texts have no spans. Texts that occur twice are repeated as a whole. A null doc_id stays null.
     """
-    texts, name = distinct_texts(docs)
-    size, groups = extent(texts)
-    words = size // 6
-    anchors = find_repeated(texts.select("key", "text"), anchor_keys(k, anchor), words // (5 * BUCKET_KEYS) + 1, groups, exact=False)
-    anchors = stage(anchors, "repeated-anchors")
-    candidates = attach(texts.select("key", "text"), anchors)
-    edges = find_repeated(candidates.where("found is not null"), edge_keys(k, anchor), words // (2 * BUCKET_KEYS) + 1, groups, exact=True)
-    spans = stage(paths(attach(texts, edges), k), "repeated-paths")
-    forget(name, anchors)
+    with distinct_texts(docs) as texts:
+        size, groups = extent(texts)
+        words = size // 6
+        anchors = find_repeated(texts.select("key", "text"), anchor_keys(k, anchor), words // (5 * BUCKET_KEYS) + 1, groups, exact=False)
+        anchors = stage(anchors, "repeated-anchors")
+        candidates = attach(texts.select("key", "text"), anchors)
+        edges = find_repeated(candidates.where("found is not null"), edge_keys(k, anchor), words // (2 * BUCKET_KEYS) + 1, groups, exact=True)
+        spans = stage(paths(attach(texts, edges), k), "repeated-paths")
+    release(anchors)
     keys = identified(docs).select("doc_id", text_key(F.col("text")).alias("key"))
     return keys.join(spans, "key").drop("key")

@@ -9,15 +9,16 @@ all texts reaches its bucket at most once for each task.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.common import identified, text_key
-from folioforge.operators.staging import new_folder, release
+from folioforge.operators.staging import new_folder, remove_folder
 
 # Keys that a task holds before it sends them, and keys that a bucket gets.
 TASK_KEYS = 500_000
@@ -37,24 +38,23 @@ def key_array(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 16)
 
 
-def distinct_texts(docs: DataFrame) -> tuple[DataFrame, str]:
-    """Table, and its name, of the distinct texts (key, text, copies, n_bytes), null as empty, bucketed by key in shared storage, so
-    that joins on key move no text. Copies are dropped within each task before anything is shuffled."""
+@contextmanager
+def distinct_texts(docs: DataFrame) -> Iterator[DataFrame]:
+    """Table of the distinct texts (key, text, copies, n_bytes), null as empty, bucketed by key in shared storage, so that joins
+    on key move no text; it goes when the block ends. Copies are dropped within each task before anything is shuffled."""
     spark = docs.sparkSession
     texts = identified(docs).select(text_key(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     distinct = texts.groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     name = f"distinct_texts_{uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sized = distinct.withColumn("n_bytes", F.octet_length("text").cast("long"))
-    sized.write.bucketBy(parts, "key").option("path", new_folder(spark, name)).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name), name
-
-
-def forget(name: str, *staged: DataFrame) -> None:
-    """Remove a table of distinct texts and staged tables, once what was derived from them is written."""
-    spark = SparkSession.active()
-    release(spark.table(name), *staged)
-    spark.sql(f"drop table if exists {name}")
+    folder = new_folder(spark, name)
+    try:
+        sized.write.bucketBy(parts, "key").option("path", folder).option("compression", "zstd").saveAsTable(name)
+        yield spark.table(name)
+    finally:
+        spark.sql(f"drop table if exists {name}")
+        remove_folder(spark, folder)
 
 
 def extent(texts: DataFrame) -> tuple[int, int]:

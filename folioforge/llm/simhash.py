@@ -9,8 +9,8 @@ up, so no pairs are formed, and an entry of many fingerprints costs no more for
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import Words, bound_batches, identified, mix, slices, text_bytes, text_key
+from folioforge.llm.common import MULTIPLIER, Words, bound_batches, identified, mix, slices, text_bytes, text_key
 from folioforge.operators.lookup import heavy_keys, lookup
 from folioforge.operators.staging import release, stage
 
@@ -100,7 +100,9 @@ def links(prints: DataFrame) -> DataFrame:
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     free = [tuple(p for p in range(BYTES) if p not in positions) for positions in POSITIONS]
     entries = F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("shared")) for i, m in enumerate(signed)]))
-    index = prints.select("fp", entries.alias("entry")).select("fp", "entry.choice", "entry.shared")
+    # The table is small before it is multiplied, so it would be read by a few tasks.
+    spread = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    index = spread.select("fp", entries.alias("entry")).select("fp", "entry.choice", "entry.shared")
     met = index.groupBy("choice", "shared").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +148,10 @@ def components(edges: DataFrame) -> DataFrame:
     current = stage(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     state = summary(current)
     while state[0]:
-        current = stage(star(stage(star(current, True), "large-star"), False), "small-star")
+        large = stage(star(current, True), "large-star")
+        small = stage(star(large, False), "small-star")
+        release(current, large)
+        current = small
         before, state = state, summary(current)
         if state == before:
             break
@@ -177,21 +182,23 @@ def fingerprint_digits(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
 
 
-# --- Similar texts. Candidates come from a prefix filter: of two texts that share LEAST_SHARE of their shingles, either has so many of
-# the other's that among the first few of its own, in whatever order is the same for all texts, there is a common one. Rare shingles
-# come first in that order. No pair is missed, and the shingles of what is found are compared.
+# --- Similar texts. Candidates come from bands of minhash values; the shingles of what is found are compared.
 
 WIDE_SHINGLE = 5
 # Share of the shingles of two texts, each counted once, that both have.
 LEAST_SHARE = 0.8
-# Texts in which frequent shingles are counted, in how many a frequent one stands at least, and how many are told apart. None of them
-# decides what is found, only how many texts share an entry.
-SAMPLE_TEXTS, SAMPLE_COUNT, FREQUENT = 5_000, 3, 100_000
+# Bands of so many minhash values each: of two texts that share 0.8 of their shingles, 0.9996 have a band in common.
+BANDS, BAND_ROWS = 20, 5
+# Texts of an entry that every other one is paired with: those that have the most in common with others.
+REPRESENTATIVES = 4
+# Where more texts than that meet, they meet again where two, three and four of their bands agree at once: bands so many
+# places apart, around the circle of bands.
+LEVELS, STRIDES = 4, (1, 3, 7)
 # Entries that a task holds before it sends them, and that a bucket gets.
 TASK_KEYS, BUCKET_KEYS = 500_000, 750_000
-ENTRIES = "bucket int, keys binary, ids binary, sizes binary, places binary"
-# Pairs of an entry that are formed at once, and shingles that a task keeps for the next pairs of a text.
-PAIRS, KNOWN_SHINGLES = 1 << 20, 1 << 21
+ENTRIES = "bucket int, keys binary, ids binary, sizes binary, standing binary"
+# Shingles that a task keeps for the next pairs of a text.
+KNOWN_SHINGLES = 1 << 21
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
@@ -208,79 +215,50 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray
         yield own
 
 
-def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that stand in several texts of a sample, in order of their hashes, and in how many."""
+@lru_cache(maxsize=1)
+def minhash_factors() -> list[np.uint64]:
+    drawn = np.random.default_rng(11).integers(1, 2**62, BANDS * BAND_ROWS, np.int64).astype(np.uint64)
+    return list(drawn << np.uint64(1) | np.uint64(1))
+
+
+def bands(shingles: list[np.ndarray]) -> list[bytes]:
+    """Keys of the bands of each text, 8 bytes each, from its distinct shingles; none for a text without shingles."""
+    sizes = np.array([len(s) for s in shingles], np.int64)
+    filled = np.flatnonzero(sizes)
+    if not len(filled):
+        return [b""] * len(shingles)
+    together = np.concatenate(shingles)
+    begins = (np.cumsum(sizes) - sizes)[filled]
+    keys = np.zeros((len(filled), BANDS), np.uint64)
+    for i, factor in enumerate(minhash_factors()):
+        least = np.minimum.reduceat((together * factor) >> np.uint64(16), begins)
+        band = i // BAND_ROWS
+        keys[:, band] = mix(keys[:, band] + least + np.uint64(band + 1))
+    out = [b""] * len(shingles)
+    for row, own in zip(filled.tolist(), keys, strict=True):
+        out[row] = own.tobytes()
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_bytes(batch.column("text"))
-            for first, last in slices(offsets):
-                begin = offsets[first]
-                own = [np.unique(x) for x in shingle_hashes(data[begin : offsets[last]], offsets[first : last + 1] - begin)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64))], ["shingle"])
-
-    texts = identified(docs)
-    part = F.pmod(F.xxhash64("text"), F.lit(max(1, texts.count() // SAMPLE_TEXTS)))
-    counts = texts.where(part == 0).select("text").distinct().mapInArrow(run, "shingle long").groupBy("shingle").count()
-    rows = counts.where(F.col("count") >= SAMPLE_COUNT).orderBy(F.desc("count"), "shingle").limit(FREQUENT).collect()
-    hashes, held = np.array([r["shingle"] for r in rows], np.int64).view(np.uint64), np.array([r["count"] for r in rows], np.int64)
-    order = np.argsort(hashes)
-    return hashes[order], held[order]
-
-
-def prefix(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
-    """The first of the distinct sorted ``shingles`` of a text: of any text with which it shares ``least``, it has one among them
-    that is among the other's too. Rare ones come first, frequent ones by how often they stand."""
-    if not len(shingles):
-        return shingles
-    size = len(shingles) - math.ceil(least * len(shingles) - 1e-9) + 1
-    hashes, held = frequent
-    at = np.minimum(np.searchsorted(hashes, shingles), len(hashes) - 1)
-    count = np.where(hashes[at] == shingles, held[at], 0) if len(hashes) else np.zeros(len(shingles), np.int64)
-    return shingles[np.argsort(count, kind="stable")[:size]]
-
-
-def shingle_prefixes(docs: DataFrame, least: float) -> DataFrame:
-    """(doc_id, key, set, size, prefix): of each text its key, 16 bytes that stand for its distinct shingles, their number and the
-    first of them. A text with fewer than five words has its whole sequence for a shingle, one without words has none."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))
+
+def shingle_bands(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, set, size, bands): of each text its key, 16 bytes that stand for its distinct shingles, their number and the
+    keys of its bands. A text with fewer than five words has its whole sequence for a shingle, one without words has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            rows = []
+            sets, sizes, keys = [], [], []
             for first, last in slices(offsets):
                 begin = offsets[first]
-                for own in map(np.unique, shingle_hashes(data[begin : offsets[last]], offsets[first : last + 1] - begin)):
-                    sums = np.array([mix(own).sum(), mix(own ^ np.uint64(0x9E3779B97F4A7C15)).sum()], np.uint64)
-                    rows.append((sums.tobytes(), len(own), prefix(own, shared.value, least).tobytes()))
-            kinds = (pa.binary(), pa.int32(), pa.binary())
-            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *columns], ["doc_id", "key", "set", "size", "prefix"])
+                distinct = [np.unique(s) for s in shingle_hashes(data[begin : offsets[last]], offsets[first : last + 1] - begin)]
+                sets += [np.array([mix(s).sum(), mix(s ^ np.uint64(0x9E3779B97F4A7C15)).sum()], np.uint64).tobytes() for s in distinct]
+                sizes += [len(s) for s in distinct]
+                keys += bands(distinct)
+            columns = [pa.array(sets, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *columns], ["doc_id", "key", "set", "size", "bands"])
 
     keyed = identified(docs).withColumn("key", text_key(F.col("text")))
-    return keyed.mapInArrow(run, "doc_id long, key binary, set binary, size int, prefix binary")
-
-
-def leaders(keys: np.ndarray, ids: np.ndarray, prints: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which entries lead, and the distinct rows (leader, other) of the others.
-
-    The smallest id of a key leads, and the ones within ``bits`` of it follow; of those left the smallest leads, and so
-    on. A key that unlike fingerprints share thus hides no pair among them, and one of many like ones costs no more for each.
-    """
-    left = np.lexsort((ids, keys))
-    lead, pairs = [left[:0]], [np.zeros((0, 2), np.int64)]
-    while len(left):
-        first = np.ones(len(left), bool)
-        first[1:] = keys[left[1:]] != keys[left[:-1]]
-        to = left[np.maximum.accumulate(np.where(first, np.arange(len(left)), 0))]
-        distance = np.bitwise_count(prints[left] ^ prints[to]).sum(axis=1, dtype=np.int64)
-        near = ~first & (distance <= bits)
-        met = near & (ids[left] != ids[to])
-        lead.append(left[first])
-        pairs.append(np.stack([ids[to[met]], ids[left[met]]], axis=1))
-        left = left[~first & ~near]
-    return np.concatenate(lead), np.unique(np.concatenate(pairs), axis=0)
+    return keyed.mapInArrow(run, "doc_id long, key binary, set binary, size int, bands binary")
 
 
 def halves(ids: np.ndarray) -> bytes:
@@ -292,118 +270,123 @@ def whole(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(packed, np.uint32).reshape(2, -1).T).view(np.int64).ravel()
 
 
-def may_share(size_a, place_a, size_b, place_b, least: float):
-    """Whether two texts may share ``least`` of their shingles, if the first common one stands at these places. Of columns or arrays."""
-    needed = (size_a + size_b) * (least / (1 + least)) - 1e-6
-    return (size_a - place_a >= needed) & (size_b - place_b >= needed)
+def group_order(keys: np.ndarray, standing: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by key, then from the highest standing down (ties: smallest id); the first place of each one's group in that
+    order, and the size of the group."""
+    order = np.lexsort((ids, -standing, keys))
+    begins = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]])) if len(order) else np.zeros(0, np.int64)
+    lengths = np.diff(np.append(begins, len(order)))
+    return order, np.repeat(begins, lengths), np.repeat(lengths, lengths)
+
+
+def pairs_with_first(order: np.ndarray, first: np.ndarray, ids: np.ndarray, sizes: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Representatives, others, and in how many groups they met: each of a group with the first REPRESENTATIVES before it, if
+    their sizes allow ``least``."""
+    place = np.arange(len(order)) - first
+    out = []
+    for nth in range(REPRESENTATIVES):
+        at = np.flatnonzero(place > nth)
+        other, lead = order[at], order[first[at] + nth]
+        fits = np.minimum(sizes[other], sizes[lead]) >= least * np.maximum(sizes[other], sizes[lead]) - 1e-9
+        out.append(np.stack([ids[lead[fits]], ids[other[fits]]], axis=1))
+    pairs = np.concatenate(out)
+    if not len(pairs):
+        return pairs[:, 0], pairs[:, 1], np.zeros(0, np.int64)
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    begins = np.flatnonzero(np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)]))
+    return pairs[begins, 0], pairs[begins, 1], np.diff(np.append(begins, len(pairs)))
+
+
+def entry_keys(bands: np.ndarray, level: int) -> np.ndarray:
+    """Keys (texts x entries) of a level from those of the bands (texts x BANDS): each of ``level`` bands together."""
+    if level == 1:
+        return bands
+    out = []
+    for stride in STRIDES:
+        keys = np.full(bands.shape, level * 100 + stride, np.uint64)
+        for step in range(level):
+            keys = mix(keys * np.uint64(MULTIPLIER) + np.roll(bands, -step * stride, axis=1))
+        out.append(keys)
+    return np.concatenate(out, axis=1)
+
+
+def found_pairs(classes: DataFrame, level: int, buckets: int, least: float) -> DataFrame:
+    """Candidates (a, b, n) among ``classes`` (id, size, bands): b meets a, one of its representatives, in n entries of a task or
+    bucket; and a row (id, id, n) for each text that met more texts than are representatives.
+
+    A text stands the higher, the more other texts of its task have entries in common with it: of the edited copies of a text
+    the least edited ones do, to which the others are nearest. Of a key that many texts of a task share only the
+    representatives are sent on, the other texts are paired with them at once. So a bucket gets a few texts for each
+    task, whatever the number of texts that share a key, and there are no more candidates than entries times representatives
+    for each text.
+    """
 
+    def packed(buckets_of: np.ndarray, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, standing: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((keys, buckets_of))
+        parts = np.split(order, np.flatnonzero(np.diff(buckets_of[order])) + 1) if len(order) else []
+        rows = [(int(buckets_of[p[0]]), keys[p].tobytes(), halves(ids[p]), sizes[p].astype(np.int32).tobytes(), standing[p].astype(np.int32).tobytes()) for p in parts]
+        kinds = (pa.int32(), *[pa.binary()] * 4)
+        columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays(columns, ["bucket", "keys", "ids", "sizes", "standing"])
 
-def entries(classes: DataFrame, buckets: int) -> DataFrame:
-    """(entry, id, size, place, leader, leader_size, leader_place): the shingles that stand in the prefixes of several texts of
-    ``classes`` (id, size, prefix), and where; the text with the smallest id leads. Entries that meet by chance are verified away."""
+    def crowd(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        distinct, met = np.unique(ids, return_counts=True)
+        return distinct, distinct, met
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def rows() -> pa.RecordBatch:
-            keys, ids, sizes, places = (np.concatenate([h[i] for h in held]) for i in range(4))
-            spread = mix(keys)
-            bucket = (spread % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((ids, spread, bucket))
-            parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)
-            short = (spread >> np.uint64(32)).astype(np.uint32)
-            found = [(int(bucket[p[0]]), short[p].tobytes(), halves(ids[p]), sizes[p].tobytes(), places[p].tobytes()) for p in parts]
-            kinds = (pa.int32(), *[pa.binary()] * 4)
-            columns = [pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)]
-            return pa.RecordBatch.from_arrays(columns, ["bucket", "keys", "ids", "sizes", "places"])
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            keys, ids, sizes = (np.concatenate([h[i] for h in held]) for i in range(3))
+            order, first, lengths = group_order(keys, np.zeros(len(keys), np.int64), ids)
+            shared = np.zeros(len(keys), np.int64)
+            shared[order] = np.minimum(lengths - 1, 1 << 20)
+            # All keys of a text stand together.
+            text = np.cumsum(np.concatenate([[0], ids[1:] != ids[:-1]]))
+            standing = np.bincount(text, weights=shared)[text].astype(np.int64)
+            order, first, lengths = group_order(keys, standing, ids)
+            place = np.arange(len(order)) - first
+            many = lengths > 2 * REPRESENTATIVES
+            sent = order[~many | (place < REPRESENTATIVES)]
+            bucket = (keys[sent] % np.uint64(buckets)).astype(np.int64)
+            yield packed(bucket, keys[sent], ids[sent], sizes[sent], standing[sent])
+            # Texts that are not sent on meet the representatives of the task here.
+            own = order[many]
+            begins = np.searchsorted(np.flatnonzero(many), first[many])
+            lead, other, met = (np.concatenate(x) for x in zip(pairs_with_first(own, begins, ids, sizes, least), crowd(ids[own]), strict=True))
+            if len(lead):
+                yield packed(-1 - (other % buckets), lead.astype(np.uint64), other, met, met)
 
         waiting = 0
         for batch in batches:
-            data, offsets = text_bytes(batch.column("prefix"))
-            lengths = np.diff(offsets) // 8
-            if not lengths.sum():
+            data, offsets = text_bytes(batch.column("bands"))
+            filled = np.diff(offsets) > 0
+            if not filled.any():
                 continue
-            places = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            own = np.frombuffer(data.tobytes(), np.uint64)
-            held.append((own, np.repeat(batch.column("id").to_numpy(), lengths), np.repeat(batch.column("size").to_numpy(), lengths), places.astype(np.int32)))
-            waiting += len(own)
+            keys = entry_keys(np.frombuffer(data.tobytes(), np.uint64).reshape(-1, BANDS), level)
+            ids, sizes = (np.repeat(batch.column(c).to_numpy()[filled], keys.shape[1]) for c in ("id", "size"))
+            held.append((keys.ravel(), ids, sizes))
+            waiting += keys.size
             if waiting >= TASK_KEYS:
-                yield rows()
+                yield from rows()
                 held, waiting = [], 0
         if held:
-            yield rows()
+            yield from rows()
 
     def meet(table: pa.Table) -> pa.Table:
         def column(name: str, kind: type) -> np.ndarray:
             return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 
-        keys, sizes, places = column("keys", np.uint32), column("sizes", np.int32), column("places", np.int32)
+        keys = column("keys", np.uint64)
         ids = np.concatenate([whole(x) for x in table.column("ids").to_pylist()])
-        order = np.lexsort((ids, keys))
-        first = np.ones(len(order), bool)
-        first[1:] = keys[order[1:]] != keys[order[:-1]]
-        leader = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-        several = ~(first & np.append(first[1:], True))
-        own, to = order[several], order[leader[several]]
-        entry = np.int64(table.column("bucket")[0].as_py()) << np.int64(32) | keys[own].astype(np.int64)
-        columns = (entry, ids[own], sizes[own], places[own], ids[to], sizes[to], places[to])
-        return pa.table(dict(zip(("entry", "id", "size", "place", "leader", "leader_size", "leader_place"), columns, strict=True)))
+        if table.column("bucket")[0].as_py() < 0:
+            return pa.table({"a": keys.astype(np.int64), "b": ids, "n": column("sizes", np.int32).astype(np.int64)})
+        order, first, lengths = group_order(keys, column("standing", np.int32).astype(np.int64), ids)
+        met = zip(pairs_with_first(order, first, ids, column("sizes", np.int32), least), crowd(ids[order[lengths > REPRESENTATIVES + 1]]), strict=True)
+        return pa.table(dict(zip("abn", map(np.concatenate, met), strict=True)))
 
     bound_batches(classes.sparkSession)
-    kind = "entry long, id long, size int, place int, leader long, leader_size int, leader_place int"
-    return classes.select("id", "size", "prefix").mapInArrow(enter, ENTRIES).groupBy("bucket").applyInArrow(meet, kind)
-
-
-def counted(pairs: DataFrame) -> DataFrame:
-    """(a, b, distance) of pairs (a, b): those that meet in the most entries are the nearest."""
-    return pairs.groupBy("a", "b").agg((-F.count(F.lit(1))).alias("distance"))
-
-
-def led_pairs(met: DataFrame, least: float) -> DataFrame:
-    """Each text with the leader of each of its entries."""
-    near = may_share(F.col("size"), F.col("place"), F.col("leader_size"), F.col("leader_place"), least)
-    return counted(met.where((F.col("id") != F.col("leader")) & near).select(F.col("leader").alias("a"), F.col("id").alias("b")))
-
-
-def pairs_between(met: DataFrame, groups: DataFrame, least: float) -> DataFrame:
-    """(a, b, distance) of all pairs of an entry that may share enough and are in different ``groups`` (node, component): with
-    those of one group there is nothing to find, so a group of many like texts forms none.
-
-    Of the text whose prefix ends first, every common shingle is in both prefixes or in the rest of its own, so a pair has
-    as many entries in common as are needed beyond that rest.
-    """
-    rows = met.select("entry", "id", "size").join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = rows.groupBy("entry").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("entry")
-    lists = rows.join(mixed, "entry").groupBy("entry").agg(F.sort_array(F.collect_list(F.struct("size", "id", "component"))).alias("texts"))
-
-    def rows(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b", "entries"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("texts")
-            bounds = texts.offsets.to_numpy()
-            sizes, ids, groups = (texts.values.field(i).to_numpy() for i in range(3))
-            whole_share = np.ceil(least * sizes - 1e-9).astype(np.int64)
-            found, waiting = [], 0
-            for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                ends = low + np.searchsorted(sizes[low:high], sizes[low:high] / least + 1e-6, "right")
-                for i, end in zip(range(low, high), ends.tolist(), strict=True):
-                    j = np.arange(i + 1, end)
-                    j = j[groups[j] != groups[i]]
-                    if len(j):
-                        common = np.ceil((sizes[i] + sizes[j]) * (least / (1 + least)) - 1e-6).astype(np.int64)
-                        # The longer text has the longer rest.
-                        found.append((np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), common - whole_share[j] + 1))
-                        waiting += len(j)
-                    if waiting >= PAIRS:
-                        yield rows(found)
-                        found, waiting = [], 0
-            if found:
-                yield rows(found)
-
-    pairs = lists.select("texts").mapInArrow(run, "a long, b long, entries long").groupBy("a", "b", "entries").count()
-    return pairs.where("count >= entries").select("a", "b", (-F.col("count")).alias("distance"))
+    return classes.select("id", "size", "bands").mapInArrow(enter, ENTRIES).groupBy("bucket").applyInArrow(meet, "a long, b long, n long")
 
 
 def sharing(own: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -455,7 +438,7 @@ def class_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def similar_links(docs: DataFrame, classes: DataFrame, found: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) among the pairs ``found`` that make the same components as all of them with the share would.
+    """Links (a, b) among the pairs ``found`` (a, b, distance) that make the same components as all of them with the share would.
 
     Each text is compared with the nearest that it was found with. Then only pairs between different components are left
     to compare, so texts of a large group are read once or twice, not once for each pair.
@@ -473,30 +456,44 @@ def similar_links(docs: DataFrame, classes: DataFrame, found: DataFrame, least:
     apart = stage(rest.where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b"), "pairs-apart")
     own = apart.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     links = stage(sure.union(sharing(own, leads, least)), "wide-links")
-    release(texts)
+    release(texts, sure, apart)
+    return links
+
+
+def links_of(docs: DataFrame, classes: DataFrame, met: list[DataFrame], least: float) -> DataFrame:
+    """Links (a, b) among the candidates of all levels."""
+    if not met:
+        return docs.sparkSession.createDataFrame([], "a long, b long")
+    pairs = reduce(DataFrame.union, met).where("a != b")
+    # Those that meet in the most entries are the nearest.
+    found = stage(pairs.groupBy("a", "b").agg((-F.sum("n")).alias("distance")), "candidates")
+    release(*met)
+    links = similar_links(docs, classes, found, least)
+    release(found)
     return links
 
 
 def similar_texts(docs: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
     """Group texts that have at least ``least`` of their shingles of five words in common: (doc_id, component_id).
 
-    All such pairs link, and no others. Texts are first compared with the leaders of their entries, then with every text
-    of an entry that is not in their group by then. Blank and null texts are alike. A null doc_id stays null and is never
-    the smallest, unless its group has no other.
+    Only such pairs link. Each text is compared with the representatives of the bands it is in, so a pair of which neither
+    is a representative links if both reach one; the README states the share of pairs that do, against brute force. Blank and null
+    texts are alike. A null doc_id stays null and is never the smallest, unless its group has no other.
     """
-    prints = stage(shingle_prefixes(docs, least), "shingle-prefixes")
+    prints = stage(shingle_bands(docs), "shingle-bands")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
-    grouped = prints.groupBy("set", "size").agg(first.alias("first"), F.first("prefix").alias("prefix"))
-    named = grouped.select("set", "size", "prefix", F.col("first.doc_id").alias("least"), F.col("first.key").alias("key"))
+    grouped = prints.groupBy("set", "size").agg(first.alias("first"), F.first("bands").alias("bands"))
+    named = grouped.select("set", "size", "bands", F.col("first.doc_id").alias("least"), F.col("first.key").alias("key"))
     classes = stage(named.withColumn("id", F.monotonically_increasing_id()), "shingle-classes")
-    total = classes.agg(F.sum(F.length("prefix"))).first()[0] or 0
-    met = stage(entries(classes, total // 8 // BUCKET_KEYS + 1), "shingle-entries")
-    led = stage(led_pairs(met, least), "led-pairs")
-    linked = similar_links(docs, classes, led, least)
-    between = pairs_between(met, components(linked), least).join(led.select("a", "b"), ["a", "b"], "left_anti")
-    apart = stage(between, "pairs-between")
-    release(met)
-    linked = linked.union(similar_links(docs, classes, apart, least))
+    met = []
+    crowded = classes
+    for level in range(1, LEVELS + 1):
+        total = crowded.where("size > 0").count() * BANDS * (len(STRIDES) if level > 1 else 1)
+        if not total:
+            break
+        met.append(stage(found_pairs(crowded, level, total // BUCKET_KEYS + 1, least), "found-pairs"))
+        crowded = classes.join(met[-1].where("a = b").select(F.col("a").alias("id")).distinct(), "id", "left_semi")
+    linked = links_of(docs, classes, met, least)
     joined = classes.select("set", "size", "id", "least").join(components(linked).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     smallest = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     table = joined.join(smallest, "component").select("set", "size", "component_id")

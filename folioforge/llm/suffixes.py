@@ -1,7 +1,7 @@
 """Substring dedup by bytes: suffixes sampled at a difference cover, then merged.
 
-Positions of a text are sampled at a difference cover of period V: for any two positions there is a shift below V that
-brings both onto sampled ones. Two places that share LENGTH bytes therefore share, at some sampled position of each
+Positions of a text are sampled at a difference cover of a period V, the longest that leaves blocks of BLOCK bytes: for
+any two positions there is a shift below V that brings both onto sampled ones. Two places that share LENGTH bytes therefore share, at some sampled position of each
 within V bytes, a block of LENGTH - V + 1 bytes. Sampled suffixes are sorted by their blocks, and blocks that sort next
 to an equal one get a common name; a suffix can only be repeated over LENGTH bytes if it lies within V bytes before a
 sampled one whose name is shared. These remaining suffixes are merged: runs of them that have one smallest inner string
@@ -20,13 +20,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.common import SECOND_MULTIPLIER, between, byte_codes, identified, minimizers, prefix_sums, slices, text_bytes, text_key, window_starts
-from folioforge.llm.repeats import BUCKET_KEYS, GROUPED, Keys, attach, by_text, distinct_texts, extent, find_repeated, forget, grouped_rows, unpack
-from folioforge.operators.staging import stage
+from folioforge.llm.repeats import BUCKET_KEYS, GROUPED, Keys, attach, by_text, distinct_texts, extent, find_repeated, grouped_rows, unpack
+from folioforge.operators.staging import release, stage
 
 LENGTH = 400
-# A perfect difference set, every remainder of V but 0 being the difference of exactly one pair.
-V = 273
-COVER = (0, 1, 3, 7, 15, 31, 63, 90, 116, 127, 136, 181, 194, 204, 233, 238, 255)
+# Perfect difference sets by period, every remainder but 0 being the difference of exactly one pair.
+COVERS = {
+    273: (0, 1, 3, 7, 15, 31, 63, 90, 116, 127, 136, 181, 194, 204, 233, 238, 255),
+    133: (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109),
+    57: (0, 1, 3, 13, 32, 36, 43, 52),
+}
+# A block has as many bytes at least, so that few positions share one by chance.
+BLOCK = 96
 # Bytes of the inner string by which remaining suffixes meet.
 INNER = 32
 # Bytes of text that a task holds before it sends them, and that a bucket gets.
@@ -35,13 +40,19 @@ CONTEXTS = "bucket int, bytes binary, sizes binary, keys binary, context binary,
 SPANS = "key binary, starts array<int>, ends array<int>, n_removed long, n_spans long, kept_sha256 string"
 
 
-def sampled_names(length: int):
+def period_of(length: int) -> int:
+    """The period of the cover for strings of ``length`` bytes."""
+    fitting = [period for period in COVERS if length - period + 1 >= BLOCK]
+    if not fitting:
+        raise ValueError(f"strings of {length} bytes are too short: at least {min(COVERS) + BLOCK - 1}")
+    return max(fitting)
+
+
+def sampled_names(length: int, period: int):
     """Hashes of the blocks at sampled positions."""
-    block = length - V + 1
-    if block < 1:
-        raise ValueError(f"shorter than the period {V}")
-    sampled = np.zeros(V, bool)
-    sampled[list(COVER)] = True
+    block = length - period + 1
+    sampled = np.zeros(period, bool)
+    sampled[list(COVERS[period])] = True
 
     def keys_of(batch: pa.RecordBatch) -> Iterator[Keys]:
         data, offsets = text_bytes(batch.column("text"))
@@ -49,7 +60,7 @@ def sampled_names(length: int):
             own, bounds = data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
             starts = window_starts(bounds, block)
             row = np.searchsorted(bounds, starts, "right") - 1
-            fits = sampled[(starts - bounds[row]) % V] & (bounds[row + 1] - bounds[row] >= length)
+            fits = sampled[(starts - bounds[row]) % period] & (bounds[row + 1] - bounds[row] >= length)
             starts, row = starts[fits], row[fits]
             sums = prefix_sums(byte_codes(1)[own])
             yield row + first, starts - bounds[row], between(sums, starts, starts + block), None
@@ -57,10 +68,10 @@ def sampled_names(length: int):
     return keys_of
 
 
-def remaining(named: np.ndarray, size: int, length: int) -> Iterator[tuple[int, int]]:
-    """Ranges of the suffixes within V - 1 bytes before a named position that have ``length`` bytes."""
+def remaining(named: np.ndarray, size: int, length: int, period: int) -> Iterator[tuple[int, int]]:
+    """Ranges of the suffixes that lie less than a period before a named position and have ``length`` bytes."""
     named = np.sort(named)
-    begin, end = np.maximum(named - V + 1, 0), np.minimum(named, size - length) + 1
+    begin, end = np.maximum(named - period + 1, 0), np.minimum(named, size - length) + 1
     begin, end = begin[begin < end], end[begin < end]
     if not len(begin):
         return
@@ -68,10 +79,10 @@ def remaining(named: np.ndarray, size: int, length: int) -> Iterator[tuple[int,
     yield from zip(begin[np.concatenate([[0], cut + 1])].tolist(), np.maximum.accumulate(end)[np.append(cut, len(end) - 1)].tolist(), strict=True)
 
 
-def runs(text: bytes, named: np.ndarray, length: int) -> Iterator[tuple[int, int, int]]:
+def runs(text: bytes, named: np.ndarray, length: int, period: int) -> Iterator[tuple[int, int, int]]:
     """Remaining suffixes cut into runs with one smallest inner string: (its hash, first suffix, end of the suffixes)."""
     data = np.frombuffer(text, np.uint8)
-    for begin, end in remaining(named, len(data), length):
+    for begin, end in remaining(named, len(data), length, period):
         region = data[begin : end - 1 + length]
         sums = prefix_sums(byte_codes(1)[region])
         at = np.arange(len(region) - INNER + 1)
@@ -82,7 +93,7 @@ def runs(text: bytes, named: np.ndarray, length: int) -> Iterator[tuple[int, int
             yield int(inner[least[a]]), begin + a, begin + b
 
 
-def meet(attached: DataFrame, length: int, buckets: int) -> DataFrame:
+def meet(attached: DataFrame, length: int, period: int, buckets: int) -> DataFrame:
     """Runs of remaining suffixes with the bytes they cover, sent to the bucket of their inner string. Runs that cover
     equal bytes are sent once by a task, with all their coordinates."""
 
@@ -110,7 +121,7 @@ def meet(attached: DataFrame, length: int, buckets: int) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 key, text = batch.column("key")[i].as_py(), batch.column("text")[i].as_py().encode()
-                for inner, begin, end in runs(text, unpack(batch.column("found")[i].as_py()), length):
+                for inner, begin, end in runs(text, unpack(batch.column("found")[i].as_py()), length, period):
                     covered = text[begin : end - 1 + length]
                     contexts = held.setdefault((inner >> 33) % buckets, {})
                     if covered not in contexts:
@@ -208,20 +219,28 @@ def remove(attached: DataFrame, length: int) -> DataFrame:
     return attached.select("key", "text", "copies", "found").mapInArrow(run, SPANS)
 
 
+def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Spans of bytes covered by strings of ``length`` bytes that start more than once, one row for each distinct text:
+    (key, starts, ends, n_removed, n_spans, kept_sha256), ``key`` being ``text_key`` of the text."""
+    period = period_of(length)
+    with distinct_texts(docs) as texts:
+        size, groups = extent(texts)
+        buckets = size * len(COVERS[period]) // period // BUCKET_KEYS + 1
+        named = stage(find_repeated(texts.select("key", "text"), sampled_names(length, period), buckets, groups, exact=False), "shared-names")
+        candidates = attach(texts.select("key", "text"), named).where("found is not null")
+        merged = merge(meet(candidates, length, period, size // BUCKET_BYTES + 1), length, groups)
+        spans = stage(remove(attach(texts, merged), length), "repeated-bytes")
+    release(named)
+    return spans
+
+
 def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Spans of bytes covered by strings of ``length`` bytes that start more than once, in one text or in several:
     (doc_id, n_bytes, starts, ends, n_removed, n_spans, kept_sha256), one row for each row of ``docs``.
 
     Null and empty texts have no bytes, texts under ``length`` no spans. Texts that occur twice are repeated as a whole.
-    Strings are judged on the input. A null doc_id stays null.
+    Strings are judged on the input. A null doc_id stays null. ``length`` is 152 at least.
     """
-    texts, name = distinct_texts(docs)
-    size, groups = extent(texts)
-    named = find_repeated(texts.select("key", "text"), sampled_names(length), size * len(COVER) // V // BUCKET_KEYS + 1, groups, exact=False)
-    named = stage(named, "shared-names")
-    candidates = attach(texts.select("key", "text"), named).where("found is not null")
-    merged = merge(meet(candidates, length, size // BUCKET_BYTES + 1), length, groups)
-    spans = stage(remove(attach(texts, merged), length), "repeated-bytes")
-    forget(name, named)
+    spans = repeated_spans(docs, length)
     keys = identified(docs).select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), text_key(F.col("text")).alias("key"))
     return keys.join(spans, "key").drop("key")

@@ -128,8 +128,12 @@ def test_equal_texts_are_removed_whole(spark):
 
 
 def test_every_difference_is_covered_once():
-    found = sorted((a - b) % suffixes.V for a in suffixes.COVER for b in suffixes.COVER if a != b)
-    assert found == list(range(1, suffixes.V))
+    for period, cover in suffixes.COVERS.items():
+        found = sorted((a - b) % period for a in cover for b in cover if a != b)
+        assert found == list(range(1, period))
+    assert [suffixes.period_of(n) for n in (400, 368, 367, 230, 228, 227, 152)] == [273, 273, 133, 133, 133, 57, 57]
+    with pytest.raises(ValueError, match="too short"):
+        suffixes.period_of(151)
 
 
 def test_smallest_of_each_window():

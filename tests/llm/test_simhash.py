@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -159,58 +160,54 @@ def test_texts_below_the_share_stay_apart(spark):
     assert sum(expected[a] != expected[b] for a, b in every) > 60
 
 
-def test_entries_keep_pairs_of_unlike_leaders():
-    """Of a key that three unlike fingerprints share, the two that are alike meet though a smaller one is there."""
-    keys = np.array([7, 5, 7, 5, 7, 9], np.uint64)
-    ids = np.array([3, 2, 1, 2, 4, 8])
-    prints = np.zeros((6, 4), np.uint64)
-    prints[[0, 4]] = np.uint64(2**64 - 1)
-    prints[4, 0] = np.uint64(2**64 - 8)
-    lead, pairs = simhash.leaders(keys, ids, prints, 10)
-    assert pairs.tolist() == [[3, 4]]
-    assert sorted(zip(keys[lead].tolist(), ids[lead].tolist(), strict=True)) == [(5, 2), (7, 1), (7, 3), (9, 8)]
-    assert simhash.leaders(keys[:0], ids[:0], prints[:0], 10)[1].shape == (0, 2)
+def test_ids_are_packed_and_unpacked():
     assert simhash.whole(simhash.halves(np.array([1, 2**40 + 3]))).tolist() == [1, 2**40 + 3]
 
 
-def test_families_of_unlike_copies_match_brute_force(spark):
-    """Many copies of one template, most of them just too unlike each other; some pairs and chains among them are alike."""
+def family(templates, copies):
+    """Many copies of each template, most of them just too unlike each other; some pairs and chains among them are alike."""
     rng = random.Random(21)
-    base = [f"w{i}" for i in range(150)]
     texts = {}
-    for n in range(1100):
-        words = list(base)
-        for at in rng.sample(range(2, 148, 5), 2 if n % 10 == 0 else 4):
-            words[at] = f"own{n}x{at}"
-        texts[2 * n] = " ".join(words)
-        if n % 5 == 0:
-            words[rng.randrange(150)] = f"other{n}"
-            texts[2 * n + 1] = " ".join(words)
+    for t in range(templates):
+        base = [f"w{t}x{i}" for i in range(150)]
+        for n in range(t * copies, t * copies + copies):
+            words = list(base)
+            for at in rng.sample(range(2, 148, 5), 2 if n % 10 == 0 else 4):
+                words[at] = f"own{n}x{at}"
+            texts[2 * n] = " ".join(words)
+            if n % 5 == 0:
+                words[rng.randrange(150)] = f"other{n}"
+                texts[2 * n + 1] = " ".join(words)
+    return texts
+
+
+def brute_links(texts, least):
+    ids = sorted(texts)
     own = {i: {hash(tuple(t.split()[k : k + 5])) for k in range(len(t.split()) - 4)} for i, t in texts.items()}
-    ids = sorted(own)
-    number = {s: k for k, s in enumerate(sorted(set().union(*own.values())))}
+    spread = Counter(s for shingles in own.values() for s in shingles)
+    number = {s: k for k, s in enumerate(sorted(s for s, n in spread.items() if n > 1))}
     held = np.zeros((len(ids), len(number)), np.float32)
     for row, i in enumerate(ids):
-        held[row, [number[s] for s in own[i]]] = 1
-    common = held @ held.T
-    sizes = held.sum(axis=1)
-    alike = np.triu(common >= simhash.LEAST_SHARE * (sizes[:, None] + sizes - common), 1)
-    linked = [(ids[a], ids[b]) for a, b in zip(*np.nonzero(alike), strict=True)]
-    expected = components(ids, linked)
-    assert len(ids) > 1000 and len(linked) > 200 and len(set(expected.values())) > 100
+        held[row, [number[s] for s in own[i] if s in number]] = 1
+    sizes = np.array([len(own[i]) for i in ids], np.float32)
+    out = []
+    for first in range(0, len(ids), 1000):
+        common = held[first : first + 1000] @ held.T
+        alike = np.triu(common >= least * (sizes[first : first + 1000, None] + sizes - common), first + 1)
+        out += [(ids[first + a], ids[b]) for a, b in zip(*np.nonzero(alike), strict=True)]
+    return out
+
+
+@pytest.mark.parametrize(("templates", "copies"), [(1, 1100), (1, 11_000)])
+def test_families_of_unlike_copies(spark, templates, copies):
+    """Of the pairs that brute force finds at 0.8 or more, nine of ten end up in one group, and no others do."""
+    texts = family(templates, copies)
+    linked = brute_links(texts, simhash.LEAST_SHARE)
+    expected = components(sorted(texts), linked)
+    assert len(linked) > copies / 5 and len(set(expected.values())) > copies / 11
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    assert {r.doc_id: r.component_id for r in simhash.similar_texts(docs).collect()} == expected
-
-
-def test_prefixes_of_texts_that_share_enough_meet():
-    """Sets at and just above the share, whatever is held to be frequent."""
-    rng = np.random.default_rng(6)
-    for n in (1, 4, 5, 9, 10, 45, 300):
-        for _ in range(200):
-            common = rng.integers(1, 1 << 60, n)
-            spare = int(n / simhash.LEAST_SHARE + 1e-9) - n
-            mine = rng.integers(0, spare + 1)
-            a, b = (np.unique(np.concatenate([common, rng.integers(1 << 60, 1 << 61, k)]).astype(np.uint64)) for k in (mine, spare - mine))
-            frequent = np.unique(rng.choice(common, n // 2 + 1)).astype(np.uint64)
-            held = (frequent, rng.integers(3, 9, len(frequent)))
-            assert len(np.intersect1d(simhash.prefix(a, held, 0.8), simhash.prefix(b, held, 0.8)))
+    found = {r.doc_id: r.component_id for r in simhash.similar_texts(docs).collect()}
+    together = [found[a] == found[b] for a, b in linked]
+    print("pairs", len(together), "recall", sum(together) / len(together), "groups", len(set(found.values())), "of", len(set(expected.values())))
+    assert sum(together) >= 0.9 * len(together)
+    assert all(expected[found[i]] == expected[i] for i in found)
