@@ -361,6 +361,17 @@ ORACLES = {
 select slug, slug || '/article.md' as path, article_id, front_matter || chr(10) || r.markdown as content,
   'second' as batch_id, cast(coalesce(images_downloaded, 0) as bigint) as images
 from (select * from fronted qualify row_number() over (partition by slug order by article_id desc) = 1) f
+join rewritten r using (article_id) left join stored using (article_id)"""),
+    "publish_relanded": oracle("""
+select slug, slug || '/article.md' as path, article_id,
+  front_matter || chr(10) || r.markdown || case when article_id % 2 = 0 then chr(10) || 'more' else '' end as content,
+  case when article_id % 2 = 0 then 'second' else 'first' end as batch_id, cast(coalesce(images_downloaded, 0) as bigint) as images
+from (select * from fronted qualify row_number() over (partition by slug order by article_id) = 1) f
+join rewritten r using (article_id) left join stored using (article_id)"""),
+    "publish_late_images": oracle("""
+select slug, slug || '/article.md' as path, article_id, front_matter || chr(10) || r.markdown as content,
+  case when article_id % 2 = 0 then 'second' else 'first' end as batch_id, cast(coalesce(images_downloaded, 0) as bigint) as images
+from (select * from fronted qualify row_number() over (partition by slug order by article_id) = 1) f
 join rewritten r using (article_id) left join stored using (article_id)"""),
     "validate_urls": oracle(rf"""
 select article_id, url, case when not regexp_matches(url, '(?i)^https?:') then 'URL must start with http:// or https://'

@@ -20,7 +20,7 @@ from folioforge.plans import corpus
 from folioforge.session import configure
 from folioforge.sources import read_html_pages, read_image_responses, read_reader_responses
 from folioforge.sources.layout import evaluate_once
-from folioforge.streaming.incremental import build_corpus_incremental
+from folioforge.streaming.incremental import build_corpus_incremental, publish_batch
 
 SETTINGS = Settings()
 # Low enough for the derived tables, which hold 42 MB and 7 images per article, to be warned about.
@@ -120,6 +120,38 @@ def publish_corpus(spark, folder):
     return current.select("slug", "path", "article_id", "content", "batch_id", F.coalesce("images", F.lit(0)).alias("images"))
 
 
+def landed(spark, folder):
+    return articles(spark, folder).withColumn("fetch_class", F.lit("ok"))
+
+
+@query
+def publish_relanded(spark, folder):
+    """All articles, and then all once more, those with an even id with more text: one document each, unchanged ones
+    skipped. No image is logged again."""
+    root = new_folder(spark, "corpus")
+    first, log = landed(spark, folder), attempts(spark, folder)
+    longer = F.when(F.col("article_id") % 2 == 0, F.concat("markdown", F.lit("\nmore"))).otherwise(F.col("markdown"))
+    publish_batch(root, "first", first, log, SETTINGS)
+    publish_batch(root, "second", first.withColumn("markdown", longer), log.limit(0), SETTINGS)
+    images = publish.read_published_images(spark, root).groupBy("slug").agg(F.count(F.lit(1)).alias("images"))
+    current = publish.read_published(spark, root).join(images, "slug", "left")
+    return current.select("slug", "path", "article_id", "content", "batch_id", F.coalesce("images", F.lit(0)).alias("images"))
+
+
+@query
+def publish_late_images(spark, folder):
+    """All articles, the attempts at one image of every other article being logged only after their batch: they reach its
+    document."""
+    root = new_folder(spark, "corpus")
+    log = attempts(spark, folder)
+    late = F.col("url").contains("/hero.png") & (F.col("article_id") % 2 == 0)
+    publish_batch(root, "first", landed(spark, folder), log.filter(~late), SETTINGS)
+    publish_batch(root, "second", landed(spark, folder).limit(0), log.filter(late), SETTINGS)
+    images = publish.read_published_images(spark, root).groupBy("slug").agg(F.count(F.lit(1)).alias("images"))
+    current = publish.read_published(spark, root).join(images, "slug", "left")
+    return current.select("slug", "path", "article_id", "content", "batch_id", F.coalesce("images", F.lit(0)).alias("images"))
+
+
 # --- filters and classification
 
 

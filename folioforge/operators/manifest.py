@@ -52,8 +52,8 @@ def failed_images(judged: DataFrame) -> DataFrame:
     return judged.filter(F.col("failure").isNotNull()).select("article_id", "seq", "url", "attempts", "failure")
 
 
-def image_local_filename(judged: DataFrame) -> DataFrame:
-    """The image manifest: article_id, seq, url, filename, size_bytes of the stored images.
+def image_local_filename(judged: DataFrame, *, with_type: bool = False) -> DataFrame:
+    """The image manifest: article_id, seq, url, filename, size_bytes of the stored images, and content_type on request.
 
     Names can only collide with names that begin alike (up to the first hyphen) and share the extension, as
     the suffixes start with a hyphen. So names are settled per (article, beginning, extension); the table is
@@ -70,16 +70,17 @@ def image_local_filename(judged: DataFrame) -> DataFrame:
             "size_bytes",
             F.col("_name.base").alias("base"),
             img.extension(F.col("content_type"), F.col("_name.ext")).alias("ext"),
+            "content_type",
         )
     )
     groups = (
         named.repartition("article_id")
         .groupBy("article_id", F.substring_index("base", "-", 1).alias("_beginning"), "ext")
-        .agg(F.array_sort(F.collect_list(F.struct("seq", "url", "base", "ext", "size_bytes"))).alias("_images"))
+        .agg(F.array_sort(F.collect_list(F.struct("seq", "url", "base", "ext", "size_bytes", *(["content_type"] if with_type else [])))).alias("_images"))
         .withColumn("_names", img.local_names(F.col("_images")))
     )
     return groups.select("article_id", F.inline(F.arrays_zip("_images", "_names"))).select(
-        "article_id", "_images.seq", "_images.url", F.col("_names").alias("filename"), "_images.size_bytes"
+        "article_id", "_images.seq", "_images.url", F.col("_names").alias("filename"), "_images.size_bytes", *(["_images.content_type"] if with_type else [])
     )
 
 

@@ -1,32 +1,50 @@
 """Writing and reading a published corpus on plain files.
 
-Layout below a root folder: ``articles`` and ``images`` (one partition per batch), ``replaced`` (slugs a batch
-took over, and from which batch), and ``batches``, the log. A batch exists once its row is in the log, which
-is appended last; what a failed job leaves behind is never read and is overwritten by the next try.
+Layout below a root folder: ``articles`` and ``images`` (one partition per batch), ``replaced`` (documents a batch took
+the place of, and from which batch), ``open_images`` and ``open_attempts`` (what the next batch has to look at again), and
+``batches``, the log. A batch exists once its entry is in the log, which is made last; what a failed job leaves behind is
+never read and is overwritten by the next try.
 
-Which slugs are current is written down every ``COMPACT_EVERY`` batches (``current`` and ``covered``, logged in
+Log entries are numbered files, each made by a rename that fails if the file exists, so of two writers that are ready
+at once one gets the number. The other looks at what was logged meanwhile: if that shares no slug and no article with
+its own batch it takes the next number, else it is told to start again.
+
+Which documents are current is written down every ``COMPACT_EVERY`` batches (``current`` and ``covered``, logged in
 ``snapshots``), so that a new batch reads one such list and the few batches after it, not the whole history.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import time
+from uuid import uuid4
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-DOCUMENT = "slug string, path string, article_id bigint, content string, slug_status string, batch_id string"
-IMAGE = "article_id bigint, slug string, seq int, url string, filename string, path string, size_bytes bigint, batch_id string"
-REPLACED = "slug string, old_batch_id string, batch_id string"
-BATCH = "batch_id string, articles bigint, images bigint"
-CURRENT = "slug string, batch_id string"
+from folioforge.schemas import PREPARED
+
+DOCUMENT = (
+    "slug string, path string, article_id bigint, content string, slug_status string, wanted string, source_hash binary, "
+    f"source struct<{PREPARED}>, batch_id string"
+)
+IMAGE = "article_id bigint, slug string, seq int, url string, filename string, path string, size_bytes bigint, content_type string, batch_id string"
+REPLACED = "slug string, old_batch_id string, refused boolean, batch_id string"
+BATCH = "version bigint, batch_id string, articles bigint, images bigint"
+CURRENT = "slug string, article_id bigint, wanted string, source_hash binary, batch_id string"
 COVERED = "batch_id string"
 SNAPSHOT = "snapshot string, batches bigint"
 COMPACT_EVERY = 50
 
 
+class ConcurrentBatch(Exception):
+    """Another batch with a slug or an article of this one was published meanwhile: decide again."""
+
+
 def write_articles(documents: DataFrame, folder: str) -> None:
     """One row per document, written from the partitions the text is in: not shuffled once more for this."""
     documents.write.mode("overwrite").parquet(folder)
@@ -37,10 +55,10 @@ def write_image_manifest(manifest: DataFrame, folder: str) -> None:
     manifest.write.mode("overwrite").parquet(folder)
 
 
-def _read(spark: SparkSession, root: str, table: str, schema: str) -> DataFrame:
+def read_table(spark: SparkSession, root: str, table: str, schema: str, form: str = "parquet") -> DataFrame:
     kind = T.StructType.fromDDL(schema)
     try:
-        return spark.read.schema(kind).parquet(f"{root}/{table}")
+        return spark.read.schema(kind).format(form).load(f"{root}/{table}")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -48,101 +66,173 @@ def _read(spark: SparkSession, root: str, table: str, schema: str) -> DataFrame:
 
 
 def read_batches(spark: SparkSession, root: str) -> DataFrame:
-    return _read(spark, root, "batches", BATCH)
+    return read_table(spark, root, "batches", BATCH, "json")
+
+
+def latest_batch(spark: SparkSession, root: str) -> tuple[int, str | None]:
+    """Number and id of the last entry of the log; 0 and None if there is none."""
+    last = read_batches(spark, root).agg(F.max(F.struct("version", "batch_id")).alias("last")).first().last
+    return (last.version, last.batch_id) if last else (0, None)
 
 
 def _logged(spark: SparkSession, root: str, table: str, schema: str) -> DataFrame:
     batches = read_batches(spark, root).select("batch_id")
-    return _read(spark, root, table, schema).join(batches, "batch_id", "left_semi")
+    return read_table(spark, root, table, schema).join(batches, "batch_id", "left_semi")
+
+
+def read_of_batch(spark: SparkSession, root: str, table: str, batch_id: str | None, schema: str) -> DataFrame:
+    """The part of a table that one batch wrote; empty for None."""
+    return read_table(spark, root, f"{table}/batch_id={batch_id}" if batch_id else "none", schema)
 
 
 def _snapshot(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """The latest list of current slugs, and the batches that it covers."""
+    """The latest list of current documents, and the batches that it covers."""
     # One row for each COMPACT_EVERY batches, of which one is taken.
-    latest = _read(spark, root, "snapshots", SNAPSHOT).orderBy(F.desc("batches"), "snapshot").first()
+    latest = read_table(spark, root, "snapshots", SNAPSHOT).orderBy(F.desc("batches"), "snapshot").first()
     name = f"snapshot={latest.snapshot}" if latest else "snapshot=none"
-    return _read(spark, root, f"current/{name}", CURRENT), _read(spark, root, f"covered/{name}", COVERED)
+    return read_table(spark, root, f"current/{name}", CURRENT), read_table(spark, root, f"covered/{name}", COVERED)
 
 
-def read_current_slugs(spark: SparkSession, root: str) -> DataFrame:
-    """(slug, batch_id) of the current documents: the latest list, and what the batches after it changed."""
+def read_current(spark: SparkSession, root: str) -> DataFrame:
+    """(slug, article_id, wanted, source_hash, batch_id) of the current documents: the latest list, and what the
+    batches after it changed."""
     known, covered = _snapshot(spark, root)
     newer = read_batches(spark, root).select("batch_id").join(covered, "batch_id", "left_anti")
-    added = _read(spark, root, "articles", DOCUMENT).select("slug", "batch_id").join(newer, "batch_id", "left_semi")
-    replaced = _read(spark, root, "replaced", REPLACED).join(newer, "batch_id", "left_semi")
+    columns = known.columns
+    added = read_table(spark, root, "articles", DOCUMENT).select(*columns).join(newer, "batch_id", "left_semi")
+    replaced = read_table(spark, root, "replaced", REPLACED).join(newer, "batch_id", "left_semi")
     gone = replaced.select("slug", F.col("old_batch_id").alias("batch_id"))
-    return known.unionByName(added.select("slug", "batch_id")).join(gone, ["slug", "batch_id"], "left_anti")
+    return known.unionByName(added.select(*columns)).join(gone, ["slug", "batch_id"], "left_anti").select(*columns)
+
+
+def read_current_slugs(spark: SparkSession, root: str) -> DataFrame:
+    return read_current(spark, root).select("slug", "batch_id")
 
 
 def compact(spark: SparkSession, root: str, every: int = 1) -> bool:
-    """Write down which slugs are current, if at least ``every`` batches came since the last time."""
+    """Write down which documents are current, if at least ``every`` batches came since the last time."""
     batches = read_batches(spark, root).select("batch_id")
     total = batches.count()
-    # Batches are never removed, so none need be looked at before there are enough of them.
+    # Entries are never removed, so none need be looked at before there are enough of them.
     if total < every or total - _snapshot(spark, root)[1].count() < every:
         return False
-    name = f"{total:012d}"
-    read_current_slugs(spark, root).write.mode("overwrite").parquet(f"{root}/current/snapshot={name}")
-    batches.write.mode("overwrite").parquet(f"{root}/covered/snapshot={name}")
-    entry = spark.createDataFrame([(name, total)], T.StructType.fromDDL(SNAPSHOT))
+    # The list covers the batches that were logged when it was begun, so they are written down first.
+    name = f"{total:012d}-{uuid4().hex}"
+    batches.write.parquet(f"{root}/covered/snapshot={name}")
+    covered = read_table(spark, root, f"covered/snapshot={name}", COVERED)
+    seen = covered.count()
+    known, before = _snapshot(spark, root)
+    newer = covered.join(before, "batch_id", "left_anti")
+    added = read_table(spark, root, "articles", DOCUMENT).select(*known.columns).join(newer, "batch_id", "left_semi")
+    gone = read_table(spark, root, "replaced", REPLACED).join(newer, "batch_id", "left_semi").select("slug", F.col("old_batch_id").alias("batch_id"))
+    current = known.unionByName(added.select(*known.columns)).join(gone, ["slug", "batch_id"], "left_anti")
+    current.select(*known.columns).write.parquet(f"{root}/current/snapshot={name}")
+    entry = spark.createDataFrame([(name, seen)], T.StructType.fromDDL(SNAPSHOT))
     entry.coalesce(1).write.mode("append").parquet(f"{root}/snapshots")
     return True
 
 
 def read_published(spark: SparkSession, root: str) -> DataFrame:
-    """Current documents: those of logged batches whose slug no later batch replaced."""
-    current = _read(spark, root, "articles", DOCUMENT).join(read_current_slugs(spark, root), ["slug", "batch_id"], "left_semi")
-    return current.select(*[c for c in current.columns if c != "slug_status"])
+    """Current documents: those of logged batches that no later batch replaced."""
+    shown = ["slug", "path", "article_id", "content", "batch_id"]
+    documents = read_table(spark, root, "articles", DOCUMENT).select(*shown)
+    return documents.join(read_current_slugs(spark, root), ["slug", "batch_id"], "left_semi").select(*shown)
 
 
 def read_published_images(spark: SparkSession, root: str) -> DataFrame:
     """Current images: those of the current documents."""
-    current = read_published(spark, root).select("slug", "batch_id")
-    return _logged(spark, root, "images", IMAGE).join(current, ["slug", "batch_id"], "left_semi")
+    return _logged(spark, root, "images", IMAGE).join(read_current_slugs(spark, root), ["slug", "batch_id"], "left_semi")
 
 
-def _checked(batch_id: str) -> str:
+def checked(batch_id: str) -> str:
     """Batch ids are parts of paths: letters, digits, ``.``, ``_`` and ``-``, the first a letter or digit."""
     if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]*", batch_id):
         raise ValueError(f"not a batch id: {batch_id!r}")
     return batch_id
 
 
-def publish_corpus(root: str, batch_id: str, corpus: DataFrame, manifest: DataFrame, *, overwrite: bool = False) -> bool:
+def _file_system(spark: SparkSession, path: str):
+    """A path of Hadoop's, and the file system that it is on."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _commit(spark: SparkSession, root: str, version: int, batch_id: str, articles: int, images: int) -> bool:
+    """Make the log entry of that number, unless there is one."""
+    target, files = _file_system(spark, f"{root}/batches/{version:012d}.json")
+    ready, _ = _file_system(spark, f"{root}/commits/{uuid4().hex}.json")
+    files.mkdirs(target.getParent())
+    stream = files.create(ready, False)
+    stream.write(bytearray(json.dumps({"version": version, "batch_id": batch_id, "articles": articles, "images": images}).encode()))
+    stream.close()
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        context.rename(files.makeQualified(ready), files.makeQualified(target), options)
+    except Py4JJavaError as error:
+        if "FileAlreadyExistsException" not in error.java_exception.getClass().getName():
+            raise
+        files.delete(ready, False)
+        return False
+    return True
+
+
+def publish_corpus(
+    root: str, batch_id: str, corpus: DataFrame, manifest: DataFrame, *, overwrite: bool = False, sources: DataFrame | None = None
+) -> bool:
     """Publish the documents and images of a batch, all or nothing. False if the batch is logged already.
 
     ``corpus`` is the result of ``plans.corpus.build_corpus`` against ``read_published(root)``. The document
     text is computed once, while it is written; image and replacement tables are derived from what was
-    written. One writer per root at a time.
+    written. Several writers may publish at once, each under a batch id of its own: one whose batch shares a slug or an
+    article with a batch that was logged since it began raises ``ConcurrentBatch``.
+
+    An article and a slug have at most one current document each, whatever the corpus was built against: which documents
+    are replaced is decided by what is current when the batch is written. A document takes the place of its
+    article's current one, under whatever slug that is. It takes that of another article under its slug if its status is ``replaces``,
+    or any does with ``overwrite``; else the batch is refused, as is one that holds a slug or an article twice.
 
-    A slug has at most one current document, whatever the corpus was built against: which documents are
-    replaced is decided by what is current when the batch is written. A document takes the place of a current
-    one if its status is ``replaces``, or any does with ``overwrite``. A batch in which another one meets a current slug, or two
-    share a slug, is refused.
+    ``sources`` (article_id, wanted, source_hash) says which slug an article asked for and what its text was made from,
+    for later batches to compare; ``operators.identity`` does.
     """
     spark = corpus.sparkSession
-    batch_id = _checked(batch_id)
+    batch_id = checked(batch_id)
     if not read_batches(spark, root).filter(F.col("batch_id") == batch_id).isEmpty():
         return False
+    base, _ = latest_batch(spark, root)
     articles, images, replaced = (f"{root}/{table}/batch_id={batch_id}" for table in ("articles", "images", "replaced"))
+    if sources is not None:
+        corpus = corpus.join(sources.select("article_id", "wanted", "source_hash"), "article_id", "left")
+    given = {name: F.col(name) if name in corpus.columns else F.lit(None) for name in ("wanted", "source_hash", "source")}
+    kinds = {field.name: field.dataType for field in T.StructType.fromDDL(DOCUMENT)}
     ready = corpus.filter(F.col("slug").isNotNull()).select(
-        "slug", F.concat("slug", F.lit("/article.md")).alias("path"), "article_id", "content", "slug_status"
+        "slug",
+        F.concat("slug", F.lit("/article.md")).alias("path"),
+        "article_id",
+        "content",
+        "slug_status",
+        F.coalesce(given["wanted"], F.col("slug")).alias("wanted"),
+        *[given[name].cast(kinds[name]).alias(name) for name in ("source_hash", "source")],
     )
     write_articles(ready, articles)
-    written = spark.read.schema(ready.schema).parquet(articles).drop("path", "content")
-    documents, slugs = written.agg(F.count(F.lit(1)), F.count_distinct("slug")).first()
+    written = spark.read.schema(ready.schema).parquet(articles).select("article_id", "slug", "slug_status")
+    documents, slugs, ids = written.agg(F.count(F.lit(1)), F.count_distinct("slug"), F.count_distinct("article_id")).first()
     if slugs < documents:
         raise ValueError(f"batch {batch_id} holds a slug twice")
-
-    earlier = read_current_slugs(spark, root).withColumnRenamed("batch_id", "old_batch_id")
-    met = written.select("slug", "slug_status").join(earlier, "slug")
+    if ids < documents:
+        raise ValueError(f"batch {batch_id} holds an article twice")
+
+    earlier = read_current(spark, root).select("slug", "article_id", F.col("batch_id").alias("old_batch_id"))
+    others = written.select("slug", F.col("article_id").alias("by"), "slug_status")
+    refused = (F.col("article_id") != F.col("by")) & (F.col("slug_status") != "replaces")
+    met = earlier.join(others, "slug").select("slug", "old_batch_id", refused.alias("refused"))
+    own = earlier.join(written.select("article_id"), "article_id").select("slug", "old_batch_id", F.lit(False).alias("refused"))
     # Written also without rows: a file that an earlier try of this batch left would count.
-    met.select("slug", "old_batch_id", "slug_status").write.mode("overwrite").parquet(replaced)
-    if not overwrite:
-        kept = spark.read.schema(f"{REPLACED.rsplit(',', 1)[0]}, slug_status string").parquet(replaced)
-        if not kept.filter("slug_status <> 'replaces'").isEmpty():
-            raise ValueError(f"batch {batch_id} meets published slugs that it does not replace")
+    met.union(own).groupBy("slug", "old_batch_id").agg(F.max("refused").alias("refused")).write.mode("overwrite").parquet(replaced)
+    if not overwrite and not read_of_batch(spark, root, "replaced", batch_id, REPLACED).filter("refused").isEmpty():
+        raise ValueError(f"batch {batch_id} meets published slugs that it does not replace")
 
+    kind = F.col("content_type") if "content_type" in manifest.columns else F.lit(None).cast("string")
     placed = manifest.join(written.drop("slug_status"), "article_id").select(
         "article_id",
         "slug",
@@ -151,10 +241,54 @@ def publish_corpus(root: str, batch_id: str, corpus: DataFrame, manifest: DataFr
         "filename",
         F.concat("slug", F.lit("/images/"), "filename").alias("path"),
         "size_bytes",
+        kind.alias("content_type"),
     )
     write_image_manifest(placed, images)
-    stored = spark.read.schema(placed.schema).parquet(images)
-    entry = [(batch_id, documents, stored.count())]
-    spark.createDataFrame(entry, T.StructType.fromDDL(BATCH)).coalesce(1).write.mode("append").parquet(f"{root}/batches")
+    stored = spark.read.schema(placed.schema).parquet(images).count()
+    while not _commit(spark, root, base + 1, batch_id, documents, stored):
+        newer = read_batches(spark, root).filter(F.col("version") > base).select("batch_id")
+        theirs = read_table(spark, root, "articles", DOCUMENT).select("slug", "article_id", "batch_id").join(newer, "batch_id", "left_semi")
+        if not newer.filter(F.col("batch_id") == batch_id).isEmpty():
+            return False
+        if not all(theirs.join(written, key, "left_semi").isEmpty() for key in ("slug", "article_id")):
+            raise ConcurrentBatch(batch_id)
+        base, _ = latest_batch(spark, root)
     compact(spark, root, COMPACT_EVERY)
     return True
+
+
+def vacuum(spark: SparkSession, root: str, retention_seconds: int = 7 * 24 * 3600) -> list[str]:
+    """Remove what no reader can reach any more and was last written that long ago; returns the removed paths.
+
+    Reachable are the documents and images of batches that hold a current document, the latest list of current documents, the
+    open work of the latest batch, and everything of batches that were logged since that list. What goes: batches of which
+    every document was replaced, what failed tries left, and older lists. A reader that started before must be done within the
+    retention. Reads the log and lists folders, one for each batch; a batch that holds one current document stays whole.
+    """
+    compact(spark, root)
+    logged = {r.batch_id for r in read_batches(spark, root).select("batch_id").collect()}
+    covered = {r.batch_id for r in _snapshot(spark, root)[1].collect()}
+    live = {r.batch_id for r in read_current(spark, root).select("batch_id").distinct().collect()}
+    newer = logged - covered
+    latest = latest_batch(spark, root)[1]
+    newest = read_table(spark, root, "snapshots", SNAPSHOT).orderBy(F.desc("batches"), "snapshot").first()
+    snapshot = {newest.snapshot} if newest else set()
+    reachable = {
+        "articles": live | newer, "images": live | newer, "replaced": newer,
+        "open_images": {latest}, "open_attempts": {latest}, "current": snapshot, "covered": snapshot, "commits": set(),
+    }
+    oldest = (time.time() - retention_seconds) * 1000
+    removed = []
+    for table, kept in reachable.items():
+        folder, files = _file_system(spark, f"{root}/{table}")
+        if not files.exists(folder):
+            continue
+        for status in files.listStatus(folder):
+            path = status.getPath()
+            if path.getName().split("=", 1)[-1] in kept:
+                continue
+            inside = files.listStatus(path) if status.isDirectory() else []
+            if max([status.getModificationTime(), *(own.getModificationTime() for own in inside)]) <= oldest:
+                files.delete(path, True)
+                removed.append(f"{table}/{path.getName()}")
+    return sorted(removed)

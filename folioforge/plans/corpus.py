@@ -40,6 +40,7 @@ def image_manifest(
     settings: Settings = Settings(),
     redirects: DataFrame | None = None,
     decisions: DataFrame | None = None,
+    with_type: bool = False,
 ) -> DataFrame:
     """Stored images of the prepared articles, with their local names; with ``decisions``, of accepted articles only."""
     if decisions is not None:
@@ -47,7 +48,7 @@ def image_manifest(
         prepared = prepared.select("article_id", "images").join(accepted, "article_id", "left_semi")
     if redirects is not None:
         attempts = apply_redirects(attempts, redirects, settings)
-    return mf.image_local_filename(mf.judge_images(explode_images(prepared), attempts, settings))
+    return mf.image_local_filename(mf.judge_images(explode_images(prepared), attempts, settings), with_type=with_type)
 
 
 def build_corpus(
@@ -61,6 +62,7 @@ def build_corpus(
     manifest: DataFrame | None = None,
     decisions: DataFrame | None = None,
     batch_id: str | None = None,
+    keep_source: bool = False,
 ) -> DataFrame:
     """Finish prepared articles (``operators.documents.prepare_articles``).
 
@@ -73,7 +75,13 @@ def build_corpus(
     Only ids, slugs and urls take part in the conflict and image branches. The text is partitioned by
     article_id once, and both branches arrive partitioned the same way. Pass a staged ``prepared`` at scale,
     so that the branches do not parse the raw pages again.
+
+    ``keep_source`` adds ``source``, the prepared article, to documents some of whose images failed: enough to build them
+    again when those arrive.
     """
+    own = F.struct(*[F.col(name).alias(name) for name in prepared.columns])
+    if keep_source:
+        prepared = prepared.withColumn("_source", F.when(F.size("images") > 0, own))
     if decisions is None:
         decisions = decide_slugs(prepared, settings, policy=policy, published=published, batch_id=batch_id)
     if manifest is None:
@@ -100,6 +108,7 @@ def build_corpus(
         failed.alias("images_failed"),
         F.coalesce("image_bytes", F.lit(0).cast("bigint")).alias("image_bytes"),
         F.when(F.col("final_slug").isNotNull(), assemble(F.col("front_matter"), text)).alias("content"),
+        *([F.when(failed > 0, F.col("_source")).alias("source")] if keep_source else []),
     )
 
 

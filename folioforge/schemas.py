@@ -39,6 +39,12 @@ IMAGE_ATTEMPT = _table(
     size_bytes=LONG,
 )
 
+# What ``prepare_articles`` makes of an article, as DDL.
+PREPARED = (
+    "article_id: bigint, source_url: string, slug: string, title: string, front_matter: string, markdown: string, "
+    "refs: array<struct<pos: int, alt: string, url: string, original_match: string>>, images: array<struct<seq: int, url: string>>"
+)
+
 REDIRECT = _table(src=STR, location=STR)
 
 IMAGE_MANIFEST = _table(article_id=LONG, seq=INT, url=STR, filename=STR, size_bytes=LONG)
