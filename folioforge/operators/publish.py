@@ -37,7 +37,6 @@ REPLACED = "slug string, old_batch_id string, refused boolean, batch_id string"
 BATCH = "version bigint, batch_id string, articles bigint, images bigint"
 CURRENT = "slug string, article_id bigint, wanted string, source_hash binary, batch_id string"
 COVERED = "batch_id string"
-SNAPSHOT = "snapshot string, batches bigint"
 COMPACT_EVERY = 50
 
 
@@ -70,10 +69,26 @@ def read_batches(spark: SparkSession, root: str) -> DataFrame:
     return read_table(spark, root, "batches", BATCH, "json")
 
 
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder of the log, hidden ones left out; none if there is no such folder."""
+    path, files = _file_system(spark, folder)
+    if not files.exists(path):
+        return []
+    return sorted(name for name in (status.getPath().getName() for status in files.listStatus(path)) if name[0] not in "._")
+
+
 def latest_batch(spark: SparkSession, root: str) -> tuple[int, str | None]:
     """Number and id of the last entry of the log; 0 and None if there is none."""
-    last = read_batches(spark, root).agg(F.max(F.struct("version", "batch_id")).alias("last")).first().last
-    return (last.version, last.batch_id) if last else (0, None)
+    names = _names(spark, f"{root}/batches")
+    if not names:
+        return 0, None
+    path, files = _file_system(spark, f"{root}/batches/{names[-1]}")
+    stream = files.open(path)
+    try:
+        entry = json.loads(bytes(stream.readAllBytes()))
+    finally:
+        stream.close()
+    return entry["version"], entry["batch_id"]
 
 
 def _logged(spark: SparkSession, root: str, table: str, schema: str) -> DataFrame:
@@ -81,6 +96,10 @@ def _logged(spark: SparkSession, root: str, table: str, schema: str) -> DataFram
     return read_table(spark, root, table, schema).join(batches, "batch_id", "left_semi")
 
 
+def is_logged(spark: SparkSession, root: str, batch_id: str) -> bool:
+    return not read_batches(spark, root).filter(F.col("batch_id") == batch_id).isEmpty()
+
+
 def read_of_batch(spark: SparkSession, root: str, table: str, batch_id: str | None, schema: str) -> DataFrame:
     """The part of a table that one batch wrote; empty for None."""
     return read_table(spark, root, f"{table}/batch_id={batch_id}" if batch_id else "none", schema)
@@ -88,9 +107,8 @@ def read_of_batch(spark: SparkSession, root: str, table: str, batch_id: str | No
 
 def _snapshot(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """The latest list of current documents, and the batches that it covers."""
-    # One row for each COMPACT_EVERY batches, of which one is taken.
-    latest = read_table(spark, root, "snapshots", SNAPSHOT).orderBy(F.desc("batches"), "snapshot").first()
-    name = f"snapshot={latest.snapshot}" if latest else "snapshot=none"
+    # One file for each COMPACT_EVERY batches, of which the last is taken.
+    name = f"snapshot={(_names(spark, f'{root}/snapshots') or ['none'])[-1]}"
     return read_table(spark, root, f"current/{name}", CURRENT), read_table(spark, root, f"covered/{name}", COVERED)
 
 
@@ -112,24 +130,23 @@ def read_current_slugs(spark: SparkSession, root: str) -> DataFrame:
 
 def compact(spark: SparkSession, root: str, every: int = 1) -> bool:
     """Write down which documents are current, if at least ``every`` batches came since the last time."""
-    batches = read_batches(spark, root).select("batch_id")
-    total = batches.count()
-    # Entries are never removed, so none need be looked at before there are enough of them.
-    if total < every or total - _snapshot(spark, root)[1].count() < every:
+    # Entries are never removed, and the last one's number is how many there are; a list is named by how many it covers.
+    total, listed = latest_batch(spark, root)[0], _names(spark, f"{root}/snapshots")[-1:]
+    if total - (int(listed[0].split("-")[0]) if listed else 0) < every:
         return False
+    batches = read_batches(spark, root).select("batch_id")
     # The list covers the batches that were logged when it was begun, so they are written down first.
     name = f"{total:012d}-{uuid4().hex}"
     batches.write.parquet(f"{root}/covered/snapshot={name}")
     covered = read_table(spark, root, f"covered/snapshot={name}", COVERED)
-    seen = covered.count()
     known, before = _snapshot(spark, root)
     newer = covered.join(before, "batch_id", "left_anti")
     added = read_table(spark, root, "articles", DOCUMENT).select(*known.columns).join(newer, "batch_id", "left_semi")
     gone = read_table(spark, root, "replaced", REPLACED).join(newer, "batch_id", "left_semi").select("slug", F.col("old_batch_id").alias("batch_id"))
     current = known.unionByName(added.select(*known.columns)).join(gone, ["slug", "batch_id"], "left_anti")
     current.select(*known.columns).write.parquet(f"{root}/current/snapshot={name}")
-    entry = spark.createDataFrame([(name, seen)], T.StructType.fromDDL(SNAPSHOT))
-    entry.coalesce(1).write.mode("append").parquet(f"{root}/snapshots")
+    done, files = _file_system(spark, f"{root}/snapshots/{name}")
+    files.create(done, False).close()
     return True
 
 
@@ -179,7 +196,14 @@ def _commit(spark: SparkSession, root: str, version: int, batch_id: str, article
 
 
 def publish_corpus(
-    root: str, batch_id: str, corpus: DataFrame, manifest: DataFrame, *, overwrite: bool = False, sources: DataFrame | None = None
+    root: str,
+    batch_id: str,
+    corpus: DataFrame,
+    manifest: DataFrame,
+    *,
+    overwrite: bool = False,
+    sources: DataFrame | None = None,
+    against: int | None = None,
 ) -> bool:
     """Publish the documents and images of a batch, all or nothing. False if the batch is logged already.
 
@@ -194,13 +218,14 @@ def publish_corpus(
     or any does with ``overwrite``; else the batch is refused, as is one that holds a slug or an article twice.
 
     ``sources`` (article_id, wanted, source_hash) says which slug an article asked for and what its text was made from,
-    for later batches to compare; ``operators.identity`` does.
+    for later batches to compare; ``operators.identity`` does. ``against`` is the number of the last log entry when the
+    slugs were decided: a batch logged since then counts as published meanwhile.
     """
     spark = corpus.sparkSession
     batch_id = checked(batch_id)
-    if not read_batches(spark, root).filter(F.col("batch_id") == batch_id).isEmpty():
+    if is_logged(spark, root, batch_id):
         return False
-    base, _ = latest_batch(spark, root)
+    base = latest_batch(spark, root)[0] if against is None else against
     articles, images, replaced = (f"{root}/{table}/batch_id={batch_id}" for table in ("articles", "images", "replaced"))
     if sources is not None:
         corpus = corpus.join(sources.select("article_id", "wanted", "source_hash"), "article_id", "left")
@@ -231,6 +256,8 @@ def publish_corpus(
     # Written also without rows: a file that an earlier try of this batch left would count.
     met.union(own).groupBy("slug", "old_batch_id").agg(F.max("refused").alias("refused")).write.mode("overwrite").parquet(replaced)
     if not overwrite and not read_of_batch(spark, root, "replaced", batch_id, REPLACED).filter("refused").isEmpty():
+        if latest_batch(spark, root)[0] > base and against is not None:
+            raise ConcurrentBatch(batch_id)
         raise ValueError(f"batch {batch_id} meets published slugs that it does not replace")
 
     kind = F.col("content_type") if "content_type" in manifest.columns else F.lit(None).cast("string")
@@ -272,8 +299,7 @@ def vacuum(spark: SparkSession, root: str, retention_seconds: int = 7 * 24 * 360
     live = {r.batch_id for r in read_current(spark, root).select("batch_id").distinct().collect()}
     newer = logged - covered
     latest = latest_batch(spark, root)[1]
-    newest = read_table(spark, root, "snapshots", SNAPSHOT).orderBy(F.desc("batches"), "snapshot").first()
-    snapshot = {newest.snapshot} if newest else set()
+    snapshot = set(_names(spark, f"{root}/snapshots")[-1:])
     reachable = {
         "articles": live | newer, "images": live | newer, "replaced": newer,
         "open_images": {latest}, "open_attempts": {latest}, "current": snapshot, "covered": snapshot, "commits": set(),

@@ -34,6 +34,7 @@ def stage(table: DataFrame, name: str) -> DataFrame:
     folder = new_folder(table.sparkSession, name)
     table.write.parquet(folder)
     reader = table.sparkSession.read.schema(table.schema).parquet(folder)
+    # Where it lies, for ``release``.
     reader.staged_in = folder
     return reader
 

@@ -63,7 +63,7 @@ def publish_batch(
 def _publish(root, batch_id, prepared, attempts, settings, policy, redirects, open_batches) -> bool:
     spark = prepared.sparkSession
     batch_id = publish.checked(batch_id)
-    if not publish.read_batches(spark, root).filter(F.col("batch_id") == batch_id).isEmpty():
+    if publish.is_logged(spark, root, batch_id):
         return False
     version, before = publish.latest_batch(spark, root)
     version += 1
@@ -79,19 +79,22 @@ def _publish(root, batch_id, prepared, attempts, settings, policy, redirects, op
     fresh = stage(fresh.withColumn("since", F.lit(version).cast("bigint")), "fresh")
     documents = current.select("article_id", "slug", "wanted", F.col("batch_id").alias("doc_batch_id"))
     open_before = publish.read_of_batch(spark, root, "open_images", before, OPEN_IMAGES).join(documents, ["article_id", "slug", "doc_batch_id"])
-    open_before = stage(open_before.join(fresh.filter("final_slug is not null"), "article_id", "left_anti"), "open-images")
-    # A changed article that was refused keeps its document as it is, and open.
-    woken = open_before.join(arrived.filter(F.col("since") == version).select("article_id").distinct(), "article_id", "left_semi")
-    woken = woken.join(fresh, "article_id", "left_anti")
-    again = woken.select("article_id", F.col("wanted").alias("slug"), F.col("slug").alias("final_slug"), F.lit("updated").alias("slug_status"), "source_hash", "since")
-    decisions = stage(fresh.unionByName(again), "decisions")
-
-    # The sources of documents that are looked at again lie beside them, in the partitions of their batches.
-    places = woken.select("article_id", "slug", F.col("doc_batch_id").alias("batch_id"))
-    kept = publish.read_table(spark, root, "articles", publish.DOCUMENT).filter("source is not null").select("article_id", "slug", "batch_id", "source")
-    sources = kept.join(places, ["article_id", "slug", "batch_id"], "left_semi").select("source.*")
+    open_before = open_before.join(fresh.filter("final_slug is not null"), "article_id", "left_anti")
+    open_before = open_before if before is None else stage(open_before, "open-images")
+    anything_open = before is not None and not open_before.isEmpty()
     plain = prepared.drop("source_hash")
-    ready = plain.unionByName(sources.join(compared.select("article_id"), "article_id", "left_anti"))
+    woken, decisions, ready = open_before.limit(0), fresh, plain
+    if anything_open:
+        # A changed article that was refused keeps its document as it is, and open.
+        woken = open_before.join(arrived.filter(F.col("since") == version).select("article_id").distinct(), "article_id", "left_semi")
+        woken = woken.join(fresh, "article_id", "left_anti")
+        again = woken.select("article_id", F.col("wanted").alias("slug"), F.col("slug").alias("final_slug"), F.lit("updated").alias("slug_status"), "source_hash", "since")
+        decisions = stage(fresh.unionByName(again), "decisions")
+        # The sources of documents that are looked at again lie beside them, in the partitions of their batches.
+        places = woken.select("article_id", "slug", F.col("doc_batch_id").alias("batch_id"))
+        kept = publish.read_table(spark, root, "articles", publish.DOCUMENT).filter("source is not null").select("article_id", "slug", "batch_id", "source")
+        sources = kept.join(places, ["article_id", "slug", "batch_id"], "left_semi").select("source.*")
+        ready = plain.unionByName(sources.join(compared.select("article_id"), "article_id", "left_anti"))
 
     # What a changed article had stored needs no new attempt.
     changed = compared.filter("change = 'changed'").select("article_id", F.col("current_slug").alias("slug"), F.col("current_batch_id").alias("batch_id"))
@@ -99,24 +102,25 @@ def _publish(root, batch_id, prepared, attempts, settings, policy, redirects, op
     had = had.select("article_id", "url", F.lit(1).alias("attempt"), F.lit(200).alias("http_status"), F.lit(None).cast("string").alias("error_kind"), "content_type", "size_bytes")
     manifest = stage(image_manifest(ready, arrived.select(*names).unionByName(had), settings, redirects, decisions, with_type=True), "manifest")
 
-    gained = manifest.groupBy("article_id").agg(F.count(F.lit(1)).alias("now")).join(woken.select("article_id", "stored"), "article_id").filter("now > stored")
-    idle = woken.join(gained, "article_id", "left_anti").select("article_id")
-    decisions_now = stage(decisions.join(idle, "article_id", "left_anti"), "decided")
-    found = ready.select("article_id", F.size("images").alias("images_found"))
-    opened = still_open(decisions_now, found, manifest, batch_id)
-    touched = decisions_now.filter("final_slug is not null").select("article_id")
+    decided = decisions
+    if anything_open:
+        # Documents for which nothing new could be stored stay as they are.
+        gained = manifest.groupBy("article_id").agg(F.count(F.lit(1)).alias("now")).join(woken.select("article_id", "stored"), "article_id").filter("now > stored")
+        idle = woken.join(gained, "article_id", "left_anti").select("article_id")
+        decided = stage(decisions.join(idle, "article_id", "left_anti"), "decided")
+    touched = decided.filter("final_slug is not null").select("article_id")
+    opened = still_open(decided, ready.select("article_id", F.size("images").alias("images_found")), manifest, batch_id)
     untouched = open_before.drop("wanted").join(touched, "article_id", "left_anti")
-    open_images = stage(opened.unionByName(untouched).filter(F.col("since") > version - open_batches), "open-now")
-    open_images.write.mode("overwrite").parquet(f"{root}/open_images/batch_id={batch_id}")
-    published = current.select("article_id").union(touched)
-    unknown = arrived.join(published, "article_id", "left_anti").filter(F.col("since") > version - open_batches)
-    needed = arrived.join(open_images.select("article_id"), "article_id", "left_semi")
-    unknown.unionByName(needed).write.mode("overwrite").parquet(f"{root}/open_attempts/batch_id={batch_id}")
-
-    corpus = build_corpus(ready, attempts, settings, manifest=manifest, decisions=decisions_now.drop("source_hash", "since"), keep_source=True)
-    wanted = decisions_now.select("article_id", F.col("slug").alias("wanted"), "source_hash")
-    done = publish.publish_corpus(root, batch_id, corpus, manifest, sources=wanted)
-    release(arrived, compared, fresh, open_before, decisions, manifest, decisions_now, open_images)
+    recent = F.col("since") > version - open_batches
+    opened.unionByName(untouched).filter(recent).write.mode("overwrite").parquet(f"{root}/open_images/batch_id={batch_id}")
+    open_now = publish.read_of_batch(spark, root, "open_images", batch_id, OPEN_IMAGES).select("article_id")
+    unknown = arrived.join(current.select("article_id").union(touched), "article_id", "left_anti").filter(recent)
+    unknown.unionByName(arrived.join(open_now, "article_id", "left_semi")).write.mode("overwrite").parquet(f"{root}/open_attempts/batch_id={batch_id}")
+
+    corpus = build_corpus(ready, attempts, settings, manifest=manifest, decisions=decided.drop("source_hash", "since"), keep_source=True)
+    wanted = decided.select("article_id", F.col("slug").alias("wanted"), "source_hash")
+    done = publish.publish_corpus(root, batch_id, corpus, manifest, sources=wanted, against=version - 1)
+    release(*{id(table): table for table in (arrived, compared, fresh, open_before, decisions, manifest, decided) if hasattr(table, "staged_in")}.values())
     return done
 
 
