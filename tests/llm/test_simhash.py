@@ -198,7 +198,7 @@ def brute_links(texts, least):
     return out
 
 
-@pytest.mark.parametrize(("templates", "copies"), [(1, 1100), (1, 11_000)])
+@pytest.mark.parametrize(("templates", "copies"), [(1, 1100), (2, 1100)])
 def test_families_of_unlike_copies(spark, templates, copies):
     """Of the pairs that brute force finds at 0.8 or more, nine of ten end up in one group, and no others do."""
     texts = family(templates, copies)
@@ -208,6 +208,5 @@ def test_families_of_unlike_copies(spark, templates, copies):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     found = {r.doc_id: r.component_id for r in simhash.similar_texts(docs).collect()}
     together = [found[a] == found[b] for a, b in linked]
-    print("pairs", len(together), "recall", sum(together) / len(together), "groups", len(set(found.values())), "of", len(set(expected.values())))
     assert sum(together) >= 0.9 * len(together)
     assert all(expected[found[i]] == expected[i] for i in found)
