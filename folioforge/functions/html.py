@@ -1,6 +1,6 @@
 """HTML page to markdown, in passes over the whole page.
 
-Every pass is linear in the length of the page. Elements are removed from the part of the page that ends with their
+Every pass is about linear in the length of the page. Elements are removed from the part of the page that ends with their
 last closing tag, so that each opening tag met there finds a closing one; a tag's pattern ends at the next ``<`` outside
 quotes; and what is replaced by something that depends on it is cut out, changed and put back together.
 """
@@ -26,11 +26,15 @@ ANY_REST = rf"(?:{REST}|[^<>]*+>)"
 
 # Elements that hold no text of the page: (opening tag, closing tag).
 UNSEEN = (("<!--", "-->"), *((rf"<{tag}\b", rf"</{tag}\s*+>") for tag in ("script", "style", "noscript", "template")))
-BOILERPLATE = (
-    *((rf"<{tag}\b", rf"</{tag}\s*+>") for tag in ("nav", "footer", "aside", "form")),
-    # An advertisement ends with the first closing tag of its kind, also if it holds another division.
-    (r"""<div\b[^<>]*?\sclass\s*=\s*["']?(?:[^"'<>]*\s)?(?:ad|ads|advert|advertisement)(?=[\s"'>])[^<>]*+>""", r"</div\s*+>"),
-)
+BOILERPLATE = tuple((rf"<{tag}\b", rf"</{tag}\s*+>") for tag in ("nav", "footer", "aside", "form"))
+ADVERTISEMENT = r"""(?i)<div\b[^<>]*?\sclass\s*=\s*["']?(?:[^"'<>]*\s)?(?:ad|ads|advert|advertisement)(?=[\s"'>])[^<>]*+>"""
+DIVISION = rf"(?i)<div(?=[\s/>]){ANY_REST}|</div\s*+>"
+LIST_TAG = rf"(?i)<(?:ul|ol|li)(?=[\s/>]){ANY_REST}|</(?:ul|ol)\s*+>"
+DEEPEST = 16
+NO_TEXT = r"(?i)\A(?:\s|</li\s*+>)*+\z"
+PREFORMATTED = rf"(?i)<pre(?=[\s>]){ANY_REST}"
+# States of a fold are gathered in blocks of about so many bytes, so that adding one copies no more than a block.
+BLOCK = 512
 # Stand for the line ends and blanks of preformatted text until white space has been dealt with.
 LINE, BLANK = "\x02", "\x03"
 
@@ -119,6 +123,57 @@ def _bound_without(text: Column, opening: str, closing: str) -> Column:
     return bind(text, lambda bound: without(bound, opening, closing))
 
 
+def running(items: str, step: str) -> str:
+    """SQL of the states after each item of an array, from 0 on; ``step`` makes the next of ``now`` and ``item``. One fold
+    over the array. (Folds are written as SQL: built call by call they take longer to plan than to run.)"""
+    grown, fits = "concat(s.last, now, ',')", f"octet_length(s.last) < {BLOCK}"
+    added = f"named_struct('now', now, 'full', if({fits}, s.full, concat(s.full, {grown})), 'last', if({fits}, {grown}, ''))"
+    return f"""aggregate({items}, named_struct('now', 0, 'full', '', 'last', ''),
+      (s, item) -> {_let("now", step.replace("now", "s.now"), added)},
+      s -> transform(filter(split(concat(s.full, s.last), ','), x -> x != ''), x -> int(x)))"""
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL of ``body`` with ``value``, evaluated once, under a name."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _by_tags(text: str, pattern: str, shown: str) -> str:
+    """SQL of a text put together again: its first piece, then ``shown``, an array made of its ``tags`` and of the
+    ``pieces`` before, between and after them."""
+    tags, pieces = f"regexp_extract_all({text}, {_quoted(pattern)}, 0)", f"split({text}, {_quoted(pattern)}, -1)"
+    return _let("tags", tags, _let("pieces", pieces, f"concat(pieces[0], array_join({shown}, ''))"))
+
+
+def without_nested(text: str, tag: str, unwanted: str) -> Column:
+    """The text (a column's name) without the elements whose opening tag matches ``unwanted``, with all that is nested in
+    them; a blank takes their place. ``tag`` matches the opening and closing tags of the kind. An element ends where as
+    many tags have been closed as opened; one that is never closed stays, and so does a closing tag of nothing."""
+    kinds = f"transform(tags, t -> case when startswith(t, '</') then 'closing' when t rlike {_quoted(unwanted)} then 'unwanted' else 'opening' end)"
+    # From the end: the closing tags that no opening tag has taken yet.
+    left = f"reverse({running('reverse(kinds)', "if(item = 'closing', now + 1, greatest(now - 1, 0))")})"
+    closed = "transform(kinds, (k, i) -> if(k = 'closing' or get(open, i + 1) > 0, k, 'unclosed'))"
+    deeper = "case when item = 'unwanted' or item = 'opening' and now > 0 then now + 1 when item = 'closing' then greatest(now - 1, 0) else now end"
+    kept = "transform(tags, (t, i) -> case when depths[i] > 0 then '' when get(depths, i - 1) > 0 then concat(' ', pieces[i + 1]) else concat(t, pieces[i + 1]) end)"
+    shown = _let("kinds", kinds, _let("open", left, _let("closed", closed, _let("depths", running("closed", deeper), kept))))
+    return F.expr(f"if({text} rlike {_quoted(unwanted)}, {_by_tags(text, tag, shown)}, {text})")
+
+
+def _listed(text: str, page_url: str) -> Column:
+    """Items of lists as lines, those of nested lists indented by two blanks for each list around theirs, DEEPEST times
+    at most, so that a page of unclosed lists does not grow with the square of its length."""
+    deeper = "case when startswith(item, '</') then greatest(now - 1, 0) when item rlike '(?i)^<li' then now else now + 1 end"
+    line = f"concat('\\n', repeat('{BLANK}', 2 * greatest(least(depths[i] - 1, {DEEPEST}), 0)))"
+    shown = f"""case when t rlike '(?i)^<li' then concat({line}, '- ')
+      when startswith(t, '</') and depths[i] > 0 then if(pieces[i + 1] rlike {_quoted(NO_TEXT)}, '', {line})
+      when not startswith(t, '</') and depths[i] > 1 then '' else t end"""
+    return F.expr(_by_tags(text, LIST_TAG, _let("depths", running("tags", deeper), f"transform(tags, (t, i) -> concat({shown}, pieces[i + 1]))")))
+
+
 def _preformatted(html: Column) -> Column:
     """Line ends and blanks within ``pre`` elements replaced by signs that no later step touches."""
 
@@ -126,9 +181,13 @@ def _preformatted(html: Column) -> Column:
         def change(element: Column) -> Column:
             return F.translate(F.regexp_replace(element, "\r\n?", "\n"), "\n ", LINE + BLANK)
 
+        def of_element(element: Column) -> Column:
+            opening = F.regexp_extract(element, rf"\A{PREFORMATTED}", 0)
+            return F.concat(opening, change(F.substring(element, F.length(opening) + 1, F.length(element))))
+
         def of_parts(parts: Column) -> Column:
             tail = F.substring(parts["text"], F.length(parts["head"]) + 1, F.length(parts["text"]))
-            return F.concat(replace_each(parts["head"], r"(?is)(?<=<pre>|<pre\s[^<>]{0,200}>).*?(?=</pre)", change), tail)
+            return F.concat(replace_each(parts["head"], rf"(?s){PREFORMATTED}.*?(?=</(?i:pre))", of_element), tail)
 
         return bind(F.struct(text.alias("text"), _up_to_last(text, r"</pre\s*>").alias("head")), of_parts)
 
@@ -194,23 +253,25 @@ def _replace_all(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
     return text
 
 
-def _without_boilerplate(text: Column, page_url: Column) -> Column:
+def _without_boilerplate(name: str, page_url: str) -> Column:
+    text = F.col(name)
     for opening, closing in BOILERPLATE:
         text = _bound_without(text, opening, closing)
     return text
 
 
-# (texts of which one must occur in the lower-cased page, rules or a function), in order of application. Looking for a literal
+# (texts of which one must occur in the lower-cased page, rules or a function of the names of text and url), in order of application. Looking for a literal
 # is far cheaper than a pass of a regular expression.
 TAG_STEPS = (
-    (("<nav", "<footer", "<aside", "<form", "<div"), _without_boilerplate),
-    (("<img",), lambda text, page_url: replace_each(text, IMAGE, _image(page_url))),
-    (("<a ", "<a\t", "<a\n"), lambda text, page_url: replace_each(text, LINK, _link(page_url))),
+    (("<nav", "<footer", "<aside", "<form"), _without_boilerplate),
+    (("<div",), lambda text, page_url: without_nested(text, DIVISION, ADVERTISEMENT)),
+    (("<img",), lambda text, page_url: replace_each(F.col(text), IMAGE, _image(F.col(page_url)))),
+    (("<a ", "<a\t", "<a\n"), lambda text, page_url: replace_each(F.col(text), LINK, _link(F.col(page_url)))),
     (("</b", "</strong"), BOLD),
     (("</i", "</em"), ITALIC),
     (("</code",), CODE),
     (("<h2", "<h3", "<h4", "<h5", "<h6"), SUBHEADINGS),
-    (("<li",), ((r"(?i)<li(?:\s[^<>]*+)?>", "\n- "),)),
+    (("<li",), _listed),
     (("<",), BLOCKS),
 )
 # The same, looked for in the text as it is by then.
@@ -232,9 +293,9 @@ def with_markdown(pages: DataFrame, part: str, page_url: str, name: str) -> Data
     for number, (literals, rules) in enumerate((*TAG_STEPS, *BLANK_STEPS)):
         text, searched = F.col(previous), F.col("_low" if number < len(TAG_STEPS) else previous)
         occurs = reduce(or_, [searched.contains(literal) for literal in literals])
+        done = rules(previous, page_url) if callable(rules) else _replace_all(text, rules)
         previous = f"_step{number}"
         steps.append(previous)
-        done = rules(text, F.col(page_url)) if callable(rules) else _replace_all(text, rules)
         pages = pages.withColumn(previous, F.when(occurs, done).otherwise(text))
     pages = pages.withColumn("_plain", unescape(F.col(previous)))
     spaced = F.translate("_plain", LINE + BLANK, "\n ")

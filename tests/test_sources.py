@@ -1,8 +1,11 @@
+import itertools
 import json
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
+from folioforge.functions import html
 from folioforge.operators.fetch import filter_usable_articles
 from folioforge.schemas import FETCH_RESPONSE, HTML_PAGE
 from folioforge.sources import read_html_pages, read_image_bodies, read_image_responses, read_reader_responses
@@ -65,8 +68,8 @@ def test_metadata_choice(spark):
     ]
 
 
-def page(spark, html, url=URL):
-    return read_html_pages(spark.createDataFrame([(1, url, html)], HTML_PAGE)).first()
+def page(spark, text, url=URL):
+    return read_html_pages(spark.createDataFrame([(1, url, text)], HTML_PAGE)).first()
 
 
 def test_page_constructs(spark):
@@ -126,7 +129,7 @@ def test_image_bodies(spark, tmp_path):
 
 
 @pytest.mark.parametrize(
-    ("html", "markdown"),
+    ("source", "markdown"),
     [
         ("<article><p>one</p></article><article><p>two</p></article>", "one\n\ntwo"),
         ("<article>a<article>b</article>c</article>", "a\n\nb\n\nc"),
@@ -141,13 +144,20 @@ def test_image_bodies(spark, tmp_path):
         ("<dl><dt>k</dt><dd>v</dd></dl>", "k\nv"),
         ("<pre>one\n  two\n\n\nthree</pre>", "one\n  two\n\n\nthree"),
         ("<div class='ad banner'>buy</div><div class=\"has ads\">me</div><div class='adult'>stays</div>", "stays"),
+        ("<p>a</p><div class=ad>buy<div>now<div class=ads>x</div>y</div>C tail</div><div>b</div><p>c</p>", "a\n\nb\n\nc"),
+        ("<div class=ad>open<div>a</div><div class=ad>buy</div>b</div></div><p>c</p>", "c"),
+        ("<div class=ad>open<div>a</div><p>b</p>", "open\n\na\n\nb"),
+        ("</div><DIV class=ad>x<div-x></DIV >a<div class=ad>y</div>b", "a b"),
+        ("<ul><li>a<ul><li>b</li><li>c<ol><li>d</ol></li></ul></li><li>e</ul><p>f</p>", "- a\n  - b\n  - c\n    - d\n- e\n\nf"),
+        ("<ul><li>a</li></ul><li>b<OL class=x><LI>c</OL>", "- a\n\n- b\n\n- c"),
+        ("<pre style='" + "x:y;" * 200 + "' class=a>a\n  b</pre><p>c\n  d</p><PRE>e\n f</PRE><pre>g", "a\n  b\n\nc d\n\ne\n f\n\ng"),
         ("<p>a</p><!-- x <!-- y --><p>b</p><script>s</script><p>c</p><script>never closed", "a\n\nb\n\nc\n\nnever closed"),
         ("<p>a</p><nav>x<nav>y</nav><p>b</p><nav>open", "a\n\nb\n\nopen"),
         ("<a>no target</a> <a name=x href=/y title='a > b'>t</a>", "no target [t](https://example.com/y)"),
     ],
 )
-def test_nothing_is_lost_or_merged(spark, html, markdown):
-    assert page(spark, html).markdown == markdown
+def test_nothing_is_lost_or_merged(spark, source, markdown):
+    assert page(spark, source).markdown == markdown
 
 
 def test_head_of_any_case(spark):
@@ -155,9 +165,21 @@ def test_head_of_any_case(spark):
     assert (row.title, row.author, row.markdown) == ("It's", "It's me", "x\n\nno")
 
 
-@pytest.mark.parametrize("unit", ["<!--", "<nav ", "<nav>", "<article>", "<img ", "<a href=x>", "<title>", "<meta ", "<pre>", "<div class='ad'>", "<script>", "<b>", '<img "', "&amp", "<"])
+@pytest.mark.parametrize("unit", ["<!--", "<nav ", "<nav>", "<article>", "<img ", "<a href=x>", "<title>", "<meta ", "<pre>", "<div class='ad'>", "<div class='ad'></div>", "<div class=ad><div>", "<ul><li>", "</ul>", "<pre a='b'>\n</pre>", "<script>", "<b>", '<img "', "&amp", "<"])
 def test_long_pages_of_unclosed_tags(spark, unit):
     began = time.time()
     row = page(spark, unit * (1_000_000 // len(unit)))
     assert row is not None
     assert time.time() - began < 20
+
+
+def test_states_of_a_fold_across_blocks(spark):
+    for size in (0, 1, html.BLOCK - 1, html.BLOCK, html.BLOCK + 1, 3 * html.BLOCK):
+        numbers = f"slice(sequence(1, {size + 1}), 1, {size})"
+        found = spark.range(1).select(F.expr(html.running(numbers, "now + item")).alias("s")).first().s
+        assert found == list(itertools.accumulate(range(1, size + 1)))
+
+
+def test_divisions_nested_a_thousand_deep(spark):
+    inner = "<div class=ad>x" + "<div>y" * 1000 + "</div>z" * 1000 + "</div>"
+    assert page(spark, f"<p>a</p>{inner}<p>b</p>{inner}").markdown == "a\n\nb"
