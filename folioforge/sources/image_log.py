@@ -22,6 +22,7 @@ def read_image_responses(log: DataFrame) -> DataFrame:
 
 
 def read_image_bodies(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """Landed image files as (path, size_bytes, content); ``content`` is read only when it is selected."""
+    """Landed image files as (path, size_bytes, content); ``content`` is read only when it is selected. Spark
+    lists no empty files, so an image without a byte has no body."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
     return files.load(folder).select("path", F.col("length").alias("size_bytes"), "content")
