@@ -110,7 +110,7 @@ def publish_corpus(spark, folder):
     ready = prepared(spark, folder)
     stored = stage(corpus.image_manifest(ready, attempts(spark, folder), SETTINGS), "manifest")
     for batch_id, policy in (("first", "fail"), ("second", "overwrite")):
-        known = publish.read_published(spark, root).select("slug")
+        known = publish.read_current_slugs(spark, root).select("slug")
         built = corpus.build_corpus(
             ready, attempts(spark, folder), SETTINGS, policy=policy, published=known, manifest=stored
         )

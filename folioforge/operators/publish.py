@@ -5,6 +5,9 @@ the place of, and from which batch), ``open_images`` and ``open_attempts`` (what
 ``batches``, the log. A batch exists once its entry is in the log, which is made last; what a failed job leaves behind is
 never read and is overwritten by the next try.
 
+``articles`` lie in buckets by slug, as many in all batches (``layout.json``): current documents, those under given slugs and those
+that are built again are found without moving published text. A corpus begun without buckets goes on without.
+
 Log entries are numbered files, each made by a rename that fails if the file exists, so of two writers that are ready
 at once one gets the number. The other looks at what was logged meanwhile: if that shares no slug and no article with
 its own batch it takes the next number, else it is told to start again.
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from folioforge.operators.buckets import of_places, of_slugs, read_bucketed, write_bucketed
 from folioforge.schemas import PREPARED
 
 DOCUMENT = (
@@ -44,9 +48,9 @@ class ConcurrentBatch(Exception):
     """Another batch with a slug or an article of this one was published meanwhile: decide again."""
 
 
-def write_articles(documents: DataFrame, folder: str) -> None:
-    """One row per document, written from the partitions the text is in: not shuffled once more for this."""
-    documents.write.mode("overwrite").parquet(folder)
+def write_articles(documents: DataFrame, folder: str, buckets: int | None = None) -> None:
+    """One row per document, in buckets by slug: the text is exchanged here once, so that reading by slug need not."""
+    write_bucketed(documents, folder, buckets or default_buckets(documents.sparkSession))
 
 
 def write_image_manifest(manifest: DataFrame, folder: str) -> None:
@@ -65,6 +69,34 @@ def read_table(spark: SparkSession, root: str, table: str, schema: str, form: st
         return spark.range(1).select(*[F.lit(None).cast(field.dataType).alias(field.name) for field in kind.fields]).limit(0)
 
 
+def default_buckets(spark: SparkSession) -> int:
+    """As many as a shuffle has partitions: ``configure`` fits those to the data."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def read_layout(spark: SparkSession, root: str) -> int | None:
+    """In how many buckets documents lie; None if in none, or nothing is published."""
+    path, files = _file_system(spark, f"{root}/layout.json")
+    return json.loads(_content(files, path))["buckets"] if files.exists(path) else None
+
+
+def make_layout(spark: SparkSession, root: str, buckets: int | None = None) -> int | None:
+    """Fix the number of buckets of a corpus that has none yet. The first writer decides; returns what holds."""
+    path, files = _file_system(spark, f"{root}/articles")
+    if read_layout(spark, root) is None and not files.exists(path):
+        _create_once(spark, root, f"{root}/layout.json", {"buckets": buckets or default_buckets(spark)})
+    return read_layout(spark, root)
+
+
+def read_articles(spark: SparkSession, root: str) -> DataFrame:
+    """The documents of all batches, logged or not, in their buckets."""
+    buckets = read_layout(spark, root)
+    path, files = _file_system(spark, f"{root}/articles")
+    if buckets is None or not files.exists(path):
+        return read_table(spark, root, "articles", DOCUMENT)
+    return read_bucketed(spark, f"{root}/articles", DOCUMENT, buckets, "batch_id")
+
+
 def read_batches(spark: SparkSession, root: str) -> DataFrame:
     return read_table(spark, root, "batches", BATCH, "json")
 
@@ -83,11 +115,7 @@ def latest_batch(spark: SparkSession, root: str) -> tuple[int, str | None]:
     if not names:
         return 0, None
     path, files = _file_system(spark, f"{root}/batches/{names[-1]}")
-    stream = files.open(path)
-    try:
-        entry = json.loads(bytes(stream.readAllBytes()))
-    finally:
-        stream.close()
+    entry = json.loads(_content(files, path))
     return entry["version"], entry["batch_id"]
 
 
@@ -151,10 +179,21 @@ def compact(spark: SparkSession, root: str, every: int = 1) -> bool:
 
 
 def read_published(spark: SparkSession, root: str) -> DataFrame:
-    """Current documents: those of logged batches that no later batch replaced."""
-    shown = ["slug", "path", "article_id", "content", "batch_id"]
-    documents = read_table(spark, root, "articles", DOCUMENT).select(*shown)
-    return documents.join(read_current_slugs(spark, root), ["slug", "batch_id"], "left_semi").select(*shown)
+    """Current documents: those of logged batches that no later batch replaced. No document is moved for it, and a filter
+    on one slug reads one bucket."""
+    documents = read_articles(spark, root).select("slug", "path", "article_id", "content", "batch_id")
+    return of_places(documents, read_current_slugs(spark, root), read_layout(spark, root))
+
+
+def read_published_slugs(spark: SparkSession, root: str, slugs: DataFrame) -> DataFrame:
+    """Current documents under the slugs of a table with a column ``slug``, each once. No document is moved for it."""
+    return of_slugs(read_published(spark, root), slugs, read_layout(spark, root))
+
+
+def read_sources(spark: SparkSession, root: str, places: DataFrame) -> DataFrame:
+    """What the documents at the places (slug, batch_id) were built from, where it was kept. No source is moved for it."""
+    kept = read_articles(spark, root).filter("source is not null").select("slug", "batch_id", "source")
+    return of_places(kept, places, read_layout(spark, root)).select("source.*")
 
 
 def read_published_images(spark: SparkSession, root: str) -> DataFrame:
@@ -175,13 +214,21 @@ def _file_system(spark: SparkSession, path: str):
     return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _commit(spark: SparkSession, root: str, version: int, batch_id: str, articles: int, images: int) -> bool:
-    """Make the log entry of that number, unless there is one."""
-    target, files = _file_system(spark, f"{root}/batches/{version:012d}.json")
+def _content(files, path) -> bytes:
+    stream = files.open(path)
+    try:
+        return bytes(stream.readAllBytes())
+    finally:
+        stream.close()
+
+
+def _create_once(spark: SparkSession, root: str, name: str, content: dict) -> bool:
+    """Make a file of that name and content, unless there is one."""
+    target, files = _file_system(spark, name)
     ready, _ = _file_system(spark, f"{root}/commits/{uuid4().hex}.json")
     files.mkdirs(target.getParent())
     stream = files.create(ready, False)
-    stream.write(bytearray(json.dumps({"version": version, "batch_id": batch_id, "articles": articles, "images": images}).encode()))
+    stream.write(bytearray(json.dumps(content).encode()))
     stream.close()
     context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration())
     options = spark.sparkContext._gateway.new_array(getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
@@ -195,6 +242,12 @@ def _commit(spark: SparkSession, root: str, version: int, batch_id: str, article
     return True
 
 
+def _commit(spark: SparkSession, root: str, version: int, batch_id: str, articles: int, images: int) -> bool:
+    """Make the log entry of that number, unless there is one."""
+    entry = {"version": version, "batch_id": batch_id, "articles": articles, "images": images}
+    return _create_once(spark, root, f"{root}/batches/{version:012d}.json", entry)
+
+
 def publish_corpus(
     root: str,
     batch_id: str,
@@ -204,6 +257,7 @@ def publish_corpus(
     overwrite: bool = False,
     sources: DataFrame | None = None,
     against: int | None = None,
+    buckets: int | None = None,
 ) -> bool:
     """Publish the documents and images of a batch, all or nothing. False if the batch is logged already.
 
@@ -219,7 +273,8 @@ def publish_corpus(
 
     ``sources`` (article_id, wanted, source_hash) says which slug an article asked for and what its text was made from,
     for later batches to compare; ``operators.identity`` does. ``against`` is the number of the last log entry when the
-    slugs were decided: a batch logged since then counts as published meanwhile.
+    slugs were decided: a batch logged since then counts as published meanwhile. ``buckets``: in how many buckets by slug the
+    documents lie, of use for the first batch; those after it follow.
     """
     spark = corpus.sparkSession
     batch_id = checked(batch_id)
@@ -240,7 +295,11 @@ def publish_corpus(
         F.coalesce(given["wanted"], F.col("slug")).alias("wanted"),
         *[given[name].cast(kinds[name]).alias(name) for name in ("source_hash", "source")],
     )
-    write_articles(ready, articles)
+    layout = make_layout(spark, root, buckets)
+    if layout:
+        write_articles(ready, articles, layout)
+    else:
+        ready.write.mode("overwrite").parquet(articles)
     written = spark.read.schema(ready.schema).parquet(articles).select("article_id", "slug", "slug_status")
     documents, slugs, ids = written.agg(F.count(F.lit(1)), F.count_distinct("slug"), F.count_distinct("article_id")).first()
     if slugs < documents:

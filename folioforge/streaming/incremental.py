@@ -90,10 +90,8 @@ def _publish(root, batch_id, prepared, attempts, settings, policy, redirects, op
         woken = woken.join(fresh, "article_id", "left_anti")
         again = woken.select("article_id", F.col("wanted").alias("slug"), F.col("slug").alias("final_slug"), F.lit("updated").alias("slug_status"), "source_hash", "since")
         decisions = stage(fresh.unionByName(again), "decisions")
-        # The sources of documents that are looked at again lie beside them, in the partitions of their batches.
-        places = woken.select("article_id", "slug", F.col("doc_batch_id").alias("batch_id"))
-        kept = publish.read_table(spark, root, "articles", publish.DOCUMENT).filter("source is not null").select("article_id", "slug", "batch_id", "source")
-        sources = kept.join(places, ["article_id", "slug", "batch_id"], "left_semi").select("source.*")
+        # The sources of documents that are looked at again lie beside them.
+        sources = publish.read_sources(spark, root, woken.select("slug", F.col("doc_batch_id").alias("batch_id")))
         ready = plain.unionByName(sources.join(compared.select("article_id"), "article_id", "left_anti"))
 
     # What a changed article had stored needs no new attempt.
