@@ -187,10 +187,15 @@ def fingerprint_digits(found: DataFrame) -> DataFrame:
 WIDE_SHINGLE = 5
 # Share of the shingles of two texts, each counted once, that both have.
 LEAST_SHARE = 0.8
-# Bands of so many minhash values each: of two texts that share 0.8 of their shingles, 0.9996 have a band in common.
-BANDS, BAND_ROWS = 20, 5
-# Texts of an entry that every other one is paired with: those that have the most in common with others.
+# Bands of so many minhash values each: two texts that share 0.8 of their shingles have none in common once in 20 million times.
+BANDS, BAND_ROWS = 32, 4
+# Texts of an entry that every other one is paired with at first: those that have the most in common with others.
 REPRESENTATIVES = 4
+# Bits of a sketch, each the parity of a text's shingles that fall on it: two texts differ in at least as many shingles as bits.
+SKETCH_BITS = 1024
+# Texts on either side of a cell, cells' texts of a bucket, and texts of a cell up to which cells are compared together.
+CELL_TEXTS, CELL_ROWS, SMALL_CELL = 2000, 50_000, 32
+CELLS = "key long, cell long, upper boolean, id long, component long, size int, sketch binary"
 # Where more texts than that meet, they meet again where two, three and four of their bands agree at once: bands so many
 # places apart, around the circle of bands.
 LEVELS, STRIDES = 4, (1, 3, 7)
@@ -240,25 +245,31 @@ def bands(shingles: list[np.ndarray]) -> list[bytes]:
     return out
 
 
+def parities(shingles: np.ndarray) -> bytes:
+    """Sketch of distinct shingles."""
+    return np.packbits(np.bincount((shingles >> np.uint64(20)) % np.uint64(SKETCH_BITS), minlength=SKETCH_BITS) & 1).tobytes()
+
+
 def shingle_bands(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, set, size, bands): of each text its key, 16 bytes that stand for its distinct shingles, their number and the
-    keys of its bands. A text with fewer than five words has its whole sequence for a shingle, one without words has none."""
+    """(doc_id, key, set, size, bands, sketch): of each text its key, 16 bytes that stand for its distinct shingles, their number, the
+    keys of its bands and its sketch. A text with fewer than five words has its whole sequence for a shingle, one without words has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            sets, sizes, keys = [], [], []
+            sets, sizes, keys, sketches = [], [], [], []
             for first, last in slices(offsets):
                 begin = offsets[first]
                 distinct = [np.unique(s) for s in shingle_hashes(data[begin : offsets[last]], offsets[first : last + 1] - begin)]
                 sets += [np.array([mix(s).sum(), mix(s ^ np.uint64(0x9E3779B97F4A7C15)).sum()], np.uint64).tobytes() for s in distinct]
                 sizes += [len(s) for s in distinct]
                 keys += bands(distinct)
-            columns = [pa.array(sets, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *columns], ["doc_id", "key", "set", "size", "bands"])
+                sketches += [parities(s) for s in distinct]
+            columns = [pa.array(sets, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *columns], ["doc_id", "key", "set", "size", "bands", "sketch"])
 
     keyed = identified(docs).withColumn("key", text_key(F.col("text")))
-    return keyed.mapInArrow(run, "doc_id long, key binary, set binary, size int, bands binary")
+    return keyed.mapInArrow(run, "doc_id long, key binary, set binary, size int, bands binary, sketch binary")
 
 
 def halves(ids: np.ndarray) -> bytes:
@@ -312,7 +323,7 @@ def entry_keys(bands: np.ndarray, level: int) -> np.ndarray:
 
 def found_pairs(classes: DataFrame, level: int, buckets: int, least: float) -> DataFrame:
     """Candidates (a, b, n) among ``classes`` (id, size, bands): b meets a, one of its representatives, in n entries of a task or
-    bucket; and a row (id, id, n) for each text that met more texts than are representatives.
+    bucket; and a row (id, id, n) for each text of an entry of which not all texts were paired.
 
     A text stands the higher, the more other texts of its task have entries in common with it: of the edited copies of a text
     the least edited ones do, to which the others are nearest. Of a key that many texts of a task share only the
@@ -349,7 +360,10 @@ def found_pairs(classes: DataFrame, level: int, buckets: int, least: float) -> D
             many = lengths > 2 * REPRESENTATIVES
             sent = order[~many | (place < REPRESENTATIVES)]
             bucket = (keys[sent] % np.uint64(buckets)).astype(np.int64)
-            yield packed(bucket, keys[sent], ids[sent], sizes[sent], standing[sent])
+            # A size below zero: the task holds more texts of the key than it sends.
+            held_back = np.zeros(len(keys), bool)
+            held_back[order[many]] = True
+            yield packed(bucket, keys[sent], ids[sent], np.where(held_back[sent], -sizes[sent], sizes[sent]), standing[sent])
             # Texts that are not sent on meet the representatives of the task here.
             own = order[many]
             begins = np.searchsorted(np.flatnonzero(many), first[many])
@@ -382,7 +396,9 @@ def found_pairs(classes: DataFrame, level: int, buckets: int, least: float) -> D
         if table.column("bucket")[0].as_py() < 0:
             return pa.table({"a": keys.astype(np.int64), "b": ids, "n": column("sizes", np.int32).astype(np.int64)})
         order, first, lengths = group_order(keys, column("standing", np.int32).astype(np.int64), ids)
-        met = zip(pairs_with_first(order, first, ids, column("sizes", np.int32), least), crowd(ids[order[lengths > REPRESENTATIVES + 1]]), strict=True)
+        sizes = column("sizes", np.int32)
+        held_back = np.bincount(first, weights=sizes[order] < 0, minlength=len(order))[first] > 0
+        met = zip(pairs_with_first(order, first, ids, np.abs(sizes), least), crowd(ids[order[held_back | (lengths > REPRESENTATIVES + 1)]]), strict=True)
         return pa.table(dict(zip("abn", map(np.concatenate, met), strict=True)))
 
     bound_batches(classes.sparkSession)
@@ -446,7 +462,10 @@ def similar_links(docs: DataFrame, classes: DataFrame, found: DataFrame, least:
     nearest = found.groupBy("b").agg(F.min(F.struct("distance", "a")).alias("near")).select(F.col("near.a").alias("a"), "b")
     leading = found.select(F.col("a").alias("id")).distinct().withColumn("leads", F.lit(True))
     keyed = classes.select("id", "least", "key").join(nearest.withColumnRenamed("b", "id"), "id", "left").join(leading, "id", "left")
-    texts = stage(class_texts(docs, keyed.where("a is not null or leads")), "similar-texts")
+    # Written first, so that its size is known: where few texts are wanted, the others are not shuffled.
+    wanted = stage(keyed.where("a is not null or leads"), "wanted-texts")
+    texts = stage(class_texts(docs, wanted), "similar-texts")
+    release(wanted)
     leads = texts.where("leads").select("id", "text")
     sure = stage(sharing(texts.where("a is not null").select("a", F.col("id").alias("b"), F.col("text").alias("text_b")), leads, least), "nearest-links")
     named = components(sure)
@@ -460,6 +479,97 @@ def similar_links(docs: DataFrame, classes: DataFrame, found: DataFrame, least:
     return links
 
 
+def cells_of(own: DataFrame) -> tuple[DataFrame, int]:
+    """Texts of each entry of ``own`` (id, size, bands, sketch, component) that holds texts of several components, dealt to cells
+    so that any two of different components share one: CELLS, and the number of rows.
+
+    The largest component of an entry is set against the others, and these against each other, CELL_TEXTS by CELL_TEXTS, so the
+    work on an entry is spread whatever its size, and most of it falls away where the texts of an entry are linked already.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, _ = text_bytes(batch.column("bands"))
+            columns = [np.repeat(batch.column(c).to_numpy(), BANDS) for c in ("id", "component")]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.frombuffer(data.tobytes(), np.int64), *columns)], ["key", "id", "component"])
+
+    entries = own.select("id", "component", "bands").mapInArrow(run, "key long, id long, component long")
+    each = entries.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    entry = each.groupBy("key").agg(F.sum("n").alias("total"), F.max(F.struct("n", "component")).alias("lead")).where("total > lead.n")
+    parts = F.struct(
+        F.col("lead.component").alias("lead"),
+        F.ceil(F.col("lead.n") / CELL_TEXTS).alias("leading"),
+        F.ceil((F.col("total") - F.col("lead.n")) / CELL_TEXTS).alias("others"),
+        "total",
+        F.col("lead.n").alias("n"),
+    )
+    mixed = stage(entry.select("key", parts.alias("parts")), "mixed-entries")
+    rows = mixed.agg(F.expr("sum(parts.n * parts.others + (parts.total - parts.n) * (parts.leading + parts.others))")).first()[0]
+    named = entries.join(mixed.select("key"), "key", "left_semi")
+    met = lookup(named, mixed, key="key", row_id="id", name="parts", heavy=heavy_keys(named.select("key"), "key"))
+    # A cell is numbered by its parts: of others and of the largest component, or of two parts of others.
+    is_lead = "component = parts.lead"
+    part = F.expr(f"pmod(xxhash64(id), if({is_lead}, parts.leading, parts.others))").alias("part")
+    against_lead = "transform(sequence(0L, parts.leading - 1), j -> struct((part * 1048576 + j) * 2 as cell, false as upper))"
+    among_others = "transform(sequence(0L, parts.others - 1), j -> struct((least(part, j) * 1048576 + greatest(part, j)) * 2 + 1 as cell, part > j as upper))"
+    of_lead = "transform(sequence(0L, parts.others - 1), i -> struct((i * 1048576 + part) * 2 as cell, true as upper))"
+    dealt = met.withColumn("part", part).select("key", "id", "component", F.explode(F.expr(f"if({is_lead}, {of_lead}, concat({against_lead}, {among_others}))")).alias("c"))
+    return dealt.select("key", "c.cell", "c.upper", "id", "component").join(own.select("id", "size", "sketch"), "id").select(*[f.split()[0] for f in CELLS.split(", ")]), rows or 0
+
+
+def pairs_apart(own: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b, distance) of ``own`` (id, size, bands, sketch, component) of different components that have a band in common and
+    may have ``least`` of their shingles in common: all whose sketches differ in no more bits than such texts do in shingles."""
+    cells, rows = cells_of(own)
+    allowed = (1 - least) / (1 + least)
+
+    def compare(table: pa.Table) -> pa.Table:
+        keys, cell, ids, component, size = (table.column(c).to_numpy() for c in ("key", "cell", "id", "component", "size"))
+        upper = table.column("upper").to_numpy().astype(np.int64)
+        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
+        order = np.lexsort((upper, cell, keys))
+        keys, cell, ids, component, size, upper, sketches = (x[order] for x in (keys, cell, ids, component, size, upper, sketches))
+        size = size.astype(np.int64)
+        # A cell of two parts has pairs across them only.
+        across = (cell % 2 == 0) | (cell // 2 // 1048576 != cell // 2 % 1048576)
+        begins = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (cell[1:] != cell[:-1])]))
+        ends = np.append(begins[1:], len(ids))
+        found: list[np.ndarray] = [np.zeros((0, 3), np.int64)]
+
+        def check(a: np.ndarray, b: np.ndarray) -> None:
+            fits = (component[a] != component[b]) & (~across[a] | (upper[a] != upper[b]))
+            a, b = a[fits], b[fits]
+            differ = np.bitwise_count(sketches[a] ^ sketches[b]).sum(axis=1, dtype=np.int64)
+            near = (differ <= allowed * (size[a] + size[b]) + 1e-6) & (np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b]) - 1e-9)
+            a, b = a[near], b[near]
+            if len(a):
+                found.append(np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), differ[near]], axis=1))
+
+        small = ends - begins <= SMALL_CELL
+        end_of = np.repeat(np.where(small, ends, begins), ends - begins)
+        at = np.arange(len(ids))
+        for step in range(1, SMALL_CELL):
+            at = at[at + step < end_of[at]]
+            check(at, at + step)
+        words = np.ascontiguousarray(sketches.T)
+        for begin, end in zip(begins[~small].tolist(), ends[~small].tolist(), strict=True):
+            # The first part stands before the other.
+            middle = begin + int(np.searchsorted(upper[begin:end], 1)) if across[begin] else end
+            for first in range(begin, middle, 64):
+                last, other = min(first + 64, middle), middle if across[begin] else first + 1
+                differ = np.zeros((last - first, end - other), np.uint16)
+                for word in words:
+                    differ += np.bitwise_count(word[first:last, None] ^ word[None, other:end])
+                a, b = np.nonzero(differ <= allowed * (size[first:last, None] + size[None, other:end]) + 1e-6)
+                later = b + other > a + first
+                check(a[later] + first, b[later] + other)
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table(dict(zip(("a", "b", "distance"), pairs.T, strict=True)))
+
+    bucket = F.pmod(F.xxhash64("key", "cell"), F.lit(rows // CELL_ROWS + 1)).alias("bucket")
+    return cells.select("*", bucket).groupBy("bucket").applyInArrow(compare, "a long, b long, distance long").distinct()
+
+
 def links_of(docs: DataFrame, classes: DataFrame, met: list[DataFrame], least: float) -> DataFrame:
     """Links (a, b) among the candidates of all levels."""
     if not met:
@@ -473,17 +583,28 @@ def links_of(docs: DataFrame, classes: DataFrame, met: list[DataFrame], least: f
     return links
 
 
+def links_apart(docs: DataFrame, classes: DataFrame, meeting: DataFrame, linked: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that those of the representatives leave out, between the texts ``meeting`` (id) where not all were paired."""
+    named = components(linked).withColumnRenamed("node", "id")
+    own = classes.join(meeting, "id", "left_semi").join(named, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    own = stage(own.select("id", "size", "bands", "sketch", "component"), "texts-apart")
+    found = stage(pairs_apart(own, least), "pairs-of-components")
+    release(own, meeting)
+    links = similar_links(docs, classes, found, least) if found.head(1) else linked.limit(0)
+    release(found)
+    return links
+
+
 def similar_texts(docs: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
     """Group texts that have at least ``least`` of their shingles of five words in common: (doc_id, component_id).
 
-    Only such pairs link. Each text is compared with the representatives of the bands it is in, so a pair of which neither
-    is a representative links if both reach one; the README states the share of pairs that do, against brute force. Blank and null
-    texts are alike. A null doc_id stays null and is never the smallest, unless its group has no other.
+    Only such pairs link, and all of them that have a band in common: each text is compared with the representatives of the
+    bands it is in, and where more texts meet, all those that this leaves in different groups are compared. Blank and null texts are alike. A null doc_id stays null and is never the smallest, unless its group has no other.
     """
     prints = stage(shingle_bands(docs), "shingle-bands")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
-    grouped = prints.groupBy("set", "size").agg(first.alias("first"), F.first("bands").alias("bands"))
-    named = grouped.select("set", "size", "bands", F.col("first.doc_id").alias("least"), F.col("first.key").alias("key"))
+    grouped = prints.groupBy("set", "size").agg(first.alias("first"), F.first(F.struct("bands", "sketch")).alias("own"))
+    named = grouped.select("set", "size", "own.*", F.col("first.doc_id").alias("least"), F.col("first.key").alias("key"))
     classes = stage(named.withColumn("id", F.monotonically_increasing_id()), "shingle-classes")
     met = []
     crowded = classes
@@ -492,8 +613,12 @@ def similar_texts(docs: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
         if not total:
             break
         met.append(stage(found_pairs(crowded, level, total // BUCKET_KEYS + 1, least), "found-pairs"))
+        if level == 1:
+            meeting = stage(met[-1].where("a = b").select(F.col("a").alias("id")).distinct(), "crowded-texts")
         crowded = classes.join(met[-1].where("a = b").select(F.col("a").alias("id")).distinct(), "id", "left_semi")
     linked = links_of(docs, classes, met, least)
+    if met:
+        linked = linked.union(links_apart(docs, classes, meeting, linked, least))
     joined = classes.select("set", "size", "id", "least").join(components(linked).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     smallest = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     table = joined.join(smallest, "component").select("set", "size", "component_id")

@@ -210,3 +210,31 @@ def test_families_of_unlike_copies(spark, templates, copies):
     together = [found[a] == found[b] for a, b in linked]
     assert sum(together) >= 0.9 * len(together)
     assert all(expected[found[i]] == expected[i] for i in found)
+
+
+def test_no_pair_of_a_large_family_is_left_out(spark, monkeypatch):
+    """Groups are those of brute force, also where neither text of a pair is a representative and an entry takes several cells."""
+    texts = family(1, 1100)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    expected = components(sorted(texts), brute_links(texts, simhash.LEAST_SHARE))
+    assert {r.doc_id: r.component_id for r in simhash.similar_texts(docs).collect()} == expected
+    monkeypatch.setattr(simhash, "CELL_TEXTS", 40)
+    assert {r.doc_id: r.component_id for r in simhash.similar_texts(docs).collect()} == expected
+
+
+def test_sketches_differ_in_no_more_bits_than_shingles():
+    rng = np.random.default_rng(5)
+    for common, own in ((500, 3), (100, 40), (3000, 900), (0, 1)):
+        drawn = np.unique(rng.integers(0, 2**63, common + 2 * own, np.int64).astype(np.uint64))
+        a, b = drawn[: common + own], np.concatenate([drawn[:common], drawn[common + own :]])
+        x, y = (np.frombuffer(simhash.parities(s), np.uint64) for s in (a, b))
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_all_texts_that_meet_a_task_that_holds_texts_back_are_crowded(spark):
+    """A text alone in its task meets four of the twenty texts that another task holds."""
+    bands = np.arange(simhash.BANDS, dtype=np.uint64).tobytes()
+    one = spark.createDataFrame([(i, 100, bytearray(bands)) for i in range(20)], "id long, size int, bands binary").coalesce(1)
+    other = spark.createDataFrame([(99, 100, bytearray(bands))], "id long, size int, bands binary").coalesce(1)
+    found = simhash.found_pairs(one.union(other), 1, 2, simhash.LEAST_SHARE).where("a = b")
+    assert {r.a for r in found.collect()} == {*range(20), 99}
