@@ -201,7 +201,9 @@ CELLS = "key long, cell long, upper boolean, id long, component long, size int,
 LEVELS, STRIDES = 4, (1, 3, 7)
 # Entries that a task holds before it sends them, and that a bucket gets.
 TASK_KEYS, BUCKET_KEYS = 500_000, 750_000
-ENTRIES = "bucket int, keys binary, ids binary, sizes binary, standing binary"
+ENTRIES = "bucket int, keys binary, ids binary, sizes binary, standing binary, sketches binary"
+# Pairs whose sketches are compared at once.
+SKETCH_PAIRS = 1 << 14
 # Shingles that a task keeps for the next pairs of a text.
 KNOWN_SHINGLES = 1 << 21
 
@@ -250,6 +252,11 @@ def parities(shingles: np.ndarray) -> bytes:
     return np.packbits(np.bincount((shingles >> np.uint64(20)) % np.uint64(SKETCH_BITS), minlength=SKETCH_BITS) & 1).tobytes()
 
 
+def sketch_words(sketches: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Sketches (texts x words of 64 bits) of a binary column, of which a row may hold several."""
+    return np.frombuffer(b"".join(sketches.to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
+
+
 def shingle_bands(docs: DataFrame) -> DataFrame:
     """(doc_id, key, set, size, bands, sketch): of each text its key, 16 bytes that stand for its distinct shingles, their number, the
     keys of its bands and its sketch. A text with fewer than five words has its whole sequence for a shingle, one without words has none."""
@@ -290,9 +297,24 @@ def group_order(keys: np.ndarray, standing: np.ndarray, ids: np.ndarray) -> tupl
     return order, np.repeat(begins, lengths), np.repeat(lengths, lengths)
 
 
-def pairs_with_first(order: np.ndarray, first: np.ndarray, ids: np.ndarray, sizes: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def may_share(a: np.ndarray, b: np.ndarray, ids: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, least: float) -> np.ndarray:
+    """Which of the pairs of texts a, b may have ``least`` of their shingles in common: those whose sketches differ in no more bits
+    than such texts do in shingles. ``sketches`` holds one for each distinct id of ``ids``, in their order."""
+    known, at = np.unique(ids, return_index=True)
+    size = sizes[at].astype(np.int64)
+    out = np.zeros(len(a), bool)
+    for begin in range(0, len(a), SKETCH_PAIRS):
+        x, y = (np.searchsorted(known, side[begin : begin + SKETCH_PAIRS]) for side in (a, b))
+        differ = np.bitwise_count(sketches[x] ^ sketches[y]).sum(axis=1, dtype=np.int64)
+        out[begin : begin + SKETCH_PAIRS] = differ <= (1 - least) / (1 + least) * (size[x] + size[y]) + 1e-6
+    return out
+
+
+def pairs_with_first(
+    order: np.ndarray, first: np.ndarray, ids: np.ndarray, sizes: np.ndarray, least: float, sketches: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Representatives, others, and in how many groups they met: each of a group with the first REPRESENTATIVES before it, if
-    their sizes allow ``least``."""
+    their sizes and, where given, the sketches of the distinct ids allow ``least``."""
     place = np.arange(len(order)) - first
     out = []
     for nth in range(REPRESENTATIVES):
@@ -305,7 +327,11 @@ def pairs_with_first(order: np.ndarray, first: np.ndarray, ids: np.ndarray, size
         return pairs[:, 0], pairs[:, 1], np.zeros(0, np.int64)
     pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
     begins = np.flatnonzero(np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)]))
-    return pairs[begins, 0], pairs[begins, 1], np.diff(np.append(begins, len(pairs)))
+    lead, other, met = pairs[begins, 0], pairs[begins, 1], np.diff(np.append(begins, len(pairs)))
+    if sketches is None:
+        return lead, other, met
+    near = may_share(lead, other, ids, sizes, sketches, least)
+    return lead[near], other[near], met[near]
 
 
 def entry_keys(bands: np.ndarray, level: int) -> np.ndarray:
@@ -322,23 +348,25 @@ def entry_keys(bands: np.ndarray, level: int) -> np.ndarray:
 
 
 def found_pairs(classes: DataFrame, level: int, buckets: int, least: float) -> DataFrame:
-    """Candidates (a, b, n) among ``classes`` (id, size, bands): b meets a, one of its representatives, in n entries of a task or
-    bucket; and a row (id, id, n) for each text of an entry of which not all texts were paired.
+    """Candidates (a, b, n) among ``classes`` (id, size, bands, from the second level on sketch): b meets a, one of its
+    representatives, in n entries of a task or bucket; and a row (id, id, n) for each text of an entry of which not all texts were paired.
 
     A text stands the higher, the more other texts of its task have entries in common with it: of the edited copies of a text
     the least edited ones do, to which the others are nearest. Of a key that many texts of a task share only the
     representatives are sent on, the other texts are paired with them at once. So a bucket gets a few texts for each
     task, whatever the number of texts that share a key, and there are no more candidates than entries times representatives
-    for each text.
+    for each text. The texts of a higher level are fewer, and most of them too unlike each other, so their sketches are sent
+    along, once for a task and bucket, and a pair that these rule out is not made.
     """
 
-    def packed(buckets_of: np.ndarray, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, standing: np.ndarray) -> pa.RecordBatch:
+    def packed(buckets_of: np.ndarray, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, standing: np.ndarray, known: np.ndarray, sketches: np.ndarray | None) -> pa.RecordBatch:
         order = np.lexsort((keys, buckets_of))
         parts = np.split(order, np.flatnonzero(np.diff(buckets_of[order])) + 1) if len(order) else []
-        rows = [(int(buckets_of[p[0]]), keys[p].tobytes(), halves(ids[p]), sizes[p].astype(np.int32).tobytes(), standing[p].astype(np.int32).tobytes()) for p in parts]
-        kinds = (pa.int32(), *[pa.binary()] * 4)
+        own = [b"" if sketches is None else sketches[np.searchsorted(known, np.unique(ids[p]))].tobytes() for p in parts]
+        rows = [(int(buckets_of[p[0]]), keys[p].tobytes(), halves(ids[p]), sizes[p].astype(np.int32).tobytes(), standing[p].astype(np.int32).tobytes(), o) for p, o in zip(parts, own, strict=True)]
+        kinds = (pa.int32(), *[pa.binary()] * 5)
         columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-        return pa.RecordBatch.from_arrays(columns, ["bucket", "keys", "ids", "sizes", "standing"])
+        return pa.RecordBatch.from_arrays(columns, ["bucket", "keys", "ids", "sizes", "standing", "sketches"])
 
     def crowd(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         distinct, met = np.unique(ids, return_counts=True)
@@ -346,9 +374,12 @@ def found_pairs(classes: DataFrame, level: int, buckets: int, least: float) -> D
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        drawn: list[np.ndarray] = []
 
         def rows() -> Iterator[pa.RecordBatch]:
             keys, ids, sizes = (np.concatenate([h[i] for h in held]) for i in range(3))
+            known, at = np.unique(ids[:: len(ids) // sum(map(len, drawn))] if drawn else ids[:0], return_index=True)
+            sketches = np.concatenate(drawn)[at] if drawn else None
             order, first, lengths = group_order(keys, np.zeros(len(keys), np.int64), ids)
             shared = np.zeros(len(keys), np.int64)
             shared[order] = np.minimum(lengths - 1, 1 << 20)
@@ -363,13 +394,13 @@ def found_pairs(classes: DataFrame, level: int, buckets: int, least: float) -> D
             # A size below zero: the task holds more texts of the key than it sends.
             held_back = np.zeros(len(keys), bool)
             held_back[order[many]] = True
-            yield packed(bucket, keys[sent], ids[sent], np.where(held_back[sent], -sizes[sent], sizes[sent]), standing[sent])
+            yield packed(bucket, keys[sent], ids[sent], np.where(held_back[sent], -sizes[sent], sizes[sent]), standing[sent], known, sketches)
             # Texts that are not sent on meet the representatives of the task here.
             own = order[many]
             begins = np.searchsorted(np.flatnonzero(many), first[many])
-            lead, other, met = (np.concatenate(x) for x in zip(pairs_with_first(own, begins, ids, sizes, least), crowd(ids[own]), strict=True))
+            lead, other, met = (np.concatenate(x) for x in zip(pairs_with_first(own, begins, ids, sizes, least, sketches), crowd(ids[own]), strict=True))
             if len(lead):
-                yield packed(-1 - (other % buckets), lead.astype(np.uint64), other, met, met)
+                yield packed(-1 - (other % buckets), lead.astype(np.uint64), other, met, met, known, None)
 
         waiting = 0
         for batch in batches:
@@ -380,10 +411,12 @@ def found_pairs(classes: DataFrame, level: int, buckets: int, least: float) -> D
             keys = entry_keys(np.frombuffer(data.tobytes(), np.uint64).reshape(-1, BANDS), level)
             ids, sizes = (np.repeat(batch.column(c).to_numpy()[filled], keys.shape[1]) for c in ("id", "size"))
             held.append((keys.ravel(), ids, sizes))
+            if level > 1:
+                drawn.append(sketch_words(batch.column("sketch").filter(pa.array(filled))))
             waiting += keys.size
             if waiting >= TASK_KEYS:
                 yield from rows()
-                held, waiting = [], 0
+                held, drawn, waiting = [], [], 0
         if held:
             yield from rows()
 
@@ -398,11 +431,15 @@ def found_pairs(classes: DataFrame, level: int, buckets: int, least: float) -> D
         order, first, lengths = group_order(keys, column("standing", np.int32).astype(np.int64), ids)
         sizes = column("sizes", np.int32)
         held_back = np.bincount(first, weights=sizes[order] < 0, minlength=len(order))[first] > 0
-        met = zip(pairs_with_first(order, first, ids, np.abs(sizes), least), crowd(ids[order[held_back | (lengths > REPRESENTATIVES + 1)]]), strict=True)
+        sketches = None
+        if level > 1:
+            _, at = np.unique(np.concatenate([np.unique(whole(x)) for x in table.column("ids").to_pylist()]), return_index=True)
+            sketches = sketch_words(table.column("sketches"))[at]
+        met = zip(pairs_with_first(order, first, ids, np.abs(sizes), least, sketches), crowd(ids[order[held_back | (lengths > REPRESENTATIVES + 1)]]), strict=True)
         return pa.table(dict(zip("abn", map(np.concatenate, met), strict=True)))
 
     bound_batches(classes.sparkSession)
-    return classes.select("id", "size", "bands").mapInArrow(enter, ENTRIES).groupBy("bucket").applyInArrow(meet, "a long, b long, n long")
+    return classes.select("id", "size", "bands", *["sketch"] * (level > 1)).mapInArrow(enter, ENTRIES).groupBy("bucket").applyInArrow(meet, "a long, b long, n long")
 
 
 def sharing(own: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -526,7 +563,7 @@ def pairs_apart(own: DataFrame, least: float) -> DataFrame:
     def compare(table: pa.Table) -> pa.Table:
         keys, cell, ids, component, size = (table.column(c).to_numpy() for c in ("key", "cell", "id", "component", "size"))
         upper = table.column("upper").to_numpy().astype(np.int64)
-        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
+        sketches = sketch_words(table.column("sketch"))
         order = np.lexsort((upper, cell, keys))
         keys, cell, ids, component, size, upper, sketches = (x[order] for x in (keys, cell, ids, component, size, upper, sketches))
         size = size.astype(np.int64)

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from folioforge.llm import simhash
 from tests.llm.support import EDGE_TEXTS, components, edge_docs, no_docs
@@ -238,3 +239,29 @@ def test_all_texts_that_meet_a_task_that_holds_texts_back_are_crowded(spark):
     other = spark.createDataFrame([(99, 100, bytearray(bands))], "id long, size int, bands binary").coalesce(1)
     found = simhash.found_pairs(one.union(other), 1, 2, simhash.LEAST_SHARE).where("a = b")
     assert {r.a for r in found.collect()} == {*range(20), 99}
+
+
+def made_pairs(classes):
+    """Rows of the second level of bands, and its pairs of different texts."""
+    found = simhash.found_pairs(classes, 2, 2, simhash.LEAST_SHARE).collect()
+    return len(found), {(r.a, r.b) for r in found if r.a != r.b}
+
+
+def test_higher_levels_make_no_pair_that_sketches_rule_out(spark):
+    """Of a family of mostly unlike copies; no pair that links is lost, and four times the texts make about four times the rows."""
+    rows = {}
+    for copies in (150, 600):
+        texts = family(1, copies)
+        docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+        classes = simhash.shingle_bands(docs).withColumnRenamed("doc_id", "id").select("id", "size", "bands", "sketch").cache()
+        held = {r.id: (r.size, np.frombuffer(r.sketch, np.uint64)) for r in classes.collect()}
+        allowed = (1 - simhash.LEAST_SHARE) / (1 + simhash.LEAST_SHARE)
+        every = made_pairs(classes.withColumn("sketch", F.lit(bytes(simhash.SKETCH_BITS // 8))))[1]
+        rows[copies], pairs = made_pairs(classes)
+        near = {(a, b) for a, b in every if np.bitwise_count(held[a][1] ^ held[b][1]).sum() <= allowed * (held[a][0] + held[b][0]) + 1e-6}
+        assert pairs == near
+        linked = set(brute_links(texts, simhash.LEAST_SHARE))
+        assert {tuple(sorted(p)) for p in pairs} & linked == {tuple(sorted(p)) for p in every} & linked
+        assert len(pairs) < 0.5 * len(every)
+        classes.unpersist()
+    assert rows[600] < 6 * rows[150]
